@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality, sharding, simhash, token_counts, token_files, toxicity
+from . import decontaminate, packing, pii, quality, sharding, simhash, suffix_dedup, token_counts, token_files, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), True)
 
@@ -57,6 +61,7 @@ QUERIES = {
         op2_simhash_near_dedup,
         op3_sharding,
         op4_toxicity,
+        op5_suffix_array_dedup,
         op6_token_counts,
         op7_token_files,
         op8_pii_surrogates,
