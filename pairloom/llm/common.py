@@ -40,7 +40,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: a cut in the lineage
     that outlives lost executors, and that two readers can use."""
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

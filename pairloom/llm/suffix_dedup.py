@@ -341,22 +341,37 @@ def covered_ranges(firsts: DataFrame, length: int = LENGTH, gram: int = GRAM, sh
                     m = k == doc
                     keep[m] = np.isin(h[m], wanted[doc])
                 k, lo, hi, h = k[keep], lo[keep], hi[keep], h[keep]
-                frag = [texts[x][i : j + length] for x, i, j in zip(k.tolist(), lo.tolist(), hi.tolist(), strict=True)]
-                name = [hashlib.blake2b(f, digest_size=16).digest() for f in frag]
+                name = [hashlib.blake2b(texts[x][i : j + length], digest_size=16).digest() for x, i, j in zip(k.tolist(), lo.tolist(), hi.tolist(), strict=True)]
                 k = pa.array(k)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(name, pa.binary()), b.column(0).take(k), b.column(1).take(k), pa.array(lo), pa.array(frag, pa.binary())], ["h", "name", "d", "s", "lo", "frag"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(name, pa.binary()), b.column(0).take(k), b.column(1).take(k), pa.array(lo), pa.array(hi + length)], ["h", "name", "d", "s", "lo", "hi"])
 
-    spec = "h bigint, name binary, d bigint, s bigint, lo bigint, frag binary"
+    spec = "h bigint, name binary, d bigint, s bigint, lo bigint, hi bigint"
     every = written(long.join(mine, ["d", "s"]).select("d", "s", "text", "hs").mapInArrow(fragments, spec), "fragments")
     erase(mine)
     _settle(spark)
-    distinct = written(every.groupBy("h", "name").agg(F.min(F.struct("d", "s", "lo")).alias("at"), F.count("*").alias("n")), "distinct")
+    distinct = written(every.groupBy("h", "name").agg(F.min(F.struct("d", "s", "lo", "hi")).alias("at"), F.count("*").alias("n")), "distinct")
+    _settle(spark)
     # Equal fragments: all but the first occurrence are covered whole.
-    later = every.join(distinct.where("n > 1").select("h", "name", "at"), ["h", "name"]).where(F.struct("d", "s", "lo") > F.col("at"))
-    later = written(later.select("d", "s", "lo", (F.col("lo") + F.octet_length("frag")).alias("hi")), "later")
-    # Different fragments of one anchor: suffix sorting.
+    later = every.join(distinct.where("n > 1").select("h", "name", "at"), ["h", "name"]).where(F.struct("d", "s", "lo", "hi") > F.col("at"))
+    later = written(later.select("d", "s", "lo", "hi"), "later")
+    erase(every)
+    _settle(spark)
+    # Different fragments of one anchor: suffix sorting. Their bytes come from the texts again.
     several = distinct.groupBy("h").agg(F.count("*").alias("forms")).where("forms > 1").select("h")
-    heads = every.join(distinct.join(several, "h", "left_semi").select("h", "name", "at"), ["h", "name"]).where(F.struct("d", "s", "lo") == F.col("at")).select("h", "d", "s", "lo", "frag")
+    sliced = distinct.join(several, "h", "left_semi").select("h", "at.*")
+    sliced = written(sliced.groupBy("d", "s").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("slices")), "slices")
+    erase(distinct)
+
+    def bytes_of(batches):
+        for b in batches:
+            for d, s, t, slices in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                raw = t.encode()
+                yield pa.RecordBatch.from_pydict(
+                    {"h": [x["h"] for x in slices], "d": [d] * len(slices), "s": [s] * len(slices), "lo": [x["lo"] for x in slices], "frag": [raw[x["lo"] : x["hi"]] for x in slices]},
+                    pa.schema([*((c, pa.int64()) for c in ("h", "d", "s", "lo")), ("frag", pa.binary())]),
+                )
+
+    heads = long.join(sliced, ["d", "s"]).select("d", "s", "text", "slices").mapInArrow(bytes_of, "h bigint, d bigint, s bigint, lo bigint, frag binary")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def sort_shard(rows):
@@ -381,8 +396,7 @@ def covered_ranges(firsts: DataFrame, length: int = LENGTH, gram: int = GRAM, sh
 
     sorted_heads = heads.repartition(parts, "h").sortWithinPartitions("h")
     by_suffix = written(sorted_heads.mapInArrow(sort_shards, "d bigint, s bigint, lo bigint, hi bigint"), "by-suffix")
-    erase(every)
-    erase(distinct)
+    erase(sliced)
     _settle(spark)
     return later.unionByName(by_suffix)
 
