@@ -1,7 +1,8 @@
 """Token ids as flat binary files with 64-bit document offsets.
 
 Documents are range-partitioned by doc_id. Each partition writes one set of
-files into a shared folder: `.ids` (little-endian unsigned 32-bit ids),
+files into a shared folder: `.ids` (little-endian unsigned ids, of 16 bits if every id of
+the vocabulary fits, else of 32),
 `.offsets` (unsigned 64-bit, first id of each document inside the partition,
 plus the end), `.docs` (signed 64-bit doc_ids; the smallest value stands for
 null). Partition bases are prefix sums over the partitions' id counts, so
@@ -41,8 +42,13 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
 
 
+def kind_of(tokenizer, end_id: int) -> str:
+    """The id type of the files."""
+    return "<u2" if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
 def write_token_files(docs: DataFrame, folder: str, path: str, blanks_drop: bool, end_id: int, partitions: int | None = None) -> DataFrame:
-    """Write the files; returns the manifest: part, name, n_docs, n_ids, base."""
+    """Write the files; returns the manifest: part, name, n_docs, n_ids, kind, base."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -57,11 +63,12 @@ def write_token_files(docs: DataFrame, folder: str, path: str, blanks_drop: bool
         offsets, ids, total = [0], [], 0
         with store.open_output_stream(name + ".ids.tmp") as out:
             for b in batches:
+                held = []
                 for t in b.column(1).to_pylist():
-                    got = enc.raw(t or "") + end
-                    out.write(got)
-                    total += len(got) // 4
+                    held.append(enc.raw(t or "") + end)
+                    total += len(held[-1]) // 4
                     offsets.append(total)
+                out.write(np.frombuffer(b"".join(held), "<u4").astype(kind_of(enc.tokenizer, end_id)).tobytes())
                 ids.append(b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
         if total:
             for kind, data in (("offsets", np.array(offsets, "<u8")), ("docs", np.concatenate(ids).astype("<i8"))):
@@ -72,9 +79,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str, blanks_drop: bool
         else:
             store.delete_file(name + ".ids.tmp")
             return
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "name": [name], "n_docs": [len(offsets) - 1], "n_ids": [total]}, pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "name": [name], "n_docs": [len(offsets) - 1], "n_ids": [total], "kind": [kind_of(enc.tokenizer, end_id)]}, pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("kind", pa.string())]))
 
-    manifest = written(ordered.mapInArrow(run, "part int, name string, n_docs bigint, n_ids bigint"), "manifest")
+    manifest = written(ordered.mapInArrow(run, "part int, name string, n_docs bigint, n_ids bigint, kind string"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -92,19 +99,19 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     def run(batches):
         store, _ = _fs(folder)
         for b in batches:
-            for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids, offsets, docs = (_mapped(store, f"{name}.{k}", t) for k, t in (("ids", "<u4"), ("offsets", "<u8"), ("docs", "<i8")))
+            for name, base, kind in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                ids, offsets, docs = (_mapped(store, f"{name}.{k}", t) for k, t in (("ids", kind), ("offsets", "<u8"), ("docs", "<i8")))
                 for at in range(0, len(docs), 50_000):
                     cut = np.asarray(offsets[at : at + 50_001], np.int64)
-                    crc = [zlib.crc32(ids[i:j]) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                    crc = [zlib.crc32(ids[i:j].astype("<u4")) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                     own = np.asarray(docs[at : at + 50_000])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(own, mask=own == NULL_ID), pa.array(cut[:-1] + base), pa.array(np.diff(cut)), pa.array(crc, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    spread = manifest.select("name", "base", "part").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")
-    return spread.select("name", "base").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    spread = manifest.select("name", "base", "kind", "part").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")
+    return spread.select("name", "base", "kind").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_files(docs: DataFrame, path: str, blanks_drop: bool, end_id: int) -> DataFrame:
