@@ -27,7 +27,7 @@ BLANKS = " \n"
 CHUNK = 16384
 OVERLAP = 256
 #: Different pieces remembered by one Python worker before it starts anew.
-MEMO = 400_000
+MEMO = 800_000
 
 
 #: Letters, in the range where lower-casing and letter classes are beyond doubt.
@@ -60,6 +60,7 @@ class PieceEncoder(dict):
         super().__init__()
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
+        self.tokenize = self.model.tokenize
         self.blanks_drop = blanks_drop
 
     def _stem(self, raw: str) -> bytes:
@@ -76,6 +77,10 @@ class PieceEncoder(dict):
         """
         if len(self) > MEMO:
             self.clear()
+        if piece.isascii() and piece.isalpha() and (not self.blanks_drop or piece.islower()):  # most pieces
+            found = self.tokenize(piece if self.blanks_drop else "Ġ" + piece)
+            out = self[piece] = array("I", [t.id for t in found]).tobytes()
+            return out
         raw, out = piece, b""
         if self.blanks_drop:
             if piece and not _BEYOND(piece):
