@@ -27,7 +27,7 @@ BLANKS = " \n"
 CHUNK = 16384
 OVERLAP = 256
 #: Different pieces remembered by one Python worker before it starts anew.
-MEMO = 800_000
+MEMO = 400_000
 
 
 #: Letters, in the range where lower-casing and letter classes are beyond doubt.
