@@ -40,8 +40,12 @@ def words(text: Column) -> Column:
 
 
 def _shingles(width: str, made: str) -> Column:
-    """An array with `made` (an expression over the slice s) for every shingle of column `words`."""
-    return F.expr(f"CASE WHEN size(words) >= {width} THEN transform(sequence(1, size(words) - {width} + 1), i -> {made.format(s=f'slice(words, i, {width})')}) ELSE array() END")
+    """An array with `made` (an expression over the slice s) for every shingle of column `words`.
+
+    The words are bound to a lambda variable first, so that they are made once
+    and not once for each shingle."""
+    of = made.format(s=f"slice(v, i, {width})")
+    return F.expr(f"flatten(transform(array(words), v -> CASE WHEN size(v) >= {width} THEN transform(sequence(1, size(v) - {width} + 1), i -> {of}) ELSE array() END))")
 
 
 def sketches(items: DataFrame, width: int, containment: float) -> DataFrame:
