@@ -1,6 +1,260 @@
-"""The registered queries of the co-occurrence engine, and their SQL."""
+"""The registered queries of the co-occurrence engine, and their DuckDB SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairloom.functions import text as T
+from pairloom.operators import measures as M
+from pairloom.operators import pairs as P
+from pairloom.operators import ranking as K
+from pairloom.operators import records as R
+from pairloom.sources.adapters import REC_SQL, SENT_SQL, records, sentences
+
+W, DELTA, ALPHA = 10, 10.0, 0.9
+_KEY = ", ".join(P.KEY)
+_PREP = "('in', 'on', 'at', 'over', 'by', 'after', 'near', 'of')"
+
+# --- SQL building blocks ---------------------------------------------------------------------
+_NUM = f"""said AS (SELECT * FROM (SELECT *, list_filter(string_split(rel, ' '), lambda t: t IN {_PREP})[1] AS prep FROM rec) WHERE prep IS NULL OR list_contains(string_split(sentence, ' '), prep)),
+num AS (SELECT *, dense_rank() OVER (PARTITION BY docid ORDER BY sentid, extrid) AS idx,
+    list_distinct(list_transform(list_concat([arg1], arg1types), lambda x: lower(trim(x)))) AS r1,
+    CASE WHEN list_contains(arg2types, 'Type:time_unit') THEN [lower(arg2), 'type:time_unit'] ELSE [lower(arg2), 'type:number'] END AS r2,
+    arg1 || ' ' || regexp_replace(rel, '^be ', '') || ' ' || arg2 AS say, list_filter(string_split(arg1 || ' ' || rel || ' ' || arg2, ' '), lambda t: t <> 'be') AS bag FROM said)"""
+_SUBS = """((lower(o.arg1) = lower(i.arg1) AND lower(o.arg2) = lower(i.arg2)) OR (lower(o.arg1) = lower(i.arg2) AND lower(o.arg2) = lower(i.arg1))
+    OR contains(o.say, i.say) OR contains(i.say, o.say) OR list_has_all(o.bag, i.bag) OR list_has_all(i.bag, o.bag))"""
+_BAND = f"FROM num o JOIN num i ON o.docid = i.docid AND i.idx - o.idx BETWEEN 1 AND {W} AND (o.sentid <> i.sentid OR NOT {_SUBS})"
+_NEAR = f"""g AS (SELECT *, unnest(r2) AS g2 FROM (SELECT *, unnest(r1) AS g1 FROM num)),
+near AS (SELECT o.docid, o.rid, o.g1 AS f1, o.rel AS fr, o.g2 AS f2, i.g1 AS s1, i.rel AS sr, i.g2 AS s2, min(i.idx - o.idx) AS dist {_BAND.replace('FROM num o JOIN num i', 'FROM g o JOIN g i')} GROUP BY ALL),
+dir AS (SELECT {_KEY}, dist AS "window", count(*) AS cnt FROM near GROUP BY ALL),
+uni AS (SELECT g1 AS a1, rel, g2 AS a2, count(*) AS n FROM g GROUP BY ALL)"""
+_CUM = f"""cum AS (SELECT {_KEY}, w AS "window", CAST(coalesce(sum(cnt) FILTER ("window" <= w), 0) AS BIGINT) AS cnt FROM dir, range(1, {W + 1}) t(w) GROUP BY {_KEY}, w)"""
+_UND = f"""both_ AS (SELECT {_KEY}, "window", cnt AS dir, 0 AS rev FROM cum UNION ALL SELECT s1, sr, s2, f1, fr, f2, "window", 0, cnt FROM cum),
+und AS (SELECT {_KEY}, "window", CAST(sum(dir) AS BIGINT) AS dir, CAST(CASE WHEN f1 = s1 AND fr = sr AND f2 = s2 THEN sum(dir) ELSE sum(dir) + sum(rev) END AS BIGINT) AS und FROM both_ GROUP BY {_KEY}, "window")"""
+_MEAS = f"""cnt2 AS (SELECT und.*, coalesce(f.n, 0) AS nf, coalesce(s.n, 0) AS ns FROM und LEFT JOIN uni f ON f.a1 = f1 AND f.rel = fr AND f.a2 = f2 LEFT JOIN uni s ON s.a1 = s1 AND s.rel = sr AND s.a2 = s2),
+meas AS (SELECT *, dir / (nf + {DELTA}) AS dir_first, dir / (ns + {DELTA}) AS dir_second, und / (nf + {DELTA}) AS und_first, und / (ns + {DELTA}) AS und_second,
+    und / (nf + {DELTA}) * (und / (ns + {DELTA})) AS scp, CASE WHEN und > 0 THEN ln(und / (nf + ns + 2 * {DELTA})) END AS pmi, CASE WHEN und > 0 AND nf + ns > 0 THEN ln(und / (nf + ns)) END AS pmi_raw FROM cnt2)"""
+_AVG = lambda c: f'sum({c} * pow({ALPHA}, "window")) / sum(pow({ALPHA}, "window")) AS {c}'
+_COMB = f"""comb AS (SELECT {_KEY}, {', '.join(_AVG(c) for c in ('dir_first', 'dir_second', 'und_first', 'und_second', 'scp'))}, max(nf) AS nf, max(ns) AS ns, max(dir) AS max_dir, max(und) AS max_und FROM meas GROUP BY {_KEY})"""
+_VALID = "(max_und <= nf AND max_und <= ns AND max_dir <= nf AND max_dir <= ns)"
+_EDGE = f"""edge AS (SELECT concat_ws(' ', f1, fr, f2) AS t1, concat_ws(' ', s1, sr, s2) AS t2, "window", cnt FROM cum WHERE cnt > 0),
+lm AS (SELECT t1, t2, "window", cnt, (cnt + 0.05) / (z + 0.05 * v) AS p FROM edge JOIN (SELECT t1, "window", sum(cnt) AS z FROM edge GROUP BY ALL) USING (t1, "window"), (SELECT count(DISTINCT t1) AS v FROM edge)),
+pw AS (SELECT t1, t2, sum(p * pow(0.5, "window")) / sum(pow(0.5, "window")) AS p FROM lm GROUP BY ALL),
+sym AS (SELECT a.t1, a.t2, a.p * b.p AS scp FROM pw a JOIN pw b ON a.t1 = b.t2 AND a.t2 = b.t1)"""
+_SCORED = "scored AS (SELECT d.doc_id AS item, l.toxic AS label, round(crc_score, 6) AS score FROM (SELECT doc_id, ((doc_id * 7919) % 1009) / 1009.0 AS crc_score FROM documents) d JOIN labels l USING (doc_id))"
+
+_UPTO = {"rec": REC_SQL, "num": _NUM, "near": _NEAR, "cum": _CUM, "und": _UND, "meas": _MEAS, "comb": _COMB}
+
+
+def _sql(upto: str, body: str, *more: str) -> str:
+    names = list(_UPTO)
+    return "WITH " + ",\n".join([_UPTO[n] for n in names[: names.index(upto) + 1]] + list(more)) + "\n" + body
+
+
+# --- Spark building blocks -----------------------------------------------------------------
+def _num(s: SparkSession, d: str) -> DataFrame:
+    return P.numbered(records(s, d))
+
+
+def _dir(s, d):
+    return P.directed(P.nearest(_num(s, d), W))
+
+
+def _und(s, d):
+    return M.undirected(M.cumulative(_dir(s, d), 1, W))
+
+
+def _meas(s, d):
+    return M.measures(M.with_counts(_und(s, d), P.unigrams(_num(s, d))), DELTA)
+
+
+def _comb(s, d):
+    return M.combined(_meas(s, d), ALPHA)
+
+
+def _edges(s, d):
+    c = M.cumulative(_dir(s, d), 1, W).where("cnt > 0")
+    return c.select(F.concat_ws(" ", "f1", "fr", "f2").alias("t1"), F.concat_ws(" ", "s1", "sr", "s2").alias("t2"), "window", "cnt")
+
+
+def _sym(s, d):
+    return K.symmetric_lm(K.window_lm(_edges(s, d)))
+
+
+def _scored(s, d):
+    docs = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("item"), F.round((F.col("doc_id") * 7919) % 1009 / F.lit(1009.0), 6).alias("score"))
+    labels = s.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("item"), F.col("toxic").alias("label"))
+    return docs.join(labels, "item")
+
+
+def _r(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in cols})
+
+
+SEED = "k1 click on low"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+def _cols(*c: str) -> str:
+    return ", ".join(f"round({x}, 6) AS {x}" for x in c)
+
+
+_query("ordinal", _sql("num", "SELECT docid, rid, idx FROM num"))(lambda s, d: _num(s, d).select("docid", "rid", "idx"))
+_query("inferred_prep_filter", _sql("num", "SELECT docid, rid, rel FROM said"))(lambda s, d: R.said_preposition(records(s, d)).select("docid", "rid", "rel"))
+_query("generalise_args", _sql("near", "SELECT docid, rid, g1 AS a1, rel, g2 AS a2 FROM g"))(lambda s, d: R.generalise(_num(s, d)).select("docid", "rid", "a1", "rel", "a2"))
+_query("subsumption_filter", _sql("num", f"SELECT o.docid, o.rid, i.rid AS other, {_SUBS} AS subsumed FROM num o JOIN num i ON o.docid = i.docid AND o.sentid = i.sentid AND o.rid < i.rid"))(
+    lambda s, d: _num(s, d).alias("o").join(_num(s, d).alias("i"), (F.col("o.docid") == F.col("i.docid")) & (F.col("o.sentid") == F.col("i.sentid")) & (F.col("o.rid") < F.col("i.rid"))).select("o.docid", "o.rid", F.col("i.rid").alias("other"), R.subsumes("o", "i").alias("subsumed"))
+)
+_query(
+    "record_prune",
+    _sql("rec", """SELECT docid, rid, array_to_string(list_transform(string_split(rel, ' '), lambda t: CASE WHEN t IN ('has', 'have', 'had', 'having') THEN 'had' WHEN t IN ('be', 'is', 'was', 'are', 'were') THEN 'be' ELSE t END), ' ') AS rel,
+    row_number() OVER (PARTITION BY docid ORDER BY sentid, extrid, rid) AS position FROM rec"""),
+)(lambda s, d: R.prune(records(s, d)).select("docid", "rid", "rel", F.col("position").cast("bigint").alias("position")))
+_query("nearest_dedup", _sql("near", f"SELECT docid, rid, {_KEY}, dist FROM near"))(lambda s, d: P.nearest(_num(s, d), W))
+_query("directed_pairs", _sql("near", "SELECT * FROM dir"))(_dir)
+_query("unigrams", _sql("near", "SELECT * FROM uni"))(lambda s, d: P.unigrams(_num(s, d)))
+_query("merge_tuples", _sql("near", "SELECT a1, rel, a2, n FROM uni"))(
+    lambda s, d: P.merge_tuples(R.generalise(_num(s, d)).groupBy("docid", "a1", "rel", "a2").agg(F.count("*").alias("n")))
+)
+_query("cumulative_windows", _sql("cum", "SELECT * FROM cum"))(lambda s, d: M.cumulative(_dir(s, d), 1, W))
+_query(
+    "frequency_filter",
+    _sql("near", f"""SELECT {_KEY}, CAST(greatest(coalesce(sum(cnt) FILTER ("window" < {W}), 0), coalesce(max(cnt) FILTER ("window" >= {W}), 0)) AS BIGINT) AS top FROM dir GROUP BY {_KEY} HAVING top > 3"""),
+)(lambda s, d: M.frequency_filter(_dir(s, d), W, 3))
+_query("undirected_pairs", _sql("und", f"""SELECT {_KEY}, "window", dir, und FROM und"""))(_und)
+_query("measures_join", _sql("meas", f"""SELECT {_KEY}, "window", dir, und, nf, ns FROM cnt2"""))(lambda s, d: M.with_counts(_und(s, d), P.unigrams(_num(s, d))).select(*P.KEY, "window", "dir", "und", "nf", "ns"))
+_C4 = ("dir_first", "dir_second", "und_first", "und_second")
+_query("conditionals", _sql("meas", f"""SELECT {_KEY}, "window", {_cols(*_C4)} FROM meas"""))(lambda s, d: _r(_meas(s, d).select(*P.KEY, "window", *_C4), *_C4))
+_query("scp", _sql("meas", f"""SELECT {_KEY}, "window", {_cols('scp')} FROM meas"""))(lambda s, d: _r(_meas(s, d).select(*P.KEY, "window", "scp"), "scp"))
+_query("pmi", _sql("meas", f"""SELECT {_KEY}, "window", {_cols('pmi', 'pmi_raw')} FROM meas"""))(lambda s, d: _r(_meas(s, d).select(*P.KEY, "window", "pmi", "pmi_raw"), "pmi", "pmi_raw"))
+_query("combined_alpha", _sql("comb", f"SELECT {_KEY}, {_cols(*_C4, 'scp')} FROM comb"))(lambda s, d: _r(_comb(s, d).select(*P.KEY, *_C4, "scp"), *_C4, "scp"))
+_query("named_measures", _sql("comb", " UNION ALL ".join(f"SELECT {_KEY}, '{n}' AS name, round({c}, 6) AS value FROM comb" for n, c in (("dir.first.conditional", "dir_first"), ("dir.second.conditional", "dir_second"), ("undir.first.conditional", "und_first"), ("undir.second.conditional", "und_second")))))(
+    lambda s, d: _r(M.named(_comb(s, d)), "value")
+)
+_query("valid_counts", _sql("comb", f"SELECT {_KEY}, max_und, nf, ns FROM comb WHERE {_VALID}"))(lambda s, d: _comb(s, d).where(M.valid()).select(*P.KEY, "max_und", "nf", "ns"))
+_EQ = "CASE WHEN o.chain1 = i.chain1 THEN '11' WHEN o.chain1 = i.chain2 THEN '12' WHEN o.chain2 = i.chain1 THEN '21' WHEN o.chain2 = i.chain2 THEN '22' END"
+_query(
+    "coref_single",
+    _sql("num", f"""SELECT docid, eq, CASE WHEN eq IN ('11', '12') THEN 'XVAR' ELSE x1 END AS f1, fr, CASE WHEN eq IN ('21', '22') THEN 'XVAR' ELSE x2 END AS f2,
+    CASE WHEN eq IN ('11', '21') THEN 'XVAR' ELSE y1 END AS s1, sr, CASE WHEN eq IN ('12', '22') THEN 'XVAR' ELSE y2 END AS s2, dist
+    FROM (SELECT o.docid, {_EQ} AS eq, o.arg1 AS x1, o.rel AS fr, o.arg2 AS x2, i.arg1 AS y1, i.rel AS sr, i.arg2 AS y2, i.idx - o.idx AS dist {_BAND}) WHERE eq IS NOT NULL"""),
+)(lambda s, d: P.coref_single(_num(s, d), W))
+
+
+def _multi_sql() -> str:
+    b = ["coalesce(o.chain1 = i.chain1, false)", "coalesce(o.chain2 = i.chain2, false)", "coalesce(o.chain1 = i.chain2, false)", "coalesce(o.chain2 = i.chain1, false)"]
+    names = ("x1", "x2", "y1", "y2")
+
+    def case(k: int) -> str:
+        arms = " ".join(f"WHEN bits = '{''.join(map(str, key))}' THEN " + (f"'{row[k]}VAR:' || lower({names[k]})" if row[k] else f"lower({names[k]})") for key, row in P.TABLE.items())
+        return f"CASE {arms} ELSE 'XVAR:' || lower({names[k]}) END"
+
+    text = " || ".join(f"CASE WHEN {x} THEN '1' ELSE '0' END" for x in b)
+    return _sql("num", f"""SELECT docid, {case(0)} AS f1, fr, {case(1)} AS f2, {case(2)} AS s1, sr, {case(3)} AS s2, dist
+    FROM (SELECT o.docid, {text} AS bits, o.arg1 AS x1, o.rel AS fr, o.arg2 AS x2, i.arg1 AS y1, i.rel AS sr, i.arg2 AS y2, i.idx - o.idx AS dist {_BAND}) WHERE bits <> '0000'""")
+
+
+_query("coref_multiple", _multi_sql())(lambda s, d: P.coref_multiple(_num(s, d), W))
+_query(
+    "merge_mentions",
+    "SELECT o_orderkey AS docid, o_orderkey AS doc_key, coalesce(m.k, '') AS mention_key FROM orders LEFT JOIN (SELECT l_orderkey, min(l_returnflag || l_linestatus) AS k FROM lineitem GROUP BY 1 HAVING count(*) <= 4) m ON l_orderkey = o_orderkey",
+)(
+    lambda s, d: P.merge_mentions(
+        s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("docid"), F.col("o_orderkey").alias("doc_key")),
+        (li := s.read.parquet(f"{d}/lineitem.parquet")).groupBy(F.col("l_orderkey").alias("docid")).agg(F.count("*").alias("n_records"), F.min(F.concat("l_returnflag", "l_linestatus")).alias("mention_key")),
+        4,
+    )
+)
+_query("merge_pairs_disjoint", None)(
+    lambda s, d: P.merge_disjoint(
+        records(s, d).groupBy(F.concat_ws("\t", "arg1", "rel", "arg2").alias("key"), "docid").agg(F.count("*").alias("cnt"), F.min("sentence").alias("sentence")).withColumn("hashes", F.array_distinct(F.concat(T.sentence_hashes(F.col("sentence")), F.array((F.col("docid") % 3).cast("int")))))
+        .select("key", "docid", "cnt", "hashes")
+    )
+)
+_VERB = lambda c: f"coalesce(nullif(array_to_string(list_filter(string_split({c}, ' '), lambda t: t <> 'be' AND t NOT IN {_PREP}), ' '), ''), {c})"
+_query("verb_only", _sql("near", f"""SELECT f1, {_VERB('fr')} AS fr, f2, s1, {_VERB('sr')} AS sr, s2, "window", CAST(sum(cnt) AS BIGINT) AS cnt FROM dir GROUP BY ALL"""))(lambda s, d: P.verb_only(_dir(s, d)))
+_query("sentence_offsets", f"""WITH {SENT_SQL} SELECT docid, sentid, CAST(coalesce(sum(length(sentence) + 1) OVER (PARTITION BY docid ORDER BY sentid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM sent""")(
+    lambda s, d: R.sentence_offsets(sentences(s, d))
+)
+_query("trim_sentences", f"WITH {SENT_SQL} SELECT docid, sentid FROM sent WHERE length(sentence) - length(replace(sentence, ' ', '')) <= 75")(lambda s, d: R.trim_sentences(sentences(s, d)).select("docid", "sentid"))
+_query(
+    "sentence_hashes",
+    _sql("rec", """SELECT docid, rid, CAST(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS INTEGER) AS hash FROM (
+    SELECT docid, rid, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(regexp_replace(lower(sentence), '[^a-z0-9]', '', 'g'), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: (a * 31 + c) % 4294967296) AS h FROM rec)"""),
+)(lambda s, d: records(s, d).select("docid", "rid", T.java_hash(T.plain(F.col("sentence"))).alias("hash")))
+_query("spans", _sql("rec", """SELECT docid, rid, CASE WHEN strpos(sentence, rel) > 0 THEN strpos(sentence, rel) - 1 ELSE 0 END AS span_start, CASE WHEN strpos(sentence, rel) > 0 THEN strpos(sentence, rel) - 1 + length(rel) ELSE 0 END AS span_end FROM rec"""))(
+    lambda s, d: records(s, d).withColumn("span", T.find_span(F.col("sentence"), F.col("rel"))).select("docid", "rid", F.col("span.start").cast("bigint").alias("span_start"), F.col("span.end").cast("bigint").alias("span_end"))
+)
+_query(
+    "head_counts_top5",
+    _sql("rec", """SELECT rel, string_agg(head || ':' || n, ',' ORDER BY r) AS heads FROM (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY n DESC, head) AS r FROM (SELECT rel, arg1 AS head, count(*) AS n FROM rec GROUP BY ALL)) WHERE r <= 5 GROUP BY rel"""),
+)(lambda s, d: K.top_heads(records(s, d).groupBy("rel", F.col("arg1").alias("head")).agg(F.count("*").alias("n")), ["rel"]))
+_GRID = (1, 5, 10)
+_at = lambda c: " || ',' || ".join(f"""CAST(coalesce(sum({c}) FILTER ("window" = {w}), 0) AS BIGINT)""" for w in _GRID)
+_query("release_export_pairs", _sql("und", f"SELECT {_KEY}, {_at('und')} AS undirected, {_at('dir')} AS directed FROM und GROUP BY {_KEY}"))(lambda s, d: K.release_pairs(_und(s, d), _GRID))
+_query(
+    "release_export_tuples",
+    _sql("near", """SELECT a1, rel, a2, any_value(n) AS n, string_agg(head || ':' || c, ',' ORDER BY r) AS heads FROM (SELECT *, row_number() OVER (PARTITION BY a1, rel, a2 ORDER BY c DESC, head) AS r FROM
+    (SELECT g1 AS a1, rel, g2 AS a2, arg1 AS head, count(*) AS c FROM g GROUP BY ALL)) JOIN uni USING (a1, rel, a2) WHERE r <= 5 GROUP BY a1, rel, a2"""),
+)(lambda s, d: K.top_heads((g := R.generalise(_num(s, d))).groupBy("a1", "rel", "a2", F.col("arg1").alias("head")).agg(F.count("*").alias("n")), ["a1", "rel", "a2"]).join(P.unigrams(_num(s, d)), ["a1", "rel", "a2"]))
+_query(
+    "top_tuples",
+    _sql("comb", f"""SELECT f1, fr, f2, count(*) AS n_pairs, CAST(sum(CASE WHEN {_VALID} THEN 1 ELSE 0 END) AS BIGINT) AS n_valid, round(sum(scp) FILTER (r1 <= 5), 6) AS scp, round(sum(und_first) FILTER (r2 <= 5), 6) AS p_sf, round(sum(und_second) FILTER (r3 <= 5), 6) AS p_fs
+    FROM (SELECT *, {', '.join(f'row_number() OVER (PARTITION BY f1, fr, f2 ORDER BY round({c}, 9) DESC, s1, sr, s2) AS r{i}' for i, c in ((1, 'scp'), (2, 'und_first'), (3, 'und_second')))} FROM comb) GROUP BY f1, fr, f2"""),
+)(lambda s, d: _r(K.top_tuples(_comb(s, d), 5), "scp", "p_sf", "p_fs"))
+_query("bin_sample", None)(lambda s, d: K.sample_bins(K.bins(_r(K.top_tuples(_comb(s, d), 5), "scp"), K.FIRST, "scp", 10), K.FIRST, 5).select(*K.FIRST, "scp", "bin"))
+_query("equal_bins", _sql("comb", """SELECT f1, fr, f2, CAST((row_number() OVER (ORDER BY round(m, 9) DESC, f1, fr, f2) - 1) // greatest(1, count(*) OVER () // 10) AS BIGINT) AS bin FROM (SELECT f1, fr, f2, max(nf) AS m FROM comb GROUP BY ALL)"""))(
+    lambda s, d: K.bins(_comb(s, d).groupBy(*K.FIRST).agg(F.max("nf").alias("m")), K.FIRST, "m", 10).select(*K.FIRST, "bin")
+)
+_FIND = "fr = 'click on' AND s1 = 'type:even'"
+_query("search_pairs", _sql("comb", f"SELECT {_KEY}, {_cols('und_first')} FROM comb WHERE {_FIND}"))(lambda s, d: _r(K.search(_comb(s, d), {"fr": "click on", "s1": "type:even"}).select(*P.KEY, "und_first"), "und_first"))
+_NOTYPE = " AND ".join(f"NOT contains({a}, 'type:')" for a in ("f1", "f2", "s1", "s2"))
+_query("prune_results", _sql("comb", f"SELECT {_KEY}, max_und FROM comb WHERE NOT (f1 = s1 AND fr = sr AND f2 = s2) AND max_und >= 3 AND {_VALID} AND {_NOTYPE}"))(
+    lambda s, d: K.prune_results(_comb(s, d), 3, types="notype").select(*P.KEY, "max_und")
+)
+_query("flagship", _sql("comb", f"""SELECT rank, {_KEY}, {_cols('und_first')}, nf, ns FROM (SELECT *, row_number() OVER (ORDER BY round(und_first, 9) DESC, {_KEY}) AS rank FROM comb) WHERE rank <= 20"""))(
+    lambda s, d: _r(K.rank(_comb(s, d), k=20).select(F.col("rank").cast("bigint").alias("rank"), *P.KEY, "und_first", "nf", "ns"), "und_first")
+)
+_query("collapse_by_relation", _sql("comb", "SELECT sr, round(max(und_first), 6) AS best, count(*) AS n_pairs FROM comb GROUP BY sr"))(lambda s, d: _r(K.collapse(_comb(s, d)), "best"))
+_query("top_relations", _sql("rec", "SELECT rel, count(DISTINCT docid) AS n_docs, count(*) AS n_records FROM rec GROUP BY rel"))(lambda s, d: K.top_relations(records(s, d)))
+_query("doc_lookup", _sql("rec", "SELECT DISTINCT docid FROM rec WHERE rel = 'purchase' AND (lower(arg1) = 'k3' OR list_contains(arg1types, 'Type:k3'))"))(lambda s, d: K.records_matching(records(s, d), "k3", "purchase").select("docid").distinct())
+_query("window_lm", _sql("cum", """SELECT t1, t2, "window", cnt, round(p, 6) AS p FROM lm""", _EDGE))(lambda s, d: _r(K.window_lm(_edges(s, d)), "p"))
+_query("symmetric_lm", _sql("cum", "SELECT t1, t2, round(scp, 9) AS scp FROM sym", _EDGE))(lambda s, d: _r(_sym(s, d), "scp", places=9))
+_query("one_hop", _sql("cum", f"SELECT DISTINCT t1, t2, round(scp, 9) AS scp FROM sym WHERE t1 = '{SEED}' OR t2 = '{SEED}'", _EDGE))(lambda s, d: _r(K.one_hop(_sym(s, d), SEED), "scp", places=9))
+_query(
+    "two_hop",
+    _sql("cum", f"""SELECT DISTINCT via, t1, t2, round(scp, 9) AS scp FROM sym JOIN ends ON t1 = via OR t2 = via WHERE t1 <> '{SEED}' AND t2 <> '{SEED}'""", _EDGE, f"""ends AS (SELECT DISTINCT via FROM (SELECT CASE WHEN t1 = '{SEED}' THEN t2 ELSE t1 END AS via FROM sym WHERE t1 = '{SEED}' OR t2 = '{SEED}' ORDER BY round(scp, 12) DESC, t1, t2 LIMIT 10) WHERE via <> '{SEED}')"""),
+)(lambda s, d: _r(K.two_hop(_sym(s, d), SEED, 10), "scp", places=9))
+_PR = "pr AS (SELECT item, n, h / t AS recall, h / n AS precision FROM (SELECT item, row_number() OVER w AS n, sum(label) OVER (w ROWS UNBOUNDED PRECEDING) AS h, sum(label) OVER () AS t FROM scored WINDOW w AS (ORDER BY score DESC, item)))"
+_query("pr_curve", f"WITH {_SCORED}, {_PR} SELECT item, n, round(recall, 6) AS recall, round(precision, 6) AS precision FROM pr")(
+    lambda s, d: _r(K.precision_recall(_scored(s, d).withColumn("g", F.lit(0)), ["g"]).drop("g").withColumn("n", F.col("n").cast("bigint")), "recall", "precision")
+)
+_query(
+    "auc_grid",
+    f"""WITH {_SCORED}, grid AS (SELECT unnest([0, 1, 2, 3, 4]) AS gid), x AS (SELECT gid, item, label, round(score * (gid + 1) - floor(score * (gid + 1)), 6) AS score FROM scored, grid),
+    pr AS (SELECT gid, n, h / t AS recall, h / n AS precision FROM (SELECT gid, row_number() OVER w AS n, sum(label) OVER (w ROWS UNBOUNDED PRECEDING) AS h, sum(label) OVER (PARTITION BY gid) AS t FROM x WINDOW w AS (PARTITION BY gid ORDER BY score DESC, item)))
+    SELECT gid, round(sum(a), 6) AS auc FROM (SELECT gid, (recall - coalesce(lag(recall) OVER v, 0)) * (precision + coalesce(lag(precision) OVER v, 1)) / 2 AS a FROM pr WINDOW v AS (PARTITION BY gid ORDER BY n)) GROUP BY gid""",
+)(
+    lambda s, d: _r(
+        K.area(K.precision_recall(_scored(s, d).withColumn("gid", F.explode(F.array(*map(F.lit, range(5))))).withColumn("score", F.round(F.col("score") * (F.col("gid") + 1) - F.floor(F.col("score") * (F.col("gid") + 1)), 6)), ["gid"]), ["gid"]), "auc"
+    )
+)
+_query("error_modes", f"WITH {_SCORED} SELECT item, label, score, place FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY CASE WHEN label = 1 THEN score ELSE -score END, item) AS place FROM scored) WHERE place <= 100")(
+    lambda s, d: K.error_modes(_scored(s, d)).select("item", "label", "score", F.col("place").cast("bigint").alias("place"))
+)
+_query("confidence_agg", _sql("rec", "SELECT arg1, rel, arg2, list_sort(list(confidence))[count(*) // 2 + 1] AS median, min(confidence) AS least, max(confidence) AS most, round(avg(confidence), 6) AS mean FROM rec GROUP BY arg1, rel, arg2"))(
+    lambda s, d: _r(K.confidence(records(s, d)), "mean")
+)
+_query("doc_size_histogram", _sql("rec", "SELECT CAST(least(100, greatest(10, ceil(n / 10) * 10)) AS BIGINT) AS bin, count(*) AS n_docs FROM (SELECT docid, count(*) AS n FROM rec GROUP BY docid) GROUP BY 1"))(lambda s, d: R.size_histogram(records(s, d)))
