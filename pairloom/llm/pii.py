@@ -117,28 +117,27 @@ def _name(s: str, h: str) -> str:
       THEN concat({cyr}, {end.format('к', 'на', 'н')}) ELSE concat({lat}, {end.format('r', 'na', 'n')}) END), ' '))"""
 
 
-def _surrogate(kind: str, canon: str, attempt: str, key: str) -> str:
-    """The canonical form of the surrogate. `key` is a quoted literal."""
-    h = f"sha2(concat({key}, {kind}, '/', {canon}, '/', {attempt}), 512)"
-    salt = f"concat({key}, {attempt})"
+def _hash(kind: str, canon: str, attempt: str, key: str) -> str:
+    """The keyed hash that a surrogate is drawn from."""
+    return f"sha2(concat({key}, {kind}, '/', {canon}, '/', {attempt}), 512)"
+
+
+def _surrogate(kind: str, canon: str, h: str, salt: str) -> str:
+    """The canonical form of the surrogate, from its hash; names go by `salt`, word by word.
+
+    Arguments are names or fields, never long expressions: each is used many times."""
     digits = _swap(canon, h, "0")
-    at = f"instr({canon}, '@')"
-    domain = f"substr({canon}, {at} + 1)"
-    top = f"substring_index({domain}, '.', -1)"
-    body = f"substr({canon}, 1, length({canon}) - length({top}))"
+    top = f"substring_index({canon}, '.', -1)"
     octets = ", '.', ".join(f"cast(1 + {_byte(h, str(i))} % 254 as string)" for i in range(4))
-    return f"""CASE {kind}
-      WHEN 'email' THEN concat({_swap(body, h, '0')}, {top})
-      WHEN 'name' THEN {_name(canon, salt)}
-      WHEN 'ip' THEN concat({octets})
-      WHEN 'iban' THEN {_swap(canon, h, '2')}
-      WHEN 'secret' THEN CASE WHEN {canon} RLIKE '^[0-9a-fA-F]+$'
-        THEN CASE WHEN {canon} RLIKE '[A-F]' THEN upper(substr(concat({h}, {h}), 1, length({canon}))) ELSE substr(concat({h}, {h}), 1, length({canon})) END
-        ELSE {_swap(canon, h, '4')} END
-      WHEN 'card' THEN CASE WHEN {_luhn(canon)} % 10 = 0
-        THEN element_at(transform(array({digits}), d -> concat(substr(d, 1, 15), cast((10 - ({_luhn("concat(substr(d, 1, 15), '0')")} % 10)) % 10 as string))), 1)
-        ELSE {digits} END
-      ELSE {digits} END"""
+    kept = f"CASE {kind} WHEN 'iban' THEN 2 WHEN 'secret' THEN 4 ELSE 0 END"
+    return f"""CASE
+      WHEN {kind} = 'name' THEN {_name(canon, salt)}
+      WHEN {kind} = 'ip' THEN concat({octets})
+      WHEN {kind} = 'email' THEN concat(substr({digits}, 1, length({canon}) - length({top})), {top})
+      WHEN {kind} = 'secret' AND {canon} RLIKE '^[0-9a-fA-F]+$' THEN CASE WHEN {canon} RLIKE '[A-F]' THEN upper(substr(concat({h}, {h}), 1, length({canon}))) ELSE substr(concat({h}, {h}), 1, length({canon})) END
+      WHEN {kind} = 'card' THEN element_at(transform(array({digits}), d -> CASE WHEN {_luhn(canon)} % 10 = 0
+        THEN concat(substr(d, 1, 15), cast((10 - ({_luhn("concat(substr(d, 1, 15), '0')")} % 10)) % 10 as string)) ELSE d END), 1)
+      ELSE {_swap(canon, h, kept)} END"""
 
 
 def _render(kind: str, e: str, sur: str) -> str:
@@ -166,13 +165,22 @@ def entities(docs: DataFrame) -> DataFrame:
     return kinds.select("doc_id", "text_hash", "kind", F.expr(_canonical("kind", "e")).alias("canon"))
 
 
+def _quoted(key: str) -> str:
+    return "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def dictionary(mentions: DataFrame, key: str, rounds: int = 40) -> DataFrame:
     """kind, canon, attempt, sur: one row an entity, without collisions.
 
     Names are checked by whole names; the other kinds as they are."""
-    quoted = F.lit(key)
-    table = mentions.select("kind", "canon").distinct()
-    table = table.withColumn("attempt", F.lit(0)).withColumn("key", quoted).withColumn("sur", F.expr(_surrogate("kind", "canon", "attempt", "key")))
+    quoted = _quoted(key)
+
+    def drawn(df: DataFrame) -> Column:
+        h = _hash("kind", "canon", "attempt", quoted)
+        return F.expr(f"element_at(transform(transform(array(struct({h} as h, concat({quoted}, attempt) as salt)), x -> struct(x.h as h, x.salt as salt, kind as k, canon as c)), x -> {_surrogate('x.k', 'x.c', 'x.h', 'x.salt')}), 1)")
+
+    table = mentions.select("kind", "canon").distinct().withColumn("attempt", F.lit(0))
+    table = table.withColumn("sur", drawn(table))
     table = written(table, "surrogates")
     for _ in range(rounds):
         shared = table.groupBy("kind", "sur").agg(F.count("*").alias("n"), F.min("canon").alias("first")).where("n > 1")
@@ -183,7 +191,7 @@ def dictionary(mentions: DataFrame, key: str, rounds: int = 40) -> DataFrame:
         if again.limit(1).count() == 0:
             return table
         table = table.join(again, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0)))
-        table = table.withColumn("sur", F.when(F.col("again") == 1, F.expr(_surrogate("kind", "canon", "attempt", "key"))).otherwise(F.col("sur"))).drop("again")
+        table = table.withColumn("sur", F.when(F.col("again") == 1, drawn(table)).otherwise(F.col("sur"))).drop("again")
         table = written(table, "surrogates")
     raise ValueError(f"surrogates still collide after {rounds} rounds")
 
@@ -206,12 +214,14 @@ def redact(docs: DataFrame, key: str = "pairloom", count_column: str | None = No
     text = F.col("text").cast("string")
     spans = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
     rows = rows.withColumn("entity_spans", spans)
-    default = _surrogate("x.k", "x.c", "0", "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'")
-    # e: mention, k: kind, c: canonical form, s: surrogate; one-element arrays name the steps.
-    steps = f"""transform(entity_spans, e -> element_at(transform(transform(transform(array(e),
+    quoted = _quoted(key)
+    # e: mention, k: kind, c: canonical form, h: hash, s: surrogate. Lambda variables bind every step's result once.
+    steps = f"""transform(transform(transform(transform(transform(entity_spans,
         x -> struct(x as e, {_kind('x')} as k)),
         x -> struct(x.e as e, x.k as k, {_canonical('x.k', 'x.e')} as c)),
-        x -> {_render('x.k', 'x.e', f"coalesce(moved_surrogates[concat_ws('/', x.k, x.c)], {default})")}), 1))"""
+        x -> struct(x.e as e, x.k as k, x.c as c, {_hash('x.k', 'x.c', "'0'", quoted)} as h, concat({quoted}, '0') as salt)),
+        x -> struct(x.e as e, x.k as k, coalesce(moved_surrogates[concat_ws('/', x.k, x.c)], {_surrogate('x.k', 'x.c', 'x.h', 'x.salt')}) as s)),
+        x -> {_render('x.k', 'x.e', 'x.s')})"""
     pieces = F.split(text, PATTERN, -1)
     rows = rows.withColumn("entity_surrogates", F.when(F.size("entity_spans") > 0, F.expr(steps)))
     new = F.when(
