@@ -90,20 +90,23 @@ def train(texts: list[str], toxic: list[int], rounds: int = 80, rate: float = 2.
         return None
     number: dict[str, int] = {}
     docs = [[number.setdefault(w, len(number)) for w in (t or "").split()] for t in texts]
-    lists = [grams(w) for w in number]
-    df: dict[str, int] = {}
+    seen: dict[str, int] = {}
+    lists = [np.array([seen.setdefault(g, len(seen)) for g in grams(w)], np.int32) for w in number]
+    df = np.zeros(len(seen), np.int64)
     for d in docs:
-        for g in {g for w in set(d) for g in lists[w]}:
-            df[g] = df.get(g, 0) + 1
-    known = {g: i for i, g in enumerate(sorted(g for g, n in df.items() if n >= least))}
-    if not known:
+        if d:
+            df[np.unique(np.concatenate([lists[w] for w in set(d)]))] += 1
+    names = sorted(g for g, i in seen.items() if df[i] >= least)
+    if not names:
         return None
-    flat_g, flat_w = [], []
-    for w, gs in enumerate(lists):
-        ids = [known[g] for g in gs if g in known]
-        flat_g += ids
-        flat_w += [w] * len(ids)
-    g_of, w_of = np.array(flat_g), np.array(flat_w)
+    known = {g: i for i, g in enumerate(names)}
+    place = np.full(len(seen), -1, np.int64)
+    place[[seen[g] for g in names]] = np.arange(len(names))
+    del seen
+    w_of = np.repeat(np.arange(len(number)), [len(x) for x in lists])
+    g_of = place[np.concatenate(lists)]
+    w_of, g_of = w_of[g_of >= 0], g_of[g_of >= 0]
+    del lists
     per_word = 1 / np.maximum(np.bincount(w_of, minlength=len(number)), 1)
     tokens = np.array([w for d in docs for w in d], np.int64)
     base = np.cumsum([0, *map(len, docs)])
