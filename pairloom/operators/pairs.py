@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .records import generalise, ordinals, said_preposition, subsumes
+from .records import generalise, ordinals, representations, said_preposition, subsumes
 
 KEY = ["f1", "fr", "f2", "s1", "sr", "s2"]
 #: The arguments of a coreferring pair by (1=1, 2=2, 1=2, 2=1); None keeps the argument.
@@ -29,8 +29,10 @@ def band_join(rec: DataFrame, window: int) -> DataFrame:
 
     An equi-join on (docid, bucket of `window` ordinals): a document however long
     is spread over its buckets, and a bucket meets itself and the next one."""
-    o = rec.withColumn("bucket", F.floor(F.col("idx") / window)).alias("o")
-    i = rec.withColumn("bucket", F.explode(F.array(F.floor(F.col("idx") / window), F.floor(F.col("idx") / window) - 1))).alias("i")
+    # The join multiplies rows, which sizes of its inputs do not show: keep all partitions.
+    n = int(rec.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    o = rec.withColumn("bucket", F.floor(F.col("idx") / window)).repartition(n, "docid", "bucket").alias("o")
+    i = rec.withColumn("bucket", F.explode(F.array(F.floor(F.col("idx") / window), F.floor(F.col("idx") / window) - 1))).repartition(n, "docid", "bucket").alias("i")
     gap = F.col("i.idx") - F.col("o.idx")
     other = (F.col("o.sentid") != F.col("i.sentid")) | ~subsumes("o", "i")
     return o.join(i, (F.col("o.docid") == F.col("i.docid")) & (F.col("o.bucket") == F.col("i.bucket")) & (gap > 0) & (gap <= window) & other)
@@ -38,18 +40,16 @@ def band_join(rec: DataFrame, window: int) -> DataFrame:
 
 def nearest(rec: DataFrame, window: int = 10) -> DataFrame:
     """docid, outer record, pair key, dist: a pair counts once for an outer record, at its smallest distance."""
-    b = band_join(rec, window).select(
-        F.col("o.docid").alias("docid"), F.col("o.rid").alias("rid"), F.struct("o.*").alias("o"), F.struct("i.*").alias("i"), (F.col("i.idx") - F.col("o.idx")).alias("dist")
-    )
-    from .records import representations as reps
-
-    out = b.select(
-        "docid", "rid", "dist",
-        F.explode(reps(F.col("o.arg1"), F.col("o.arg1types"))).alias("f1"), F.col("o.rel").alias("fr"), F.col("o.arg2").alias("oa2"), F.col("o.arg2types").alias("ot2"), "i",
+    # Representations are made once a record, below the join.
+    ready = rec.withColumn("r1", representations(F.col("arg1"), F.col("arg1types"))).withColumn("r2", representations(F.col("arg2"), F.col("arg2types")))
+    slim = ready.select("docid", "rid", "sentid", "idx", "arg1", "rel", "arg2", "r1", "r2")
+    b = band_join(slim, window).select(
+        F.col("o.docid").alias("docid"), F.col("o.bucket").alias("bucket"), F.col("o.rid").alias("rid"), F.col("o.rel").alias("fr"), F.col("i.rel").alias("sr"),
+        (F.col("i.idx") - F.col("o.idx")).alias("dist"), F.explode("o.r1").alias("f1"), F.col("o.r2").alias("o2"), F.col("i.r1").alias("i1"), F.col("i.r2").alias("i2"),
     )
-    out = out.withColumn("f2", F.explode(reps(F.col("oa2"), F.col("ot2")))).withColumn("s1", F.explode(reps(F.col("i.arg1"), F.col("i.arg1types"))))
-    out = out.withColumn("s2", F.explode(reps(F.col("i.arg2"), F.col("i.arg2types")))).withColumn("sr", F.col("i.rel"))
-    return out.groupBy("docid", "rid", *KEY).agg(F.min("dist").alias("dist"))
+    out = b.withColumn("f2", F.explode("o2")).withColumn("s1", F.explode("i1")).withColumn("s2", F.explode("i2"))
+    # The join is partitioned by (docid, bucket): grouping by them too needs no further shuffle.
+    return out.groupBy("docid", "bucket", "rid", *KEY).agg(F.min("dist").alias("dist")).drop("bucket")
 
 
 def directed(near: DataFrame) -> DataFrame:
