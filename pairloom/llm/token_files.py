@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, written
-from .tokens import encoder
+from .tokens import MEMO, encoder
 
 NULL_ID = -(1 << 63)
 
@@ -56,7 +56,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, blanks_drop: bool
     end = struct.pack("<I", end_id)
 
     def run(batches):
-        enc = encoder(path, blanks_drop)
+        enc = encoder(path, blanks_drop, 2 * MEMO)
         store, root = _fs(folder)
         store.create_dir(root, recursive=True)
         name = f"{root}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"

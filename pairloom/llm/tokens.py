@@ -51,13 +51,14 @@ class PieceEncoder(dict):
     """Ids of a text under a vocabulary file of the tokenizers library, as
     little-endian unsigned 32-bit integers.
 
-    The dictionary itself maps pieces to their ids; it starts anew at MEMO pieces.
+    The dictionary itself maps pieces to their ids; it starts anew at `most` pieces.
     """
 
-    def __init__(self, path: str, blanks_drop: bool):
+    def __init__(self, path: str, blanks_drop: bool, most: int = MEMO):
         """blanks_drop: the vocabulary drops white space altogether; else a
         single blank belongs to the piece that it precedes."""
         super().__init__()
+        self.most = most
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
         self.tokenize = self.model.tokenize
@@ -75,7 +76,7 @@ class PieceEncoder(dict):
         A full stop or comma after a Latin letter begins a pre-token. The
         blank-dropping vocabulary also lower-cases.
         """
-        if len(self) > MEMO:
+        if len(self) > self.most:
             self.clear()
         if piece.isascii() and piece.isalpha() and (not self.blanks_drop or piece.islower()):  # most pieces
             found = self.tokenize(piece if self.blanks_drop else "Ġ" + piece)
@@ -124,14 +125,14 @@ class PieceEncoder(dict):
         return len(self.raw(text)) // 4
 
 
-_encoders: dict[tuple[str, bool], PieceEncoder] = {}
+_encoders: dict[tuple[str, bool, int], PieceEncoder] = {}
 
 
-def encoder(path: str, blanks_drop: bool) -> PieceEncoder:
+def encoder(path: str, blanks_drop: bool, most: int = MEMO) -> PieceEncoder:
     """One encoder for each Python worker, so that its memo serves many tasks."""
-    key = (path, blanks_drop)
+    key = (path, blanks_drop, most)
     if key not in _encoders:
-        _encoders[key] = PieceEncoder(path, blanks_drop)
+        _encoders[key] = PieceEncoder(path, blanks_drop, most)
     return _encoders[key]
 
 
