@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +12,11 @@ from pairloom.operators import measures as M
 from pairloom.operators import pairs as P
 from pairloom.operators import ranking as K
 from pairloom.operators import records as R
+from pairloom.operators import tuning as U
+from pairloom.sources import codecs as C
 from pairloom.sources.adapters import REC_SQL, SENT_SQL, records, sentences
 
-W, DELTA, ALPHA = 10, 10.0, 0.9
+W, DELTA, ALPHA, AT = 10, 10.0, 0.9, 5
 _KEY = ", ".join(P.KEY)
 _PREP = "('in', 'on', 'at', 'over', 'by', 'after', 'near', 'of')"
 
@@ -36,7 +40,7 @@ _MEAS = f"""cnt2 AS (SELECT und.*, coalesce(f.n, 0) AS nf, coalesce(s.n, 0) AS n
 meas AS (SELECT *, dir / (nf + {DELTA}) AS dir_first, dir / (ns + {DELTA}) AS dir_second, und / (nf + {DELTA}) AS und_first, und / (ns + {DELTA}) AS und_second,
     und / (nf + {DELTA}) * (und / (ns + {DELTA})) AS scp, CASE WHEN und > 0 THEN ln(und / (nf + ns + 2 * {DELTA})) END AS pmi, CASE WHEN und > 0 AND nf + ns > 0 THEN ln(und / (nf + ns)) END AS pmi_raw FROM cnt2)"""
 _AVG = lambda c: f'sum({c} * pow({ALPHA}, "window")) / sum(pow({ALPHA}, "window")) AS {c}'
-_COMB = f"""comb AS (SELECT {_KEY}, {', '.join(_AVG(c) for c in ('dir_first', 'dir_second', 'und_first', 'und_second', 'scp'))}, max(nf) AS nf, max(ns) AS ns, max(dir) AS max_dir, max(und) AS max_und FROM meas GROUP BY {_KEY})"""
+_COMB = f"""comb AS (SELECT {_KEY}, {', '.join(_AVG(c) for c in ('dir_first', 'dir_second', 'und_first', 'und_second', 'scp'))}, max(nf) AS nf, max(ns) AS ns, max(dir) AS max_dir, max(und) AS max_und, coalesce(max(und) FILTER ("window" = {AT}), 0) AS und_k FROM meas GROUP BY {_KEY})"""
 _VALID = "(max_und <= nf AND max_und <= ns AND max_dir <= nf AND max_dir <= ns)"
 _EDGE = f"""edge AS (SELECT concat_ws(' ', f1, fr, f2) AS t1, concat_ws(' ', s1, sr, s2) AS t2, "window", cnt FROM cum WHERE cnt > 0),
 lm AS (SELECT t1, t2, "window", cnt, (cnt + 0.05) / (z + 0.05 * v) AS p FROM edge JOIN (SELECT t1, "window", sum(cnt) AS z FROM edge GROUP BY ALL) USING (t1, "window"), (SELECT count(DISTINCT t1) AS v FROM edge)),
@@ -70,7 +74,7 @@ def _meas(s, d):
 
 
 def _comb(s, d):
-    return M.combined(_meas(s, d), ALPHA)
+    return M.combined(_meas(s, d), ALPHA, AT)
 
 
 def _edges(s, d):
@@ -183,7 +187,7 @@ _query("merge_pairs_disjoint", None)(
         .select("key", "docid", "cnt", "hashes")
     )
 )
-_VERB = lambda c: f"coalesce(nullif(array_to_string(list_filter(string_split({c}, ' '), lambda t: t <> 'be' AND t NOT IN {_PREP}), ' '), ''), {c})"
+_VERB = lambda c: f"coalesce(nullif(array_to_string(list_filter(string_split({c}, ' '), lambda t: t <> 'be' AND t NOT IN {T.PREPOSITIONS}), ' '), ''), {c})"
 _query("verb_only", _sql("near", f"""SELECT f1, {_VERB('fr')} AS fr, f2, s1, {_VERB('sr')} AS sr, s2, "window", CAST(sum(cnt) AS BIGINT) AS cnt FROM dir GROUP BY ALL"""))(lambda s, d: P.verb_only(_dir(s, d)))
 _query("sentence_offsets", f"""WITH {SENT_SQL} SELECT docid, sentid, CAST(coalesce(sum(length(sentence) + 1) OVER (PARTITION BY docid ORDER BY sentid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM sent""")(
     lambda s, d: R.sentence_offsets(sentences(s, d))
@@ -209,10 +213,12 @@ _query(
     _sql("near", """SELECT a1, rel, a2, any_value(n) AS n, string_agg(head || ':' || c, ',' ORDER BY r) AS heads FROM (SELECT *, row_number() OVER (PARTITION BY a1, rel, a2 ORDER BY c DESC, head) AS r FROM
     (SELECT g1 AS a1, rel, g2 AS a2, arg1 AS head, count(*) AS c FROM g GROUP BY ALL)) JOIN uni USING (a1, rel, a2) WHERE r <= 5 GROUP BY a1, rel, a2"""),
 )(lambda s, d: K.top_heads((g := R.generalise(_num(s, d))).groupBy("a1", "rel", "a2", F.col("arg1").alias("head")).agg(F.count("*").alias("n")), ["a1", "rel", "a2"]).join(P.unigrams(_num(s, d)), ["a1", "rel", "a2"]))
+_CLEAN = f"(s1 NOT IN {T.PRONOUNS} AND s2 NOT IN {T.PRONOUNS} AND NOT regexp_matches(sr, '[^0-9a-zA-Z:]'))"
 _query(
     "top_tuples",
-    _sql("comb", f"""SELECT f1, fr, f2, count(*) AS n_pairs, CAST(sum(CASE WHEN {_VALID} THEN 1 ELSE 0 END) AS BIGINT) AS n_valid, round(sum(scp) FILTER (r1 <= 5), 6) AS scp, round(sum(und_first) FILTER (r2 <= 5), 6) AS p_sf, round(sum(und_second) FILTER (r3 <= 5), 6) AS p_fs
-    FROM (SELECT *, {', '.join(f'row_number() OVER (PARTITION BY f1, fr, f2 ORDER BY round({c}, 9) DESC, s1, sr, s2) AS r{i}' for i, c in ((1, 'scp'), (2, 'und_first'), (3, 'und_second')))} FROM comb) GROUP BY f1, fr, f2"""),
+    _sql("comb", f"""SELECT f1, fr, f2, count(*) AS n_pairs, CAST(sum(CASE WHEN {_CLEAN} THEN 1 ELSE 0 END) AS BIGINT) AS n_clean, round(sum(scp) FILTER (r1 <= 5), 6) AS scp, round(sum(und_first) FILTER (r2 <= 5), 6) AS p_sf, round(sum(und_second) FILTER (r3 <= 5), 6) AS p_fs
+    FROM (SELECT *, {', '.join(f'row_number() OVER (PARTITION BY f1, fr, f2 ORDER BY round({c}, 9) DESC, s1, sr, s2) AS r{i}' for i, c in ((1, 'scp'), (2, 'und_first'), (3, 'und_second')))}
+    FROM (SELECT * REPLACE (und_first * und_second AS scp) FROM comb WHERE {_VALID} AND max_und > 0)) GROUP BY f1, fr, f2"""),
 )(lambda s, d: _r(K.top_tuples(_comb(s, d), 5), "scp", "p_sf", "p_fs"))
 _query("bin_sample", None)(lambda s, d: K.sample_bins(K.bins(_r(K.top_tuples(_comb(s, d), 5), "scp"), K.FIRST, "scp", 10), K.FIRST, 5).select(*K.FIRST, "scp", "bin"))
 _query("equal_bins", _sql("comb", """SELECT f1, fr, f2, CAST((row_number() OVER (ORDER BY round(m, 9) DESC, f1, fr, f2) - 1) // greatest(1, count(*) OVER () // 10) AS BIGINT) AS bin FROM (SELECT f1, fr, f2, max(nf) AS m FROM comb GROUP BY ALL)"""))(
@@ -220,9 +226,15 @@ _query("equal_bins", _sql("comb", """SELECT f1, fr, f2, CAST((row_number() OVER
 )
 _FIND = "fr = 'click on' AND s1 = 'type:even'"
 _query("search_pairs", _sql("comb", f"SELECT {_KEY}, {_cols('und_first')} FROM comb WHERE {_FIND}"))(lambda s, d: _r(K.search(_comb(s, d), {"fr": "click on", "s1": "type:even"}).select(*P.KEY, "und_first"), "und_first"))
-_NOTYPE = " AND ".join(f"NOT contains({a}, 'type:')" for a in ("f1", "f2", "s1", "s2"))
-_query("prune_results", _sql("comb", f"SELECT {_KEY}, max_und FROM comb WHERE NOT (f1 = s1 AND fr = sr AND f2 = s2) AND max_und >= 3 AND {_VALID} AND {_NOTYPE}"))(
-    lambda s, d: K.prune_results(_comb(s, d), 3, types="notype").select(*P.KEY, "max_und")
+_TYPE = lambda a: f"replace(regexp_extract({a}, '^(.*?)[tT]ype:(.*)$', 2), ':Number', '')"
+_VTYPE = lambda a, b: f"CASE WHEN contains({a}, 'XVAR') THEN {_TYPE(a)} WHEN contains({b}, 'XVAR') THEN {_TYPE(b)} ELSE '' END"
+_NOTYPE = " AND ".join(f"NOT regexp_matches({a}, '[tT]ype:') AND NOT contains({a}, 'Type:quantity')" for a in ("s1", "s2"))
+_query("prune_results", _sql("comb", f"SELECT {_KEY}, und_k FROM comb WHERE NOT (f1 = s1 AND fr = sr AND f2 = s2) AND und_k >= 3 AND {_VALID} AND {_NOTYPE} AND {_VTYPE('f1', 'f2')} = {_VTYPE('s1', 's2')}"))(
+    lambda s, d: K.prune_results(_comb(s, d), 3, types="notype").select(*P.KEY, "und_k")
+)
+_SORTS = {"fs": "max_dir", "sf": "max_und - max_dir", "fs+sf": "max_und", "kfs+sf": "und_k", "f": "nf", "s": "ns"}
+_query("sort_keys", _sql("comb", " UNION ALL ".join(f"SELECT '{n}' AS sort_by, rank, {_KEY}, value FROM (SELECT *, CAST({e} AS BIGINT) AS value, row_number() OVER (ORDER BY {e} DESC, {_KEY}) AS rank FROM comb) WHERE rank <= 20" for n, e in _SORTS.items())))(
+    lambda s, d: reduce(DataFrame.unionByName, [K.rank(_comb(s, d), n, 20).select(F.lit(n).alias("sort_by"), F.col("rank").cast("bigint").alias("rank"), *P.KEY, F.expr(e).cast("bigint").alias("value")) for n, e in _SORTS.items()])
 )
 _query("flagship", _sql("comb", f"""SELECT rank, {_KEY}, {_cols('und_first')}, nf, ns FROM (SELECT *, row_number() OVER (ORDER BY round(und_first, 9) DESC, {_KEY}) AS rank FROM comb) WHERE rank <= 20"""))(
     lambda s, d: _r(K.rank(_comb(s, d), k=20).select(F.col("rank").cast("bigint").alias("rank"), *P.KEY, "und_first", "nf", "ns"), "und_first")
@@ -258,3 +270,166 @@ _query("confidence_agg", _sql("rec", "SELECT arg1, rel, arg2, list_sort(list(con
     lambda s, d: _r(K.confidence(records(s, d)), "mean")
 )
 _query("doc_size_histogram", _sql("rec", "SELECT CAST(least(100, greatest(10, ceil(n / 10) * 10)) AS BIGINT) AS bin, count(*) AS n_docs FROM (SELECT docid, count(*) AS n FROM rec GROUP BY docid) GROUP BY 1"))(lambda s, d: R.size_histogram(records(s, d)))
+
+
+# --- coreference with generalisation ---------------------------------------------------------
+_VT = lambda a, b: f"coalesce(nullif(regexp_extract({a}, '^[^:]*:[tT][yY][pP][eE]:([^:]+)$', 1), ''), nullif(regexp_extract({b}, '^[^:]*:[tT][yY][pP][eE]:([^:]+)$', 1), ''))"
+_GBAND = _BAND.replace("FROM num o JOIN num i", "FROM g o JOIN g i")
+
+
+def _equality_sql(multiple: bool) -> str:
+    """enear: what equality_nearest returns."""
+    names = ("x1", "x2", "y1", "y2")
+    if multiple:
+        bits = " || ".join(f"CASE WHEN {x} THEN '1' ELSE '0' END" for x in ("o.chain1 = i.chain1", "o.chain2 = i.chain2", "o.chain1 = i.chain2", "o.chain2 = i.chain1"))
+        key, none = bits, "'0000'"
+
+        def out(k: int) -> str:
+            arms = " ".join(f"WHEN eq = '{''.join(map(str, b))}' THEN " + (f"'{row[k]}VAR:' || {names[k]}" if row[k] else names[k]) for b, row in P.TABLE.items())
+            return f"CASE {arms} ELSE 'XVAR:' || {names[k]} END"
+    else:
+        key, none = f"coalesce({_EQ}, '')", "''"
+        hits = (("11", "12"), ("21", "22"), ("11", "21"), ("12", "22"))
+
+        def out(k: int) -> str:
+            return f"CASE WHEN eq IN {hits[k]} THEN CASE WHEN {names[k]} LIKE 'type:%' THEN 'XVAR:' || {names[k]} ELSE 'XVAR' END ELSE {names[k]} END"
+
+    return f"""raw AS (SELECT o.docid, o.rid, {key} AS eq, o.g1 AS x1, o.rel AS fr, o.g2 AS x2, i.g1 AS y1, i.rel AS sr, i.g2 AS y2, i.idx - o.idx AS dist {_GBAND}),
+named AS (SELECT docid, rid, dist, {out(0)} AS f1, fr, {out(1)} AS f2, {out(2)} AS s1, sr, {out(3)} AS s2 FROM raw WHERE eq <> {none}),
+enear AS (SELECT docid, rid, {_KEY}, min(dist) AS dist FROM named WHERE coalesce({_VT('f1', 'f2')} = {_VT('s1', 's2')}, true) GROUP BY docid, rid, {_KEY})"""
+
+
+_EDIR = f"""SELECT {_KEY}, dist AS "window", count(*) AS cnt FROM enear GROUP BY ALL"""
+_query("equality_single", _sql("near", _EDIR, _equality_sql(False)))(lambda s, d: P.directed(P.equality_nearest(_num(s, d), W)))
+_query("equality_multiple", _sql("near", _EDIR, _equality_sql(True)))(lambda s, d: P.directed(P.equality_nearest(_num(s, d), W, True)))
+_query("equality_unigrams", _sql("near", "SELECT a1, rel, a2, CAST(sum(n) AS BIGINT) AS n FROM (SELECT a1, rel, a2, n FROM uni UNION ALL SELECT f1, fr, f2, count(*) FROM enear GROUP BY ALL UNION ALL SELECT s1, sr, s2, count(*) FROM enear GROUP BY ALL) GROUP BY ALL", _equality_sql(False)))(
+    lambda s, d: P.equality_unigrams(_num(s, d), P.equality_nearest(_num(s, d), W))
+)
+_query(
+    "pair_head_counts",
+    _sql("near", f"""SELECT {_KEY}, place, head, n FROM (SELECT *, row_number() OVER (PARTITION BY {_KEY}, place ORDER BY n DESC, head) AS r FROM (SELECT {_KEY}, place, head, count(*) AS n FROM
+    (SELECT near.*, 'f1' AS place, arg1 AS head FROM near JOIN num USING (docid, rid) UNION ALL SELECT near.*, 'f2', arg2 FROM near JOIN num USING (docid, rid)) GROUP BY {_KEY}, place, head)) WHERE r <= 5"""),
+)(lambda s, d: P.head_counts(P.nearest(n := _num(s, d), W), n))
+_query(
+    "mention_containment",
+    """WITH sp AS (SELECT user_id AS docid, event_id AS span_id, event_id % 50 AS a, event_id % 50 + event_id % 7 + 1 AS b FROM events), me AS (SELECT user_id AS docid, event_id % 5 AS chain_id, event_id % 40 AS a, event_id % 40 + 5 + event_id % 9 AS b FROM events WHERE event_id % 3 > 0)
+    SELECT sp.docid, span_id, array_to_string(list_sort(list(DISTINCT chain_id)), ',') AS chains FROM sp JOIN me ON sp.docid = me.docid AND me.a <= sp.a AND sp.b <= me.b GROUP BY ALL""",
+)(
+    lambda s, d: P.chains_of(
+        (e := s.read.parquet(f"{d}/events.parquet")).select(F.col("user_id").alias("docid"), F.col("event_id").alias("span_id"), (F.col("event_id") % 50).alias("start"), (F.col("event_id") % 50 + F.col("event_id") % 7 + 1).alias("end")),
+        e.select(F.col("user_id").alias("docid"), (F.col("event_id") % 5).alias("chain_id"), F.when(F.col("event_id") % 3 > 0, "a b").otherwise("a b c d e f").alias("text"), (F.col("event_id") % 40).alias("start"), (F.col("event_id") % 40 + 5 + F.col("event_id") % 9).alias("end")),
+    ).select("docid", "span_id", F.array_join(F.col("chains").cast("array<string>"), ",").alias("chains"))
+)
+
+# --- more filters and text functions ---------------------------------------------------------
+_query("stop_relations", _sql("near", "SELECT * FROM uni WHERE rel NOT IN ('be', 'in', 'to', 'on')"))(lambda s, d: M.stop_relations(P.unigrams(_num(s, d))))
+_query("drop_reporting", _sql("rec", "SELECT docid, rid FROM rec WHERE rel NOT IN ('be', 'had', 'had had') AND NOT list_has_any(string_split(rel, ' '), ['say', 'said', 'saying', 'tell', 'told', 'speak', 'spoke'])"))(lambda s, d: R.drop_reporting(records(s, d)).select("docid", "rid"))
+_LEN = lambda a: f"length({a}.arg1 || {a}.rel || {a}.arg2)"
+_query("drop_redundant", _sql("num", f"SELECT o.docid, o.rid FROM num o WHERE NOT EXISTS (SELECT 1 FROM num i WHERE o.docid = i.docid AND o.sentid = i.sentid AND o.rid <> i.rid AND ({_LEN('i')} > {_LEN('o')} OR {_LEN('i')} = {_LEN('o')} AND i.rid < o.rid) AND {_SUBS})"))(
+    lambda s, d: R.drop_redundant(_num(s, d)).select("docid", "rid")
+)
+_SHOW = lambda a: f"replace(CASE WHEN regexp_matches({a}, '[tT]ype:') THEN regexp_extract({a}, '^(.*?)[tT]ype:', 1) || '[' || {_TYPE(a)} || ']' ELSE {a} END, 'XVAR', 'X')"
+_query("display_tuples", _sql("near", f"SELECT a1, rel, a2, {_SHOW('a1')} AS shown1, {_SHOW('a2')} AS shown2 FROM uni"))(lambda s, d: P.unigrams(_num(s, d)).select("a1", "rel", "a2", T.display(F.col("a1")).alias("shown1"), T.display(F.col("a2")).alias("shown2")))
+_query("text_blocks", "SELECT doc_id, i, substring(text, CAST(i * n + 1 AS INTEGER), n) AS block FROM (SELECT doc_id, text, CAST(floor(length(text) / 9.0 + 0.5) AS INTEGER) AS n, unnest(range(0, 10)) AS i FROM documents WHERE text IS NOT NULL)")(
+    lambda s, d: s.read.parquet(f"{d}/documents.parquet").where("text is not null").select("doc_id", F.posexplode(T.blocks(F.col("text"), 9)).alias("i", "block")).withColumn("i", F.col("i").cast("bigint"))
+)
+
+# --- text forms ------------------------------------------------------------------------------
+
+
+def _whole(s, d):
+    """Pairs in the nested form: structs, counts by window, heads."""
+    t = lambda a, r, b: F.struct(F.col(a).alias("a1"), F.col(r).alias("rel"), F.col(b).alias("a2"), F.array(F.lit(7), F.lit(-3)).alias("hashes"), F.array(F.lit("one here"), F.lit("two")).alias("sentences"), F.array(F.lit("1-2")).alias("ids"), F.create_map(a, F.lit(2)).alias("heads1"), F.create_map(b, F.lit(3)).alias("heads2"))
+    heads = [F.create_map(c, F.lit(1)).alias(f"{c}_heads") for c in ("f1", "f2", "s1", "s2")]
+    nested = _und(s, d).groupBy(*P.KEY).agg(*[F.map_from_entries(F.collect_list(F.struct(F.col("window").cast("int"), F.col(c).cast("int")))).alias(n) for c, n in (("dir", "counts"), ("und", "biterm"))])
+    return nested.select(t("f1", "fr", "f2").alias("first"), t("s1", "sr", "s2").alias("second"), "counts", "biterm", *heads)
+
+
+def _flat(df: DataFrame, *more: str) -> DataFrame:
+    names = zip(P.KEY, ("first.a1", "first.rel", "first.a2", "second.a1", "second.rel", "second.a2"), strict=True)
+    return df.select(*[F.col(c).alias(n) for n, c in names], *more)
+
+
+_query("tuple_codec", _sql("near", "SELECT * FROM uni"))(
+    lambda s, d: C.parse_tuples(C.format_tuples(P.unigrams(_num(s, d)).select("a1", "rel", "a2", F.array(F.lit(1)).alias("hashes"), F.array(F.lit("x y")).alias("sentences"), F.array(F.lit("id")).alias("ids"), F.create_map("a1", F.lit(1)).alias("heads1"), F.create_map("a2", F.lit(1)).alias("heads2"), "n"))).select("a1", "rel", "a2", "n")
+)
+_query("pair_codec", _sql("und", f"""SELECT {_KEY}, "window", dir FROM und"""))(
+    lambda s, d: _flat(C.parse_pairs(C.format_pairs(_whole(s, d))), F.explode("counts").alias("window", "dir")).withColumns({"window": F.col("window").cast("bigint"), "dir": F.col("dir").cast("bigint")})
+)
+_query("measures_codec", _sql("und", f"SELECT {_KEY}, max(und) AS max_und, 5 AS nf, 9 AS ns, f1 || ':1' AS heads FROM und GROUP BY {_KEY}"))(
+    lambda s, d: _flat(C.parse_measures(C.format_measures(_whole(s, d).withColumn("nf", F.lit(5)).withColumn("ns", F.lit(9)))), F.array_max(F.map_values("biterm")).cast("bigint").alias("max_und"), F.col("nf").cast("int").alias("nf"), F.col("ns").cast("int").alias("ns"), F.concat_ws(":", F.map_keys("f1_heads")[0], F.map_values("f1_heads")[0].cast("string")).alias("heads"))
+)
+_GT = lambda a: f"CASE WHEN contains({a}, ':') THEN 'type:' || split_part({a}, ':', 1) ELSE {a} END"
+_GRAPH = f"""graph AS (SELECT {_GT('f1')} || '|' || fr || '|' || {_GT('f2')} AS t1, {_GT('s1')} || '|' || sr || '|' || {_GT('s2')} AS t2, w AS "window", CAST(sum(CASE WHEN "window" <= w THEN cnt ELSE 0 END) AS BIGINT) AS cnt FROM dir, range(1, {W + 1}) t(w) GROUP BY 1, 2, 3)"""
+
+
+def _graph(s, d):
+    one = _dir(s, d).groupBy(*P.KEY).agg(F.map_from_entries(F.collect_list(F.struct(F.col("window").cast("int"), F.col("cnt").cast("int")))).alias("counts"))
+    return C.graph_edges(one.select(F.struct(F.col("f1").alias("a1"), F.col("fr").alias("rel"), F.col("f2").alias("a2")).alias("first"), F.struct(F.col("s1").alias("a1"), F.col("sr").alias("rel"), F.col("s2").alias("a2")).alias("second"), "counts"), W).withColumn("window", F.col("window").cast("bigint"))
+
+
+_query("graph_edges", _sql("near", "SELECT * FROM graph", _GRAPH))(_graph)
+_query("dump_edges", _sql("near", """SELECT t1, t2, CAST(sum(cnt) AS BIGINT) AS n, string_agg(cnt, chr(9) ORDER BY "window") AS counts FROM graph GROUP BY t1, t2 HAVING sum(cnt) > 25""", _GRAPH))(lambda s, d: K.dump_edges(_graph(s, d)))
+_query("lookup_edges", _sql("near", """SELECT a.t2 AS t1, a.t1 AS t2, a."window", coalesce(b.cnt, 0) AS cnt FROM graph a LEFT JOIN graph b ON a.t1 = b.t2 AND a.t2 = b.t1 AND a."window" = b."window" """, _GRAPH))(
+    lambda s, d: K.lookup_edges(g := _graph(s, d), g.select(F.col("t2").alias("t1"), F.col("t1").alias("t2"), "window"))
+)
+_query(
+    "neighbourhood_report",
+    _sql("cum", f"""SELECT 'seed' AS kind, 'seed_NSEP_{SEED}' AS value UNION ALL SELECT 'onehop', 'onehop_NSEP_' || t1 || '_NSEP_' || t2 || '_NSEP_' || format('{{:.6f}}', scp) FROM (SELECT DISTINCT t1, t2, scp FROM sym WHERE t1 = '{SEED}' OR t2 = '{SEED}')
+    UNION ALL SELECT 'twohop', 'twohop_NSEP_' || t1 || '_NSEP_' || t2 || '_NSEP_' || format('{{:.6f}}', scp) FROM (SELECT DISTINCT via, t1, t2, scp FROM sym JOIN ends ON t1 = via OR t2 = via WHERE t1 <> '{SEED}' AND t2 <> '{SEED}')""", _EDGE,
+         f"""ends AS (SELECT DISTINCT via FROM (SELECT CASE WHEN t1 = '{SEED}' THEN t2 ELSE t1 END AS via FROM sym WHERE t1 = '{SEED}' OR t2 = '{SEED}' ORDER BY round(scp, 12) DESC, t1, t2 LIMIT 10) WHERE via <> '{SEED}')"""),
+)(lambda s, d: K.report(_sym(s, d), SEED, 10))
+_query("typed_variants", _sql("rec", "SELECT x[1] AS arg1, rel, x[2] AS arg2 FROM (SELECT rel, unnest([['type:' || split_part(t1, ':', 1), arg2], [arg1, 'type:' || split_part(t2, ':', 1)], ['type:' || split_part(t1, ':', 1), 'type:' || split_part(t2, ':', 1)]]) AS x FROM (SELECT *, arg1types[1] AS t1, arg2types[1] AS t2 FROM rec))"))(
+    lambda s, d: C.typed_variants(records(s, d).withColumns({"arg1_types": F.col("arg1types")[0], "arg2_types": F.col("arg2types")[0]}))
+)
+
+# --- hand-labelled pairs -----------------------------------------------------------------------
+_CONF = "conf AS (SELECT lower(arg1) AS arg1, any_value(rel) AS rel, lower(arg2) AS arg2, list_sort(list(confidence))[count(*) // 2 + 1] AS median, min(confidence) AS least, max(confidence) AS most, avg(confidence) AS mean FROM rec GROUP BY lower(arg1), rec.rel, lower(arg2))"
+_AGG = lambda p: {"median": f"{p}median", "min": f"{p}least", "max": f"{p}most", "average": f"{p}mean", "max+average": f"{p}most + {p}mean", "avg-below": f"CASE WHEN {p}mean < 1 THEN 0 ELSE {p}mean END"}
+_query("confidence_select", _sql("rec", " UNION ALL ".join(f"SELECT arg1, rel, arg2, '{k}' AS agg, round({e}, 6) AS value FROM conf" for k, e in _AGG("").items()), _CONF))(
+    lambda s, d: _r(K.confidence(records(s, d)).select(F.lower("arg1").alias("arg1"), "rel", F.lower("arg2").alias("arg2"), F.explode(F.array(*[F.struct(F.lit(a).alias("agg"), U.aggregate(a).alias("value")) for a in U.AGGREGATES])).alias("x")).select("arg1", "rel", "arg2", "x.agg", "x.value"), "value")
+)
+_BAD = f"(a1 IN {T.PRONOUNS} OR a2 IN {T.PRONOUNS} OR regexp_matches(a1, '[0-9]') OR regexp_matches(a2, '[0-9]') OR rel IN {T.PREPOSITIONS} OR (rel LIKE 'be %' AND rel[4:] IN {T.PREPOSITIONS}) OR list_has_any(string_split(rel, ' '), ['say', 'tell']) OR regexp_matches(rel, '[^0-9a-zA-Z ]'))"
+_query("bad_tuples", _sql("near", f"SELECT a1, rel, a2, {_BAD} AS bad FROM uni"))(lambda s, d: P.unigrams(_num(s, d)).select("a1", "rel", "a2", U.bad_tuple("pronouns,numbers,stoprels", F.col("a1"), F.col("rel"), F.col("a2")).alias("bad")))
+_query("best_partners", _sql("comb", f"SELECT {_KEY}, round(und_first, 6) AS und_first FROM comb WHERE f1 = 'type:even' AND fr = 'click on' AND f2 = 'type:number' AND {_VALID} ORDER BY round(und_first, 9) DESC, s1, sr, s2 LIMIT 25"))(
+    lambda s, d: _r(U.best_partners(_comb(s, d), {"f1": "Type:even ", "fr": "click on", "f2": "type:number"}, 25).select(*P.KEY, "und_first"), "und_first")
+)
+#: A stand-in for hand labels: a fixed function of the counts.
+_LABEL = "(nf + 2 * ns + max_und) % 3"
+
+
+def _tagged(s, d):
+    return _und_counts(s, d).groupBy(*P.KEY).agg(F.max("nf").alias("nf"), F.max("ns").alias("ns"), F.max("und").alias("max_und")).select(*P.KEY, F.expr(f"CAST({_LABEL} = 0 AS int)").alias("label"))
+
+
+def _und_counts(s, d):
+    return M.with_counts(_und(s, d), P.unigrams(_num(s, d)))
+
+
+def _labelled(s, d):
+    item = F.concat_ws("|", *P.KEY).alias("item")
+    return _und_counts(s, d).join(_tagged(s, d), P.KEY).select(*P.KEY, "window", "und", "nf", "ns", "label", item)
+
+
+_query("fill_counts", _sql("comb", f"SELECT {_KEY}, CAST({_LABEL} = 0 AS INTEGER) AS label, nf, ns, max_und FROM comb WHERE {_VALID} AND NOT regexp_matches(s1, '[0-9]') AND NOT regexp_matches(s2, '[0-9]')"))(
+    lambda s, d: U.with_counts_of(_tagged(s, d), _comb(s, d), "numbers").select(*P.KEY, "label", "nf", "ns", "max_und")
+)
+_query("tagged_codec", _sql("und", f"SELECT {_KEY}, 1 AS label, max(und) AS max_und FROM und GROUP BY {_KEY}"))(
+    lambda s, d: C.parse_tagged_counts(C.format_tagged_counts(_flat(_whole(s, d), "biterm", "counts", F.lit(0).alias("first_bad"), F.lit(0).alias("second_bad"), F.lit(1).alias("label"), F.lit(3).alias("nf"), F.lit(4).alias("ns"), F.lit(0.5).alias("score")), "score"), True)
+    .select(*P.KEY, "label", F.array_max(F.map_values("biterm")).cast("bigint").alias("max_und"))
+)
+_ALPHAS, _DELTAS, _AGGS, _CUTS = [0.5, 0.9], [10.0, 1000.0], ["median", "max+average"], [0.0, 0.02, 0.5]
+_GRIDSQL = f"""sums AS (SELECT alpha, concat_ws('|', {_KEY}) AS item, {_KEY}, max(nf) AS nf, max(ns) AS ns, max(und) AS max_und, sum(CAST(und AS DOUBLE) * und * pow(alpha, "window")) / sum(pow(alpha, "window")) AS total FROM cnt2, (SELECT unnest({_ALPHAS}) AS alpha) GROUP BY alpha, {_KEY}),
+sc AS (SELECT sums.*, delta, total / ((nf + delta) * (ns + delta)) AS score, CASE WHEN {_LABEL} = 0 THEN 1 ELSE 0 END AS label, {', '.join(f'{p}.{c} AS {p}_{c}' for p in ('c1', 'c2') for c in ('median', 'most', 'mean'))}
+    FROM sums JOIN conf c1 ON c1.arg1 = f1 AND c1.rel = fr AND c1.arg2 = f2 JOIN conf c2 ON c2.arg1 = s1 AND c2.rel = sr AND c2.arg2 = s2, (SELECT unnest({_DELTAS}) AS delta)),
+cells AS ({" UNION ALL ".join(["SELECT item, label, delta, alpha, 'none' AS agg, 0.0 AS threshold, round(score, 9) AS score FROM sc"] + [f"SELECT item, label, delta, alpha, '{a}', {t}, CASE WHEN least({_AGG('c1_')[a]}, {_AGG('c2_')[a]}) >= {t} THEN round(score, 9) ELSE 0 END FROM sc" for a in _AGGS for t in _CUTS])}),
+pts AS (SELECT *, h / t AS recall, h / n AS precision FROM (SELECT delta, alpha, agg, threshold, row_number() OVER w AS n, sum(label) OVER (w ROWS UNBOUNDED PRECEDING) AS h, sum(label) OVER (PARTITION BY delta, alpha, agg, threshold) AS t FROM cells WINDOW w AS (PARTITION BY delta, alpha, agg, threshold ORDER BY score DESC, item)))"""
+_query(
+    "confidence_grid",
+    _sql("meas", """SELECT CAST(delta AS DOUBLE) AS delta, CAST(alpha AS DOUBLE) AS alpha, agg, CAST(threshold AS DOUBLE) AS threshold, round(sum(a), 6) AS auc FROM (SELECT delta, alpha, agg, threshold, (recall - coalesce(lag(recall) OVER v, 0)) * (precision + coalesce(lag(precision) OVER v, 1)) / 2 AS a FROM pts WINDOW v AS (PARTITION BY delta, alpha, agg, threshold ORDER BY n)) GROUP BY ALL""", _CONF, _GRIDSQL),
+)(lambda s, d: _r(U.grid_search(_labelled(s, d), K.confidence(records(s, d)), "scp", _DELTAS, _ALPHAS, _AGGS, _CUTS), "auc"))
+_query("grid_scores", _sql("meas", f"""SELECT {_KEY}, CAST(delta AS DOUBLE) AS delta, CAST(alpha AS DOUBLE) AS alpha, round(CASE WHEN least_und > 0 THEN sl - ln(nf + ns + 2 * delta) END, 6) AS score FROM
+    (SELECT {_KEY}, alpha, max(nf) AS nf, max(ns) AS ns, min(und) AS least_und, sum(CASE WHEN und > 0 THEN ln(und) END * pow(alpha, "window")) / sum(pow(alpha, "window")) AS sl FROM cnt2, (SELECT unnest({_ALPHAS}) AS alpha) GROUP BY alpha, {_KEY}), (SELECT unnest({_DELTAS}) AS delta)"""))(
+    lambda s, d: _r(U.scores(_und_counts(s, d), "pmi", _DELTAS, _ALPHAS, P.KEY).withColumn("score", F.when(F.col("score") > float("-inf"), F.col("score"))), "score")
+)
+_query("example_records", None)(lambda s, d: K.examples(records(s, d).withColumn("hashes", T.sentence_hashes(F.concat_ws(" ", "sentence", (F.col("docid") % 9).cast("string"))))))

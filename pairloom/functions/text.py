@@ -7,10 +7,21 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 PRONOUNS = ("he", "she", "they", "it", "we", "i", "you")
-REPORTING = ("say", "tell", "report", "announce", "state")
+VIEW_PRONOUNS = ("he", "she", "they", "it", "i", "we")
+REPORTING = ("say", "tell", "ask", "report", "describe")
+REPORTING_FORMS = ("say", "said", "saying", "tell", "told", "speak", "spoke")
+COMMUNICATION = ("say", "tell")
 HINT_PREPOSITIONS = ("in", "on", "at", "over", "by", "after", "near", "of")
 HAVE_FORMS = ("has", "have", "had", "having")
 BE_FORMS = ("be", "is", "was", "are", "were")
+PREPOSITIONS = (
+    "a", "abaft", "aboard", "about", "above", "absent", "across", "afore", "after", "against", "along", "alongside", "amid", "amidst", "among", "amongst", "an",
+    "anenst", "apropos", "apud", "around", "as", "aside", "astride", "at", "athwart", "atop", "barring", "before", "behind", "below", "beneath", "beside", "besides",
+    "between", "beyond", "but", "by", "circa", "concerning", "despite", "down", "during", "except", "excluding", "failing", "following", "for", "forenenst", "from",
+    "given", "in", "including", "inside", "into", "lest", "like", "mid", "midst", "minus", "modulo", "near", "next", "notwithstanding", "of", "off", "on", "onto",
+    "opposite", "out", "outside", "over", "pace", "past", "per", "plus", "pro", "qua", "regarding", "round", "sans", "save", "since", "than", "through", "throughout",
+    "till", "times", "to", "toward", "towards", "under", "underneath", "unlike", "until", "unto", "up", "upon", "versus", "via", "vice", "with", "within", "without", "worth",
+)
 
 
 def java_hash(text: Column) -> Column:
@@ -48,7 +59,7 @@ def strip_be(rel: Column) -> Column:
     return F.regexp_replace(rel, "^be ", "")
 
 
-def verb_of(rel: Column, prepositions: tuple[str, ...] = HINT_PREPOSITIONS) -> Column:
+def verb_of(rel: Column, prepositions: tuple[str, ...] = PREPOSITIONS) -> Column:
     """The relation without "be" and prepositions, or as it is if nothing is left."""
     left = F.array_join(F.filter(tokens(rel), lambda t: ~t.isin("be", *prepositions)), " ")
     return F.when(left == "", rel).otherwise(left)
@@ -64,13 +75,82 @@ def alnum(text: Column) -> Column:
     return text.rlike("[a-zA-Z0-9]")
 
 
-def special(text: Column) -> Column:
-    """Has a character outside letters, digits and the colon."""
-    return text.rlike("[^0-9a-zA-Z:]")
+def special(text: Column, other: str = ":") -> Column:
+    """Has a character outside letters, digits and those of `other`."""
+    return text.rlike(f"[^0-9a-zA-Z{other}]")
 
 
-def pronoun(text: Column) -> Column:
-    return F.lower(text).isin(*PRONOUNS)
+def replace_special(text: Column, other: str, by: str) -> Column:
+    return F.regexp_replace(text, f"[^0-9a-zA-Z{other}]", by)
+
+
+def has_number(text: Column) -> Column:
+    return text.rlike("[0-9]")
+
+
+def strip_var(arg: Column) -> Column:
+    """The argument without the names of variables."""
+    return F.regexp_replace(arg, "[XY]VAR:", "")
+
+
+def pronoun(text: Column, words: tuple[str, ...] = PRONOUNS) -> Column:
+    return strip_var(F.trim(text)).isin(*words)
+
+
+def has_word(rel: Column, words: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(tokens(rel), F.array(*map(F.lit, words)))
+
+
+def type_name(arg: Column) -> Column:
+    """What follows the first "type:", without ":Number"; empty if there is none."""
+    return F.replace(F.regexp_extract(arg, "^(.*?)[tT]ype:(.*)$", 2), F.lit(":Number"), F.lit(""))
+
+
+def display(arg: Column) -> Column:
+    """Types in brackets, XVAR as X."""
+    shown = F.when(arg.rlike("[tT]ype:"), F.concat(F.regexp_extract(arg, "^(.*?)[tT]ype:", 1), F.lit("["), type_name(arg), F.lit("]"))).otherwise(arg)
+    return F.replace(shown, F.lit("XVAR"), F.lit("X"))
+
+
+def first_rest(text: Column, sep: str = "\t") -> Column:
+    """[before the first separator, after it]; null without one. The separator is literal."""
+    at = F.instr(text, F.lit(sep))
+    return F.when(at > 0, F.array(F.substring(text, F.lit(1), at - 1), F.substring(text, at + len(sep), F.length(text))))
+
+
+def nth_field(text: Column, sep: str, n: int) -> Column:
+    """Field n from 0, or null; the separator is a regular expression."""
+    return F.get(F.split(text, sep), n)
+
+
+def number_or(text: Column, kind: str, default: float) -> Column:
+    return F.coalesce(F.trim(text).try_cast(kind), F.lit(default).cast(kind))
+
+
+def blocks(text: Column, n: int) -> Column:
+    """n blocks of length / n characters, rounded, and the n + 1st: what is left, at most a block of it. The text alone if n < 1."""
+    if n < 1:
+        return F.array(text)
+    size = F.floor(F.length(text) / n + 0.5).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.substring(text, i * size + 1, size))
+
+
+def window_counts_text(m: Column) -> Column:
+    """A window-to-count map as k:v,k:v by window."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ",")
+
+
+def _last_wins(entries: Column) -> Column:
+    """A map of entries, of which a key's last counts."""
+    later = lambda x, i: F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(0))), lambda y: y["key"] == x["key"])
+    return F.map_from_entries(F.filter(entries, lambda x, i: ~later(x, i)))
+
+
+def window_counts_of_text(text: Column) -> Column:
+    """The inverse. A malformed entry makes the whole map empty."""
+    entries = F.transform(F.filter(F.split(text, ","), lambda p: p != ""), lambda p: F.struct(F.get(F.split(p, ":"), 0).try_cast("int").alias("key"), F.get(F.split(p, ":"), 1).try_cast("int").alias("value")))
+    good = F.forall(entries, lambda e: e["key"].isNotNull() & e["value"].isNotNull())
+    return _last_wins(F.when(good, entries).otherwise(F.slice(entries, 1, 0)))
 
 
 def counts_text(m: Column) -> Column:
@@ -80,4 +160,5 @@ def counts_text(m: Column) -> Column:
 
 def counts_of_text(text: Column) -> Column:
     pairs = F.filter(F.split(text, "_ESEP_"), lambda p: p.contains("_CSEP_"))
-    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.split(p, "_CSEP_")[0].alias("key"), F.split(p, "_CSEP_")[1].cast("int").alias("value"))))
+    entries = F.transform(pairs, lambda p: F.struct(F.split(p, "_CSEP_")[0].alias("key"), F.split(p, "_CSEP_")[1].try_cast("int").alias("value")))
+    return _last_wins(F.filter(entries, lambda e: e["value"].isNotNull()))

@@ -77,10 +77,15 @@ def measures(counted: DataFrame, delta: float = 10.0) -> DataFrame:
     )
 
 
-def combined(m: DataFrame, alpha: float = 0.9) -> DataFrame:
-    """Per pair: the decayed averages, the counts, and the largest window counts."""
+def combined(m: DataFrame, alpha: float = 0.9, k: int | None = None) -> DataFrame:
+    """Per pair: the decayed averages, the counts, the largest window counts, and und_k, the undirected count at
+    window k (the largest if k is None)."""
     names = ("dir_first", "dir_second", "und_first", "und_second", "scp")
-    return m.groupBy(*KEY).agg(*[decayed(F.col(c), alpha).alias(c) for c in names], F.max("nf").alias("nf"), F.max("ns").alias("ns"), F.max("dir").alias("max_dir"), F.max("und").alias("max_und"))
+    at_k = F.max("und") if k is None else F.coalesce(F.max(F.when(F.col("window") == k, F.col("und"))), F.lit(0).cast("bigint"))
+    return m.groupBy(*KEY).agg(
+        *[decayed(F.col(c), alpha).alias(c) for c in names],
+        F.max("nf").alias("nf"), F.max("ns").alias("ns"), F.max("dir").alias("max_dir"), F.max("und").alias("max_und"), at_k.alias("und_k"),
+    )
 
 
 def named(c: DataFrame) -> DataFrame:

@@ -62,18 +62,16 @@ def unigrams(rec: DataFrame) -> DataFrame:
     return generalise(rec).groupBy("a1", "rel", "a2").agg(F.count("*").alias("n"))
 
 
-def _equal(a: str, b: str) -> Column:
-    return F.coalesce(F.col(a) == F.col(b), F.lit(False))
-
-
-def bits() -> list[Column]:
-    """1=1, 2=2, 1=2, 2=1 over chain keys of the pair's arguments."""
-    return [_equal("o.chain1", "i.chain1"), _equal("o.chain2", "i.chain2"), _equal("o.chain1", "i.chain2"), _equal("o.chain2", "i.chain1")]
+def bits(rec: DataFrame) -> list[Column]:
+    """1=1, 2=2, 1=2, 2=1 over the chains of the pair's arguments: one key each, or an array of keys that need to meet."""
+    sets = rec.schema["chain1"].dataType.typeName() == "array"
+    equal = lambda a, b: F.coalesce(F.arrays_overlap(a, b) if sets else F.col(a) == F.col(b), F.lit(False))
+    return [equal("o.chain1", "i.chain1"), equal("o.chain2", "i.chain2"), equal("o.chain1", "i.chain2"), equal("o.chain2", "i.chain1")]
 
 
 def coref_single(rec: DataFrame, window: int = 10) -> DataFrame:
     """The first equality that holds, of 1=1, 1=2, 2=1, 2=2, written as XVAR."""
-    b = bits()
+    b = bits(rec)
     case = F.when(b[0], "11").when(b[2], "12").when(b[3], "21").when(b[1], "22")
     p = band_join(rec, window).withColumn("eq", case).where("eq is not null")
     arg = lambda col, hits: F.when(F.col("eq").isin(*hits), "XVAR").otherwise(F.col(col))
@@ -85,7 +83,7 @@ def coref_single(rec: DataFrame, window: int = 10) -> DataFrame:
 
 def coref_multiple(rec: DataFrame, window: int = 10) -> DataFrame:
     """All equalities at once, with XVAR and YVAR."""
-    b = bits()
+    b = bits(rec)
     names = ("o.arg1", "o.arg2", "i.arg1", "i.arg2")
     p = band_join(rec, window).where(reduce(lambda x, y: x | y, b))
 
@@ -100,6 +98,65 @@ def coref_multiple(rec: DataFrame, window: int = 10) -> DataFrame:
     return p.select(F.col("o.docid").alias("docid"), out(0).alias("f1"), F.col("o.rel").alias("fr"), out(1).alias("f2"), out(2).alias("s1"), F.col("i.rel").alias("sr"), out(3).alias("s2"), (F.col("i.idx") - F.col("o.idx")).alias("dist"))
 
 
+def _variables(b: list[Column], multiple: bool) -> list[Column]:
+    """The variable of each of the four arguments, or null, given the equalities."""
+    if not multiple:
+        x = F.lit("XVAR")
+        first = F.when(b[0], "11").when(b[2], "12").when(b[3], "21").when(b[1], "22")
+        return [F.when(first.isin(*hits), x) for hits in (("11", "12"), ("21", "22"), ("11", "21"), ("12", "22"))]
+    state = F.concat(*[F.when(c, "1").otherwise("0") for c in b])
+    known = {"".join(map(str, bits_)): row for bits_, row in TABLE.items()}
+    out = []
+    for k in range(4):
+        case = F.when(state == "0000", F.lit(None).cast("string"))
+        for bits_, row in known.items():
+            case = case.when(state == bits_, F.lit(f"{row[k]}VAR" if row[k] else None).cast("string"))
+        out.append(case.otherwise("XVAR"))
+    return out
+
+
+def variable_type(first: str, second: str) -> Column:
+    """The type in name:type:value of one of two arguments, the first that has one; else null."""
+    found = lambda c: F.nullif(F.regexp_extract(c, "^[^:]*:[tT][yY][pP][eE]:([^:]+)$", 1), F.lit(""))
+    return F.coalesce(found(first), found(second))
+
+
+def equality_nearest(rec: DataFrame, window: int = 10, multiple: bool = False) -> DataFrame:
+    """docid, rid, pair key, dist: generalised pairs whose arguments corefer, with variables in their place.
+
+    One variable stands for a head, and goes before a type; with `multiple`, XVAR and YVAR go before every argument
+    they stand for. Pairs of two different types of variables drop; a pair counts once for an outer record."""
+    ready = rec.withColumn("r1", representations(F.col("arg1"), F.col("arg1types"))).withColumn("r2", representations(F.col("arg2"), F.col("arg2types")))
+    slim = ready.select("docid", "rid", "sentid", "idx", "arg1", "rel", "arg2", "r1", "r2", "chain1", "chain2")
+    b = bits(slim)
+    p = band_join(slim, window).where(reduce(lambda x, y: x | y, b)).select(
+        F.col("o.docid").alias("docid"), F.col("o.bucket").alias("bucket"), F.col("o.rid").alias("rid"), F.col("o.rel").alias("fr"), F.col("i.rel").alias("sr"),
+        (F.col("i.idx") - F.col("o.idx")).alias("dist"), F.explode("o.r1").alias("f1"), F.col("o.r2").alias("o2"), F.col("i.r1").alias("i1"), F.col("i.r2").alias("i2"),
+        *[v.alias(f"v{k}") for k, v in enumerate(_variables(b, multiple))],
+    )
+    out = p.withColumn("f2", F.explode("o2")).withColumn("s1", F.explode("i1")).withColumn("s2", F.explode("i2"))
+    for k, c in enumerate(("f1", "f2", "s1", "s2")):
+        named = F.concat_ws(":", f"v{k}", c) if multiple else F.when(F.col(c).startswith("type:"), F.concat_ws(":", f"v{k}", c)).otherwise(F.col(f"v{k}"))
+        out = out.withColumn(c, F.when(F.col(f"v{k}").isNull(), F.col(c)).otherwise(named))
+    agree = F.coalesce(variable_type("f1", "f2") == variable_type("s1", "s2"), F.lit(True))
+    return out.where(agree).groupBy("docid", "bucket", "rid", *KEY).agg(F.min("dist").alias("dist")).drop("bucket")
+
+
+def equality_unigrams(rec: DataFrame, near: DataFrame) -> DataFrame:
+    """a1, rel, a2, n: plain tuples count once a record, those with variables once a pair they are in."""
+    side = lambda k: near.groupBy(*[F.col(c).alias(n) for c, n in zip(KEY[k : k + 3], ("a1", "rel", "a2"), strict=True)]).agg(F.count("*").alias("n"))
+    return unigrams(rec).unionByName(side(0)).unionByName(side(3)).groupBy("a1", "rel", "a2").agg(F.sum("n").alias("n"))
+
+
+def head_counts(near: DataFrame, rec: DataFrame, most: int = 5) -> DataFrame:
+    """Pair, place (f1, f2), head, n: the raw heads of the outer record, the `most` most frequent (ties by head)."""
+    heads = near.join(rec.select("docid", "rid", "arg1", "arg2"), ["docid", "rid"])
+    each = heads.select(*KEY, F.explode(F.array(F.struct(F.lit("f1").alias("place"), F.col("arg1").alias("head")), F.struct(F.lit("f2").alias("place"), F.col("arg2").alias("head")))).alias("h"))
+    n = each.groupBy(*KEY, "h.place", "h.head").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*KEY, "place").orderBy(F.desc("n"), "head")
+    return n.withColumn("r_", F.row_number().over(w)).where(F.col("r_") <= most).drop("r_")
+
+
 def chains_of(spans: DataFrame, mentions: DataFrame, most_words: int = 5) -> DataFrame:
     """Chain keys whose mention contains a span: docid, span_id, chains. Mentions of too many words do not take part."""
     m = mentions.where(F.size(F.split("text", " ")) <= most_words).select(F.col("docid").alias("m_doc"), "chain_id", F.col("start").alias("m_start"), F.col("end").alias("m_end"))

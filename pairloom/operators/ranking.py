@@ -13,13 +13,24 @@ from .pairs import KEY
 FIRST, SECOND = KEY[:3], KEY[3:]
 
 
-def top_tuples(c: DataFrame, k: int, least_pairs: int = 1) -> DataFrame:
-    """Per first tuple: pairs, valid pairs, and sums of the k best scp, P(S|F), P(F|S), each ranked by itself."""
-    ranked = c
+def clean_tuple(args: list[str], rel: str) -> Column:
+    """No pronoun arguments, and a relation of letters, digits and colons alone (so of one word)."""
+    a, b = (F.col(x) for x in args)
+    return ~T.pronoun(a) & ~T.pronoun(b) & ~T.special(F.col(rel))
+
+
+def top_tuples(c: DataFrame, k: int, least_pairs: int = 1, more_than: int = 0, types: bool = True) -> DataFrame:
+    """Per first tuple: its pairs, those with a clean second tuple, and sums of the k best scp, P(S|F), P(F|S), each
+    ranked by itself. Pairs of invalid counts, or of no undirected count above `more_than`, do not take part, nor do
+    typed ones if `types` is false. scp is the product of the combined conditionals."""
+    ranked = c.where(valid() & (F.col("max_und") > more_than)).withColumn("scp", F.col("und_first") * F.col("und_second"))
+    if not types:
+        ranked = ranked.where(~F.concat_ws(" ", *KEY).contains("type:"))
     for name in ("scp", "und_first", "und_second"):
         ranked = ranked.withColumn(f"r_{name}", F.row_number().over(Window.partitionBy(*FIRST).orderBy(F.desc(F.round(name, 9)), *SECOND)))
     best = lambda name: F.sum(F.when(F.col(f"r_{name}") <= k, F.col(name)))
-    out = ranked.groupBy(*FIRST).agg(F.count("*").alias("n_pairs"), F.sum(valid().cast("bigint")).alias("n_valid"), best("scp").alias("scp"), best("und_first").alias("p_sf"), best("und_second").alias("p_fs"))
+    clean = F.sum(clean_tuple(["s1", "s2"], "sr").cast("bigint")).alias("n_clean")
+    out = ranked.groupBy(*FIRST).agg(F.count("*").alias("n_pairs"), clean, best("scp").alias("scp"), best("und_first").alias("p_sf"), best("und_second").alias("p_fs"))
     return out.where(F.col("n_pairs") >= least_pairs)
 
 
@@ -53,27 +64,41 @@ def phrase(column: str, query: str) -> Column:
     return F.concat(F.lit(" "), F.lower(F.regexp_replace(column, "[^0-9a-zA-Z:]", " ")), F.lit(" ")).contains(f" {clean} ")
 
 
-def search(pairs: DataFrame, query: dict[str, str], exact: bool = False, reporting: bool = True) -> DataFrame:
-    """Conjunction of the non-empty fields of `query`; an empty query finds nothing."""
+def search(pairs: DataFrame, query: dict[str, str], exact: bool = False, reporting: bool | None = True) -> DataFrame:
+    """Conjunction of the non-empty fields of `query`; an empty query finds nothing.
+
+    reporting: False drops pairs with a reporting relation, None those whose second relation is one."""
     asked = {c: q for c, q in query.items() if q.strip()}
     if not asked:
         return pairs.limit(0)
     out = pairs
     for c, q in asked.items():
         out = out.where(F.lower(F.col(c)) == q.lower() if exact else phrase(c, q))
-    if not reporting:
-        for c in ("fr", "sr"):
-            out = out.where(~F.arrays_overlap(T.tokens(F.col(c)), F.array(*map(F.lit, T.REPORTING))))
+    for c in () if reporting else ("sr",) if reporting is None else ("fr", "sr"):
+        out = out.where(~T.has_word(F.col(c), T.REPORTING))
     return out
 
 
+def same_tuple() -> Column:
+    """A pair of a tuple with itself, whatever the case and blanks around."""
+    norm = lambda c: F.lower(F.trim(F.col(c)))
+    return (norm("f1") == norm("s1")) & (norm("fr") == norm("sr")) & (norm("f2") == norm("s2"))
+
+
+def variable_type(arg1: str, arg2: str) -> Column:
+    """The type of the first argument of the two that is a variable; empty if none is, or it has no type."""
+    return F.when(F.col(arg1).contains("XVAR"), T.type_name(F.col(arg1))).when(F.col(arg2).contains("XVAR"), T.type_name(F.col(arg2))).otherwise("")
+
+
 def prune_results(c: DataFrame, least: int = 1, equality: str = "both", types: str = "both") -> DataFrame:
-    """Not a tuple with itself, no pronouns, frequent enough, equality and type options, no quantities, valid counts."""
-    same = (F.col("f1") == F.col("s1")) & (F.col("fr") == F.col("sr")) & (F.col("f2") == F.col("s2"))
-    out = c.where(~same & (F.col("max_und") >= least) & valid())
-    for a in ("f1", "f2", "s1", "s2"):
-        out = out.where(~T.pronoun(F.col(a)) & ~F.col(a).contains("Type:quantity"))
+    """Not a tuple with itself, no pronouns, frequent enough at window k (und_k), equality and type options, no
+    quantities, agreeing types of variables, valid counts; each pair once.
+
+    The type options look at the second tuple: both its arguments typed, or neither."""
+    out = c.where(~same_tuple() & (F.col("und_k") >= least) & valid())
     args = ("f1", "f2", "s1", "s2")
+    for a in args:
+        out = out.where(~F.trim(F.col(a)).isin(*T.VIEW_PRONOUNS) & ~F.col(a).contains("Type:quantity"))
     has_var = F.concat_ws("|", *args).contains("XVAR")
     if equality == "equality":
         out = out.where(has_var)
@@ -83,19 +108,19 @@ def prune_results(c: DataFrame, least: int = 1, equality: str = "both", types: s
     if types == "type":
         out = out.where(typed("s1") & typed("s2"))
     elif types == "notype":
-        out = out.where(~typed("f1") & ~typed("f2") & ~typed("s1") & ~typed("s2"))
-    return out
+        out = out.where(~typed("s1") & ~typed("s2"))
+    return out.where(variable_type("f1", "f2") == variable_type("s1", "s2")).dropDuplicates(KEY)
 
 
 SORT_KEYS = {
-    "conditional": "und_first", "fs": "dir_first", "sf": "dir_second", "f": "nf", "s": "ns",
-    "fs+sf": "dir_first + dir_second", "kfs+sf": "und_first + und_second",
+    "conditional": "und_first", "fs": "max_dir", "sf": "max_und - max_dir", "fs+sf": "max_und",
+    "kfs+sf": "und_k", "f": "nf", "s": "ns",
 }
 
 
 def rank(c: DataFrame, by: str = "conditional", k: int | None = None) -> DataFrame:
     """Descending by a sort key, ties by the pair; with rank numbers, the first k only if asked."""
-    order = [F.desc(F.round(F.expr(SORT_KEYS.get(by, "und_first")), 9)), *[F.asc(x) for x in KEY]]
+    order = [F.desc(F.round(F.expr(SORT_KEYS.get(by, "und_first")).cast("double"), 9)), *[F.asc(x) for x in KEY]]
     top = c.orderBy(*order) if k is None else c.orderBy(*order).limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))) if k else top
 
@@ -150,6 +175,32 @@ def two_hop(edges: DataFrame, seed: str, k: int) -> DataFrame:
     return via1.unionByName(via2).distinct()
 
 
+def dump_edges(edges: DataFrame, more_than: int = 25) -> DataFrame:
+    """Edges whose counts over all windows sum to more than a threshold: t1, t2, and the counts by window as text."""
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("window", "cnt"))), lambda x: x["cnt"].cast("string")), "\t")
+    return edges.groupBy("t1", "t2").agg(F.sum("cnt").alias("n"), listed.alias("counts")).where(F.col("n") > more_than)
+
+
+def lookup_edges(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """Counts of asked (t1, t2, window); zero where there are none."""
+    return asked.join(edges, ["t1", "t2", "window"], "left").fillna(0, ["cnt"])
+
+
+def report(edges: DataFrame, seed: str, k: int = 25) -> DataFrame:
+    """Lines of a neighbourhood: the seed, its edges, and the edges of its k best neighbours."""
+    sep = "_NSEP_"
+    line = lambda kind: F.concat_ws(sep, F.lit(kind), "t1", "t2", F.format_number("scp", 6))
+    top = edges.sparkSession.range(1).select(F.lit("seed").alias("kind"), F.lit(f"seed{sep}{seed}").alias("value"))
+    one = one_hop(edges, seed).select(F.lit("onehop").alias("kind"), line("onehop").alias("value"))
+    two = two_hop(edges, seed, k).select(F.lit("twohop").alias("kind"), line("twohop").alias("value"))
+    return top.unionByName(one).unionByName(two)
+
+
+def document_tuples(rec: DataFrame, docids: list, most_docs: int = 100) -> DataFrame:
+    """Records of the first `most_docs` of the asked documents."""
+    return rec.where(F.col("docid").isin(sorted(docids)[:most_docs]))
+
+
 # --- evaluation ------------------------------------------------------------------------
 
 
@@ -181,6 +232,19 @@ def confidence(rec: DataFrame) -> DataFrame:
     return rec.groupBy("arg1", "rel", "arg2").agg(F.element_at(s, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("median"), F.min("confidence").alias("least"), F.max("confidence").alias("most"), F.avg("confidence").alias("mean"))
 
 
+def examples(rec: DataFrame, k: int = 5) -> DataFrame:
+    """Per tuple up to k examples by falling confidence (ties by rid), none sharing a hash with a record before it.
+
+    A tuple's records are first thinned to one for each set of hashes, its best, so that near-duplicates meet before
+    the fold; what one fold holds is the distinct sets of a tuple."""
+    best = F.min_by(F.struct("rid", "sentence"), F.struct((-F.col("confidence")).alias("c"), "rid"))
+    thin = rec.groupBy("arg1", "rel", "arg2", F.array_sort("hashes").alias("hashes"), F.when(F.size("hashes") == 0, F.col("rid")).alias("own")).agg(F.max("confidence").alias("confidence"), best.alias("x"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), F.col("x.rid").alias("rid"), "hashes", F.col("x.sentence").alias("sentence"))))
+    folded = thin.groupBy("arg1", "rel", "arg2").agg(order.alias("xs"))
+    return folded.select("arg1", "rel", "arg2", F.explode(F.slice(F.expr("""aggregate(xs, named_struct('h', cast(array() as array<int>), 'out', cast(array() as array<string>)),
+        (a, x) -> named_struct('h', array_union(a.h, x.hashes), 'out', IF(arrays_overlap(a.h, x.hashes), a.out, array_append(a.out, x.sentence)))).out"""), 1, k)).alias("sentence"))
+
+
 def release_pairs(cum: DataFrame, grid: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """A pair's counts on a grid of windows, as comma-separated text."""
     at = lambda name: F.concat_ws(",", *[F.coalesce(F.sum(F.when(F.col("window") == w, F.col(name))), F.lit(0)).cast("string") for w in grid])

@@ -28,7 +28,7 @@ def prune(rec: DataFrame, most_words: int = 7) -> DataFrame:
 
 def drop_reporting(rec: DataFrame) -> DataFrame:
     """Opt-in: without reporting, "be" and "had" relations."""
-    return rec.where(~F.arrays_overlap(T.tokens(F.col("rel")), F.array(*map(F.lit, T.REPORTING))) & ~F.col("rel").isin("be", "had"))
+    return rec.where(~T.has_word(F.col("rel"), T.REPORTING_FORMS) & ~F.col("rel").isin("be", "had", "had had"))
 
 
 def said_preposition(rec: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import counts_of_text, counts_text
+from pairloom.functions.text import counts_of_text, counts_text, first_rest, number_or, window_counts_of_text, window_counts_text
 
 # The separators of the text forms.
 SPAN = "_SPAN_"
@@ -13,21 +13,22 @@ DOCID, RECORD = "_DOCID_SEP_", "_RECORD_SEP_"
 TDOC = "_TDOC_SEP_"
 KEYVAL, VAL, MENTION, MFIELD = "_KEYVAL_SEP_", "_VALSEP_", "_MSEP_", "_MFIELD_SEP_"
 SENT = "_SENT_SEP_"
-PAIR, PAIR_COUNTS = "_RG_SEP_", "_RGC_SEP_"
+PAIR, PAIR_COUNTS, UNDIRECTED, MEASURES = "_RG_SEP_", "_RGC_SEP_", "_URGC_", "_MSEP_"
+AFFINITY, WINDOWED, TAGGED = "_affsep_", "_WSEP_", "_TRGC_SEP_"
 
 
 def _part(line: Column, sep: str, k: int) -> Column:
     return F.try_element_at(F.split(line, sep, -1), F.lit(k))
 
 
-def parse_app_lines(lines: DataFrame) -> DataFrame:
+def parse_app_lines(lines: DataFrame, *more: str) -> DataFrame:
     """'|' lines of eleven fields and more; shorter ones, and those without a sentence number, drop."""
     p = F.split("value", "\\|", -1)
     types = lambda i: F.filter(F.split(F.get(p, i), ","), lambda t: t != "")
     rows = lines.where(F.size(p) >= 11)
     out = rows.select(
         F.get(p, 0).alias("docid"), F.get(p, 1).try_cast("int").alias("sentid"), F.get(p, 2).alias("sentence"), F.get(p, 3).alias("arg1"), F.get(p, 4).alias("arg1head"), types(5).alias("arg1types"),
-        F.get(p, 6).alias("rel"), F.get(p, 7).alias("relhead"), F.get(p, 8).alias("arg2"), F.get(p, 9).alias("arg2head"), types(10).alias("arg2types"),
+        F.get(p, 6).alias("rel"), F.get(p, 7).alias("relhead"), F.get(p, 8).alias("arg2"), F.get(p, 9).alias("arg2head"), types(10).alias("arg2types"), *more,
     )
     return out.where("sentid is not null")
 
@@ -88,20 +89,202 @@ def parse_mentions(lines: DataFrame) -> DataFrame:
 
 def format_tuples(tuples: DataFrame) -> DataFrame:
     """a1, rel, a2, hashes, sentences, ids, heads1, heads2, n as TAB lines."""
-    return tuples.select(F.concat_ws("\t", "a1", "rel", "a2", F.array_join(F.col("hashes").cast("array<string>"), ","), F.array_join("sentences", SENT), F.array_join("ids", ","), counts_text(F.col("heads1")), counts_text(F.col("heads2")), F.col("n").cast("string")).alias("value"))
+    return tuples.select(F.struct(*TUPLE).alias("t"), "n").select(F.concat_ws("\t", tuple_text("t"), F.col("n").cast("string")).alias("value"))
 
 
 def parse_tuples(lines: DataFrame) -> DataFrame:
     """The inverse; lines without a count or with fewer than six fields drop; hashes that are no numbers are -1."""
-    body = F.regexp_extract("value", "^(.*)\t([0-9]+)$", 1)
-    n = F.regexp_extract("value", "^(.*)\t([0-9]+)$", 2).try_cast("bigint")
-    p = F.split(body, "\t", -1)
-    at = lambda k: F.coalesce(F.try_element_at(p, F.lit(k)), F.lit(""))
+    body, n = (F.regexp_extract("value", "^(.*)\t([0-9]+)$", k) for k in (1, 2))
+    rows = lines.select(tuple_of_text(body).alias("t"), n.try_cast("bigint").alias("n"))
+    return rows.where("n is not null and t is not null").select("t.*", "n")
+
+
+TUPLE = ("a1", "rel", "a2", "hashes", "sentences", "ids", "heads1", "heads2")
+
+
+def tuple_text(t: str) -> Column:
+    """A struct a1, rel, a2, hashes, sentences, ids, heads1, heads2 as TAB fields."""
+    c = lambda n: F.col(f"{t}.{n}")
+    return F.concat_ws("\t", c("a1"), c("rel"), c("a2"), F.array_join(c("hashes").cast("array<string>"), ","), F.array_join(c("sentences"), SENT), F.array_join(c("ids"), ","), counts_text(c("heads1")), counts_text(c("heads2")))
+
+
+def tuple_of_text(text: Column) -> Column:
+    """The inverse; null for fewer than six fields."""
+    p = F.split(text, "\t", -1)
+    at = lambda k: F.coalesce(F.get(p, k), F.lit(""))
     listed = lambda c, sep: F.filter(F.split(c, sep), lambda t: t != "")
-    return lines.where(n.isNotNull() & (F.size(p) >= 6)).select(
-        at(1).alias("a1"), at(2).alias("rel"), at(3).alias("a2"), F.transform(listed(at(4), ","), lambda h: F.coalesce(h.try_cast("int"), F.lit(-1))).alias("hashes"),
-        listed(at(5), SENT).alias("sentences"), listed(at(6), ",").alias("ids"), counts_of_text(at(7)).alias("heads1"), counts_of_text(at(8)).alias("heads2"), n.alias("n"),
+    fields = F.struct(
+        at(0).alias("a1"), at(1).alias("rel"), at(2).alias("a2"), F.transform(listed(at(3), ","), lambda h: F.coalesce(h.try_cast("int"), F.lit(-1))).alias("hashes"),
+        listed(at(4), SENT).alias("sentences"), listed(at(5), ",").alias("ids"), counts_of_text(at(6)).alias("heads1"), counts_of_text(at(7)).alias("heads2"),
     )
+    return F.when(F.size(p) >= 6, fields)
+
+
+HEADS = ("f1_heads", "f2_heads", "s1_heads", "s2_heads")
+
+
+def _pair_text() -> Column:
+    pair = F.concat(tuple_text("first"), F.lit(PAIR), tuple_text("second"))
+    return F.concat_ws(PAIR_COUNTS, pair, window_counts_text(F.col("counts")), F.concat_ws("\t", *[counts_text(F.col(h)) for h in HEADS]))
+
+
+def _read_pair(lines: DataFrame, text: Column) -> DataFrame:
+    """lines plus first, second, counts and the four maps of heads; lines with a missing part drop."""
+    parts = F.split(text, PAIR_COUNTS, -1)
+    rows = lines.where(F.size(parts) > 2).withColumn("parts_", parts)
+    both, heads = F.split(F.col("parts_")[0], PAIR, -1), F.split(F.col("parts_")[2], "\t", -1)
+    rows = rows.where((F.size(both) > 1) & (F.size(heads) >= 4)).withColumns({"first": tuple_of_text(both[0]), "second": tuple_of_text(both[1]), "counts": window_counts_of_text(F.col("parts_")[1])})
+    rows = rows.withColumns({h: counts_of_text(heads[k]) for k, h in enumerate(HEADS)})
+    return rows.where(F.col("first").isNotNull() & F.col("second").isNotNull()).drop("parts_")
+
+
+def format_pairs(pairs: DataFrame) -> DataFrame:
+    """first, second, counts (window to count) and four maps of heads as lines."""
+    return pairs.select(_pair_text().alias("value"))
+
+
+def parse_pairs(lines: DataFrame) -> DataFrame:
+    return _read_pair(lines, F.col("value")).drop("value")
+
+
+def format_measures(pairs: DataFrame) -> DataFrame:
+    """The columns of pairs, biterm (window to undirected count), nf, ns."""
+    und = F.concat(_pair_text(), F.lit(UNDIRECTED), window_counts_text(F.col("biterm")))
+    return pairs.select(F.concat_ws(MEASURES, und, F.col("nf").cast("string"), F.col("ns").cast("string")).alias("value"))
+
+
+def parse_measures(lines: DataFrame) -> DataFrame:
+    """Pairs with undirected counts; nf and ns are 0 where a line has none, so lines of undirected counts alone will do."""
+    whole = F.split("value", MEASURES, -1)
+    und = F.split(whole[0], UNDIRECTED, -1)
+    count = lambda k: number_or(F.get(whole, k), "bigint", 0)
+    rows = lines.where(F.size(und) > 1).withColumns({"text_": und[0], "biterm": window_counts_of_text(und[1]), "nf": count(1), "ns": count(2)})
+    return _read_pair(rows, F.col("text_")).drop("value", "text_")
+
+
+def format_affinities(rows: DataFrame, names: tuple[str, ...] = ("und_first", "dir_first", "und_second", "dir_second")) -> DataFrame:
+    """For each name a struct windows (array of double), combined (double)."""
+    one = lambda n: F.concat(F.array_join(F.col(f"{n}.windows").cast("array<string>"), ","), F.lit(WINDOWED), F.format_string("%.8f", f"{n}.combined"))
+    return rows.select(F.concat_ws(AFFINITY, *[one(n) for n in names]).alias("value"))
+
+
+def parse_affinities(lines: DataFrame, names: tuple[str, ...] = ("und_first", "dir_first", "und_second", "dir_second")) -> DataFrame:
+    """The inverse. Lines without four parts of two fields drop; windows that are no numbers are left out."""
+    parts = F.split("value", AFFINITY, -1)
+    rows = lines.where((F.size(parts) == 4) & F.forall(parts, lambda p: F.get(F.split(p, WINDOWED, -1), 1).try_cast("double").isNotNull()))
+    numbers = lambda p: F.filter(F.transform(F.split(F.split(p, WINDOWED)[0], ","), lambda x: x.try_cast("double")), lambda x: x.isNotNull())
+    return rows.select(*[F.struct(numbers(parts[k]).alias("windows"), F.split(parts[k], WINDOWED)[1].cast("double").alias("combined")).alias(n) for k, n in enumerate(names)])
+
+
+KEY = ("f1", "fr", "f2", "s1", "sr", "s2")
+_LABELS = ("first_bad", "second_bad", "label")
+
+
+def _read_tagged(lines: DataFrame, text: Column) -> DataFrame:
+    p = F.split(text, "\t", -1)
+    rows = lines.where(F.size(p) >= 9)
+    return rows.withColumns({c: F.get(p, k) for k, c in enumerate(KEY)} | {c: number_or(F.get(p, 6 + k), "int", 0) for k, c in enumerate(_LABELS)})
+
+
+def parse_hand_labels(lines: DataFrame) -> DataFrame:
+    """TAB lines of a labelled table: a tuple with its instances, three labels, the other tuple, counts, a conditional.
+    Lines of fewer than eighteen fields drop; labels that are no numbers are 0."""
+    p = F.split("value", "\t", -1)
+    fields = dict(zip(KEY, (0, 2, 3, 8, 10, 11), strict=True))
+    rows = lines.where(F.size(p) >= 18)
+    numbers = {c: number_or(F.get(p, k), "int", 0) for c, k in zip((*_LABELS, "biterm", "bigram", "nf", "ns"), (5, 6, 7, 13, 14, 15, 16), strict=True)}
+    return rows.select(*[F.get(p, k).alias(c) for c, k in fields.items()], *[v.alias(c) for c, v in numbers.items()], number_or(F.get(p, 17), "double", 0).alias("conditional"))
+
+
+def parse_tagged(lines: DataFrame) -> DataFrame:
+    """TAB lines of six tuple fields and three labels."""
+    return _read_tagged(lines, F.col("value")).drop("value")
+
+
+def _tagged_text() -> Column:
+    return F.concat_ws("\t", *KEY, *[F.col(c).cast("string") for c in _LABELS])
+
+
+def format_tagged(rows: DataFrame) -> DataFrame:
+    return rows.select(_tagged_text().alias("value"))
+
+
+def format_tagged_counts(rows: DataFrame, score: str | None = None) -> DataFrame:
+    """Tagged pairs with biterm and counts (window to count), nf, ns, and a score before them if named."""
+    text = F.concat_ws(TAGGED, _tagged_text(), window_counts_text(F.col("biterm")), window_counts_text(F.col("counts")), F.col("nf").cast("string"), F.col("ns").cast("string"))
+    return rows.select((F.concat_ws("\t", F.col(score).cast("string"), text) if score else text).alias("value"))
+
+
+def parse_tagged_counts(lines: DataFrame, scored: bool = False) -> DataFrame:
+    """The inverse; lines without exactly five parts, or with counts (or a score) that are no numbers, drop."""
+    rows = lines
+    if scored:
+        rows = rows.withColumn("score", first_rest(F.col("value"))[0].try_cast("double")).where("score is not null").withColumn("value", first_rest(F.col("value"))[1])
+    parts = F.split("value", TAGGED, -1)
+    rows = rows.where(F.size(parts) == 5).withColumns({"text_": parts[0], "biterm": window_counts_of_text(parts[1]), "counts": window_counts_of_text(parts[2]), "nf": parts[3].try_cast("int"), "ns": parts[4].try_cast("int")})
+    return _read_tagged(rows.where("nf is not null and ns is not null"), F.col("text_")).drop("value", "text_")
+
+
+def parse_annotated(lines: DataFrame) -> DataFrame:
+    """Nine TAB fields: place of the tuple, four confidences, label, tuple. Lines with a missing number drop."""
+    p = F.split("value", "\t", -1)
+    numbers = {c: F.get(p, k + 1).try_cast("double") for k, c in enumerate(("median", "most", "least", "mean"))} | {"label": F.get(p, 5).try_cast("int")}
+    rows = lines.where(F.size(p) >= 9).select(F.get(p, 0).alias("place"), *[v.alias(c) for c, v in numbers.items()], F.get(p, 6).alias("arg1"), F.get(p, 7).alias("rel"), F.get(p, 8).alias("arg2"))
+    return rows.dropna(subset=list(numbers))
+
+
+def parse_scored_tuples(lines: DataFrame) -> DataFrame:
+    """Six TAB fields: a score, two more numbers, a tuple."""
+    p = F.split("value", "\t", 6)
+    return lines.where(F.size(p) == 6).select(F.get(p, 0).try_cast("double").alias("score"), F.get(p, 3).alias("arg1"), F.get(p, 4).alias("rel"), F.get(p, 5).alias("arg2")).where("score is not null")
+
+
+def _typed(arg: Column) -> Column:
+    return F.when(arg.contains(":"), F.concat(F.lit("type:"), F.split(arg, ":")[0])).otherwise(arg)
+
+
+def graph_edges(pairs: DataFrame, last: int = 10) -> DataFrame:
+    """t1, t2, window 1..last, cnt: cumulative counts of the graph of parsed pairs. Arguments with a colon become their types."""
+    name = lambda t: F.concat_ws("|", _typed(F.col(f"{t}.a1")), F.col(f"{t}.rel"), _typed(F.col(f"{t}.a2")))
+    each = pairs.select(name("first").alias("t1"), name("second").alias("t2"), F.explode("counts").alias("at", "cnt"))
+    return _cumulated(each, last)
+
+
+def graph_edges_flat(lines: DataFrame, last: int = 10) -> DataFrame:
+    """The same from TAB lines of two tuples with the counts in field 8; arguments stay as they are."""
+    p = F.split("value", "\t", -1)
+    rows = lines.where(F.size(p) > 8).select(F.array_join(F.slice(p, 1, 3), "|").alias("t1"), F.array_join(F.slice(p, 4, 3), "|").alias("t2"), F.explode(window_counts_of_text(F.get(p, 8))).alias("at", "cnt"))
+    return _cumulated(rows, last)
+
+
+def _cumulated(each: DataFrame, last: int) -> DataFrame:
+    sums = [F.struct(F.lit(w).alias("window"), F.coalesce(F.sum(F.when(F.col("at") <= w, F.col("cnt"))), F.lit(0)).alias("cnt")) for w in range(1, last + 1)]
+    return each.groupBy("t1", "t2").agg(F.array(*sums).alias("x")).select("t1", "t2", F.explode("x").alias("x")).select("t1", "t2", "x.window", "x.cnt")
+
+
+def typed_variants(tuples: DataFrame) -> DataFrame:
+    """arg1, rel, arg2, arg1_types, arg2_types: each tuple with its first, its second, and both arguments as types;
+    variants of an argument without a type are left out."""
+    kind = lambda c: F.concat(F.lit("type:"), F.split(F.col(c), ":")[0])
+    has = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    v = lambda ok, a, b: F.when(ok, F.struct(a.alias("arg1"), F.col("rel"), b.alias("arg2")))
+    a, b, x, y = F.col("arg1"), F.col("arg2"), kind("arg1_types"), kind("arg2_types")
+    all_ = F.array(v(has("arg1_types"), x, b), v(has("arg2_types"), a, y), v(has("arg1_types") & has("arg2_types"), x, y))
+    return tuples.select(F.explode(F.filter(all_, lambda t: t.isNotNull())).alias("t")).select("t.arg1", "t.rel", "t.arg2")
+
+
+def read_app_directory(spark: SparkSession, path: str) -> DataFrame:
+    """A file a document: app lines with the document id of the file's first line, and an extrid that goes on over files."""
+    lines = spark.read.text(path).withColumns({"file": F.input_file_name(), "extrid": F.monotonically_increasing_id()})
+    ids = lines.groupBy("file").agg(F.min_by(F.split("value", "\\|")[0], "extrid").alias("first_id"))
+    rows = parse_app_lines(lines, "file", "extrid").join(ids, "file")
+    return rows.withColumn("docid", F.col("first_id")).drop("first_id", "file")
+
+
+def project_fields(spark: SparkSession, path: str, fields: list[int], sep: str = ",", joined: str = " ") -> DataFrame:
+    """Some fields of delimited lines, joined."""
+    p = F.split("value", sep, -1)
+    return spark.read.text(path).select(F.concat_ws(joined, *[F.get(p, k) for k in fields]).alias("value"))
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
