@@ -132,9 +132,9 @@ def _read_pair(lines: DataFrame, text: Column) -> DataFrame:
     """lines plus first, second, counts and the four maps of heads; lines with a missing part drop."""
     parts = F.split(text, PAIR_COUNTS, -1)
     rows = lines.where(F.size(parts) > 2).withColumn("parts_", parts)
-    both, heads = F.split(F.col("parts_")[0], PAIR, -1), F.split(F.col("parts_")[2], "\t", -1)
-    rows = rows.where((F.size(both) > 1) & (F.size(heads) >= 4)).withColumns({"first": tuple_of_text(both[0]), "second": tuple_of_text(both[1]), "counts": window_counts_of_text(F.col("parts_")[1])})
-    rows = rows.withColumns({h: counts_of_text(heads[k]) for k, h in enumerate(HEADS)})
+    both, heads = F.split(F.get("parts_", 0), PAIR, -1), F.split(F.get("parts_", 2), "\t", -1)
+    rows = rows.where((F.size(both) > 1) & (F.size(heads) >= 4)).withColumns({"first": tuple_of_text(F.get(both, 0)), "second": tuple_of_text(F.get(both, 1)), "counts": window_counts_of_text(F.get("parts_", 1))})
+    rows = rows.withColumns({h: counts_of_text(F.get(heads, k)) for k, h in enumerate(HEADS)})
     return rows.where(F.col("first").isNotNull() & F.col("second").isNotNull()).drop("parts_")
 
 
@@ -156,9 +156,9 @@ def format_measures(pairs: DataFrame) -> DataFrame:
 def parse_measures(lines: DataFrame) -> DataFrame:
     """Pairs with undirected counts; nf and ns are 0 where a line has none, so lines of undirected counts alone will do."""
     whole = F.split("value", MEASURES, -1)
-    und = F.split(whole[0], UNDIRECTED, -1)
+    und = F.split(F.get(whole, 0), UNDIRECTED, -1)
     count = lambda k: number_or(F.get(whole, k), "bigint", 0)
-    rows = lines.where(F.size(und) > 1).withColumns({"text_": und[0], "biterm": window_counts_of_text(und[1]), "nf": count(1), "ns": count(2)})
+    rows = lines.where(F.size(und) > 1).withColumns({"text_": F.get(und, 0), "biterm": window_counts_of_text(F.get(und, 1)), "nf": count(1), "ns": count(2)})
     return _read_pair(rows, F.col("text_")).drop("value", "text_")
 
 
@@ -173,7 +173,7 @@ def parse_affinities(lines: DataFrame, names: tuple[str, ...] = ("und_first", "d
     parts = F.split("value", AFFINITY, -1)
     rows = lines.where((F.size(parts) == 4) & F.forall(parts, lambda p: F.get(F.split(p, WINDOWED, -1), 1).try_cast("double").isNotNull()))
     numbers = lambda p: F.filter(F.transform(F.split(F.split(p, WINDOWED)[0], ","), lambda x: x.try_cast("double")), lambda x: x.isNotNull())
-    return rows.select(*[F.struct(numbers(parts[k]).alias("windows"), F.split(parts[k], WINDOWED)[1].cast("double").alias("combined")).alias(n) for k, n in enumerate(names)])
+    return rows.select(*[F.struct(numbers(F.get(parts, k)).alias("windows"), F.get(F.split(F.get(parts, k), WINDOWED), 1).try_cast("double").alias("combined")).alias(n) for k, n in enumerate(names)])
 
 
 KEY = ("f1", "fr", "f2", "s1", "sr", "s2")
@@ -219,9 +219,9 @@ def parse_tagged_counts(lines: DataFrame, scored: bool = False) -> DataFrame:
     """The inverse; lines without exactly five parts, or with counts (or a score) that are no numbers, drop."""
     rows = lines
     if scored:
-        rows = rows.withColumn("score", first_rest(F.col("value"))[0].try_cast("double")).where("score is not null").withColumn("value", first_rest(F.col("value"))[1])
+        rows = rows.withColumn("score", F.get(first_rest(F.col("value")), 0).try_cast("double")).where("score is not null").withColumn("value", F.get(first_rest(F.col("value")), 1))
     parts = F.split("value", TAGGED, -1)
-    rows = rows.where(F.size(parts) == 5).withColumns({"text_": parts[0], "biterm": window_counts_of_text(parts[1]), "counts": window_counts_of_text(parts[2]), "nf": parts[3].try_cast("int"), "ns": parts[4].try_cast("int")})
+    rows = rows.where(F.size(parts) == 5).withColumns({"text_": F.get(parts, 0), "biterm": window_counts_of_text(F.get(parts, 1)), "counts": window_counts_of_text(F.get(parts, 2)), "nf": F.get(parts, 3).try_cast("int"), "ns": F.get(parts, 4).try_cast("int")})
     return _read_tagged(rows.where("nf is not null and ns is not null"), F.col("text_")).drop("value", "text_")
 
 

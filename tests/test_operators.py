@@ -13,6 +13,7 @@ from pairloom.operators import measures as M
 from pairloom.operators import pairs as P
 from pairloom.operators import ranking as K
 from pairloom.operators import records as R
+from pairloom.operators import tuning as U
 from pairloom.sources import codecs
 
 SF = "/root/testdata/sf0.001"
@@ -93,6 +94,109 @@ def test_tuple_codec(spark):
     assert codecs.parse_tuples(codecs.format_tuples(t)).collect() == t.collect()
 
 
+def one(spark, text, f):
+    return spark.createDataFrame([(text,)], "value string").select(f(F.col("value"))).first()[0]
+
+
+def test_text_functions(spark):
+    assert one(spark, "be sit in", T.verb_of) == "sit" and one(spark, "be in", T.verb_of) == "be in"
+    assert one(spark, "XVAR:type:person:Number", T.type_name) == "person" and one(spark, "plain", T.type_name) == ""
+    assert one(spark, "XVAR:type:person", T.display) == "X:[person]"
+    assert one(spark, "a\tb\tc", T.first_rest) == ["a", "b\tc"] and one(spark, "abc", T.first_rest) is None
+    assert one(spark, " XVAR:he ", T.pronoun) and not one(spark, "her", T.pronoun)
+    assert one(spark, "12x", lambda c: T.number_or(c, "int", 4)) == 4
+    assert one(spark, "a|b", lambda c: T.nth_field(c, "[|]", 5)) is None
+
+
+@pytest.mark.parametrize("n", range(10))
+def test_blocks(spark, n):
+    got = one(spark, "123456789", lambda c: T.blocks(c, n))
+    size = int(9 / n + 0.5) if n else 9
+    assert got == (["123456789"[i * size : (i + 1) * size] for i in range(n + 1)] if n else ["123456789"])
+
+
+def test_window_counts(spark):
+    assert one(spark, "1:2,10:3,1:5", T.window_counts_of_text) == {1: 5, 10: 3}
+    assert one(spark, "1:2,x", T.window_counts_of_text) == {} and one(spark, "", T.window_counts_of_text) == {}
+    assert one(spark, "1:2,10:3", lambda c: T.window_counts_text(T.window_counts_of_text(c))) == "1:2,10:3"
+    assert one(spark, "a_CSEP_1_ESEP_bad_ESEP_a_CSEP_4_ESEP_b_CSEP_x", T.counts_of_text) == {"a": 4}
+
+
+EQ = REC + ", chain1 string, chain2 string"
+
+
+def test_equality_pairs(spark):
+    rows = [("d", 1, 0, 1, "s", "Ann", ["Type:person"], "met", "Bob", [], "c1", "c2"), ("d", 2, 0, 2, "s", "She", ["Type:person", "Type:city"], "left", "Rome", [], "c1", None)]
+    rec = P.numbered(spark.createDataFrame(rows, EQ))
+    single = {(r.f1, r.f2, r.s1, r.s2) for r in P.equality_nearest(rec).collect()}
+    assert single == {("XVAR", "bob", "XVAR", "rome"), ("XVAR", "bob", "XVAR:type:person", "rome"), ("XVAR", "bob", "XVAR:type:city", "rome"), ("XVAR:type:person", "bob", "XVAR", "rome"), ("XVAR:type:person", "bob", "XVAR:type:person", "rome")}
+    many = {(r.f1, r.s1) for r in P.equality_nearest(rec, 10, True).collect()}
+    assert ("XVAR:ann", "XVAR:she") in many and ("XVAR:type:person", "XVAR:type:city") not in many and len(many) == 5
+    n = {(r.a1, r.rel): r.n for r in P.equality_unigrams(rec, P.equality_nearest(rec)).collect()}
+    assert n["XVAR", "met"] == 3 and n["ann", "met"] == 1
+
+
+def test_chains_may_be_sets(spark):
+    rows = [("d", 1, 0, 1, "s", "a", [], "met", "b", [], ["c1", "c9"], []), ("d", 2, 0, 2, "s", "e", [], "left", "f", [], ["c2"], ["c9"])]
+    rec = P.numbered(spark.createDataFrame(rows, REC + ", chain1 array<string>, chain2 array<string>"))
+    assert [(r.eq, r.f1, r.s2) for r in P.coref_single(rec).collect()] == [("12", "XVAR", "XVAR")]
+
+
+def test_pair_codec_drops_bad_lines(spark):
+    t = "a\tr\tb\t1,x\ts one_SENT_SEP_s two\ti1\th_CSEP_2\tg_CSEP_1"
+    good = f"{t}_RG_SEP_{t}_RGC_SEP_1:2,3:4_RGC_SEP_a_CSEP_1\t\t\tq_CSEP_5"
+    lines = spark.createDataFrame([(good,), (f"{t}_RGC_SEP_1:2_RGC_SEP_\t\t\t",), ("a\tb",), ("",)], "value string")
+    got = codecs.parse_pairs(lines).collect()
+    assert len(got) == 1 and got[0].counts == {1: 2, 3: 4} and got[0].first.hashes == [1, -1] and got[0].s2_heads == {"q": 5} and got[0].f2_heads == {}
+    whole = codecs.parse_measures(spark.createDataFrame([(good + "_URGC_1:3_MSEP_7_MSEP_8",), (good + "_URGC_1:3",)], "value string"))
+    assert sorted((r.nf, r.ns, r.biterm[1]) for r in whole.collect()) == [(0, 0, 3), (7, 8, 3)]
+    assert codecs.parse_measures(codecs.format_measures(whole)).count() == 2
+
+
+def test_label_codecs(spark):
+    counts = ",".join(f"{w}:{10 * w}" for w in range(50))
+    line = f"a\tr\tb\tc\tq\td\t0\tx\t1_TRGC_SEP_{counts}_TRGC_SEP__TRGC_SEP_10_TRGC_SEP_10"
+    got = codecs.parse_tagged_counts(spark.createDataFrame([(line,), ("short",)], "value string"))
+    row = got.first()
+    assert got.count() == 1 and row.biterm[49] == 490 and row.counts == {} and (row.first_bad, row.second_bad, row.label, row.nf) == (0, 0, 1, 10)
+    assert codecs.parse_tagged_counts(codecs.format_tagged_counts(got.withColumn("score", F.lit(0.25)), "score"), True).first().score == 0.25
+    assert codecs.parse_annotated(spark.createDataFrame([("first\t.1\t.4\t.0\t.2\t1\ta\tr\tb",), ("first\tx",)], "value string")).count() == 1
+    assert codecs.parse_scored_tuples(spark.createDataFrame([("2.5\t0\t0\ta\tr\tb",), ("z\t0\t0\ta\tr\tb",)], "value string")).first().score == 2.5
+    hand = "\t".join(["a", "a1", "r", "b", "b1", "1", "z", "1", "c", "c1", "q", "d", "d1", "5", "3", "9", "8", "0.5"])
+    assert codecs.parse_hand_labels(spark.createDataFrame([(hand,)], "value string")).first().asDict() == {
+        "f1": "a", "fr": "r", "f2": "b", "s1": "c", "sr": "q", "s2": "d", "first_bad": 1, "second_bad": 0, "label": 1, "biterm": 5, "bigram": 3, "nf": 9, "ns": 8, "conditional": 0.5,
+    }
+    aff = spark.createDataFrame([(([0.5, 0.25], 0.3),) * 4], "und_first struct<windows:array<double>,combined:double>, dir_first struct<windows:array<double>,combined:double>, und_second struct<windows:array<double>,combined:double>, dir_second struct<windows:array<double>,combined:double>")
+    assert codecs.parse_affinities(codecs.format_affinities(aff)).collect() == aff.collect()
+
+
+def test_graph_forms(spark):
+    lines = spark.createDataFrame([("a\tr\tb\tc\tq\td\tx\ty\t1:2,3:1",)], "value string")
+    assert [r.cnt for r in codecs.graph_edges_flat(lines, 4).orderBy("window").collect()] == [2, 2, 3, 3]
+    rows = spark.createDataFrame([("ann", "saw", "rome", "person:x", " ")], "arg1 string, rel string, arg2 string, arg1_types string, arg2_types string")
+    assert [tuple(r) for r in codecs.typed_variants(rows).collect()] == [("type:person", "saw", "rome")]
+
+
+def test_app_directory(spark, tmp_path):
+    for name, ids in (("one", "ab"), ("two", "cc")):
+        (tmp_path / name).write_text("\n".join(f"{d}|{i}|s|a|a||r|r|b|b|" for i, d in enumerate(ids)) + "\nbad line\n")
+    got = codecs.read_app_directory(spark, str(tmp_path)).collect()
+    assert sorted(r.docid for r in got) == ["a", "a", "c", "c"] and len({r.extrid for r in got}) == 4
+    assert sorted(r.value for r in codecs.project_fields(spark, str(tmp_path / "one"), [0, 1], "[|]").collect()) == ["a 0", "b 1", "bad line"]
+
+
+def test_examples_share_no_hash(spark):
+    rows = [("a", "r", "b", i, f"s{i}", c, h) for i, (c, h) in enumerate(((0.5, [1]), (0.9, [1, 2]), (0.4, [2, 3]), (0.3, [3]), (0.2, [4])))]
+    df = spark.createDataFrame(rows, "arg1 string, rel string, arg2 string, rid long, sentence string, confidence double, hashes array<int>")
+    assert sorted(r.sentence for r in K.examples(df).collect()) == ["s1", "s4"]
+
+
+def test_confidence_aggregates(spark):
+    df = spark.createDataFrame([("like", 0.2, 0.1, 0.9, 0.4), ("say so", 0.2, 0.1, 0.9, 0.4)], "rel string, median double, least double, most double, mean double")
+    assert [round(r[0], 6) for r in df.select(U.aggregate("max+average")).collect()] == [1.3, 0.0]
+    assert [r[0] for r in df.select(U.aggregate("avg-below")).collect()] == [0.0, 0.0] and df.select(U.aggregate("?")).first()[0] == -1.0
+
+
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
@@ -101,7 +205,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", ["ordinal", "directed_pairs", "undirected_pairs", "flagship", "coref_multiple", "sentence_hashes", "top_tuples", "auc_grid", "merge_mentions"])
+@pytest.mark.parametrize("name", ["ordinal", "directed_pairs", "undirected_pairs", "flagship", "coref_multiple", "sentence_hashes", "top_tuples", "auc_grid", "merge_mentions", "equality_single", "equality_unigrams", "prune_results", "sort_keys", "confidence_grid", "measures_codec", "graph_edges", "bad_tuples"])
 def test_sql_twin(spark, con, name):
     a, b = catalog.QUERIES[name](spark, SF).toPandas(), con.sql(catalog.SQL[name]).df()
     cols = sorted(a.columns)
