@@ -198,9 +198,14 @@ def _tiles(rows: DataFrame, group: str, columns: list[str], tile: int) -> DataFr
     return split.groupBy(group, "slot").agg(F.collect_list(F.struct(*columns)).alias("rows"), F.first(F.ceil(F.col("group_size") / tile)).alias("slots"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 17, radius_both: int = 32, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 22, radius_both: int = 34, tile: int = TILE) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of their shingle sets.
 
+    At a similarity of 0.8 the fingerprints differ in 9.7 of the first 64 bits and
+    19.4 of 128 on average (standard deviations 2.9 and 4.1): the radii lie 4.3
+    and 3.6 deviations beyond, which leaves about 2 in 10,000 of the pairs at the
+    very threshold unseen, and fewer above it.
+
     Returns doc_id, text_hash (xxhash64 of the text), node (hash of the words),
     root (the smallest node of the group)."""
     texts = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"), F.col("text").cast("string"))
