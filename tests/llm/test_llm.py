@@ -85,6 +85,33 @@ def test_near_dedup_keeps_one(spark, odd, none):
     assert simhash.keep_first(none).count() == 0
 
 
+def test_near_dedup_loses_no_pair():
+    """Pairs at the very threshold, of which fingerprints within fixed radii lost some."""
+    rng = np.random.default_rng(5)
+    for common_part, own_a, own_b in ((12, 3, 0), (12, 2, 1), (6, 1, 0), (80, 10, 10), (800, 200, 0)):
+        for _ in range(4000 if common_part < 100 else 50):
+            h = np.unique(rng.integers(0, 1 << 63, common_part + own_a + own_b, dtype=np.uint64))
+            a, b = h[: common_part + own_a], np.append(h[:common_part], h[common_part + own_a :])
+            ma, mb = simhash._maps([simhash.parity_map(a)], [simhash.parity_map(b)])
+            assert len(simhash._similar(ma, mb, np.array([len(a)]), np.array([len(b)]), 0.8, False)[0]) == 1
+
+
+def test_near_dedup_joins_a_pair_of_distant_fingerprints(spark):
+    """Similarity 0.8, but fingerprints beyond the radii of 22 and 34 bits that were in use."""
+    rng = np.random.default_rng(7)
+    mix = lambda h: (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    while True:
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, 19)]
+        a, b = " ".join(words), " ".join(words[:16])
+        ha, hb = (np.unique(simhash.shingle_hashes(t, 5)) for t in (a, b))
+        d = (simhash.majority(ha) ^ simhash.majority(hb)).bit_count()
+        if d > 22 or d + (simhash.majority(mix(ha)) ^ simhash.majority(mix(hb))).bit_count() > 34:
+            break
+    assert (len(ha), len(hb)) == (15, 12)
+    df = spark.createDataFrame([(1, a), (2, b), (3, "some other text of a few more words than five")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == [1, 3]
+
+
 def test_shards(spark, odd, none):
     got = sharding.shard(odd, 3).collect()
     assert len(got) == len(ODD) and sharding.shard(none).count() == 0
