@@ -15,7 +15,12 @@ its content alone decides. Windows can be equal only if their anchors are, so
    LMS suffixes are ranked, L and S suffixes induced from them through queues,
    one for each first byte, which are on disk once they are large. Common
    prefixes of neighbours, counted up to LENGTH, show which windows are equal,
-   and of each run all but the earliest are covered.
+   and of each run all but the earliest are covered;
+5. an anchor whose different fragments take more bytes than a shard is not
+   sorted, but split by content: every window holds half of its bytes beside the
+   anchor on the left or on the right of it, and only where these bytes occur
+   twice do its windows live on, settled by the hash of the whole window in an
+   aggregate. So nothing sorted exceeds two shards, whatever an anchor's share.
 
 The reduced string of LMS names is ordered by doubling its ranks up to LENGTH
 bytes, instead of by a further level of induction: its alphabet is nearly as
@@ -46,7 +51,7 @@ GRAM = 32
 LAST = (1 << 63) - 1
 #: Bytes that one array of the sorter may take in memory; larger ones are files.
 IN_MEMORY = 64 << 20
-#: Fragment bytes sorted at once, in whole anchor groups.
+#: Fragment bytes sorted at once, in whole anchor groups; larger groups are split by content.
 SHARD = 4 << 20
 _BLOCK = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -304,6 +309,53 @@ def repeated_windows(fragments: list[bytes], length: int = LENGTH, limit: int =
     return list(zip(f[cut].tolist(), (covered[cut] - base[f[cut]]).tolist(), (covered[last] - base[f[cut]] + length).tolist(), strict=True))
 
 
+# --- anchors with too many surroundings to be sorted --------------------------------------------
+
+
+def halves(frag: bytes, length: int = LENGTH, gram: int = GRAM) -> list[tuple[bytes, int, int]]:
+    """Key, first and last window of the two parts of a fragment: windows that reach
+    half of their free bytes or more to the left of the anchor, and the others.
+    Equal windows of any two fragments are in parts of equal keys."""
+    lo, hi, p, _ = _anchors(np.frombuffer(frag, np.uint8), np.full(len(frag), len(frag)), length, gram)
+    half, out = (length - gram) // 2, []
+    for a, b, at in zip(lo.tolist(), hi.tolist(), p.tolist(), strict=True):
+        cut = min(b, at - half)  # the last window of the left part
+        for side, x, y, i, j in ((b"l", a, cut, at - half, at + gram), (b"r", max(a, cut + 1), b, at, at + length - half)):
+            if x <= y:
+                out.append((hashlib.blake2b(side + frag[i:j], digest_size=16).digest(), x, y))
+    return out
+
+
+def _settle_by_content(heads: DataFrame, length: int, gram: int) -> DataFrame:
+    """d, s, lo, hi: covered ranges of the fragments in heads (h, d, s, lo, frag), without a group in memory."""
+
+    def parts(batches):
+        for b in batches:
+            out = [(k, d, s, lo + x, f[x : y + length]) for d, s, lo, f in zip(*(b.column(c).to_pylist() for c in range(1, 5)), strict=True) for k, x, y in halves(f, length, gram)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["k", "d", "s", "lo", "frag"])
+
+    def windows(batches):
+        for b in batches:
+            out = [(hashlib.blake2b(f[i : i + length], digest_size=16).digest(), d, s, lo, lo + i) for d, s, lo, f in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True) for i in range(len(f) - length + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.binary(), *[pa.int64()] * 4))], ["w", "d", "s", "part", "lo"])
+
+    def ranges(batches):
+        for b in batches:
+            out = [(d, s, x, y) for d, s, los in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True) for x, y in merge([(lo, lo + length) for lo in los])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(4)], ["d", "s", "lo", "hi"])
+
+    pieces = written(heads.mapInArrow(parts, "k binary, d bigint, s bigint, lo bigint, frag binary"), "hot-parts")
+    twice = pieces.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    live = pieces.join(twice, "k", "left_semi").select("d", "s", "lo", "frag")
+    each = written(live.mapInArrow(windows, "w binary, d bigint, s bigint, part bigint, lo bigint"), "hot-windows")
+    erase(pieces)
+    first = each.groupBy("w").agg(F.min(F.struct("d", "s", "lo")).alias("at"), F.count("*").alias("n")).where("n > 1").select("w", "at")
+    later = each.join(first, "w").where(F.struct("d", "s", "lo") > F.col("at"))
+    found = written(later.groupBy("d", "s", "part").agg(F.collect_list("lo").alias("los")).select("d", "s", "los").mapInArrow(ranges, "d bigint, s bigint, lo bigint, hi bigint"), "by-content")
+    erase(each)
+    return found
+
+
 # --- the operator --------------------------------------------------------------------------
 
 
@@ -357,9 +409,9 @@ def covered_ranges(firsts: DataFrame, length: int = LENGTH, gram: int = GRAM, sh
     erase(every)
     _settle(spark)
     # Different fragments of one anchor: suffix sorting. Their bytes come from the texts again.
-    several = distinct.groupBy("h").agg(F.count("*").alias("forms")).where("forms > 1").select("h")
-    sliced = distinct.join(several, "h", "left_semi").select("h", "at.*")
-    sliced = written(sliced.groupBy("d", "s").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("slices")), "slices")
+    several = distinct.groupBy("h").agg(F.count("*").alias("forms"), (F.sum(F.col("at.hi") - F.col("at.lo")) > shard).alias("hot")).where("forms > 1").select("h", "hot")
+    sliced = distinct.join(several, "h").select("h", "at.*", "hot")
+    sliced = written(sliced.groupBy("d", "s").agg(F.collect_list(F.struct("h", "lo", "hi", "hot")).alias("slices")), "slices")
     erase(distinct)
 
     def bytes_of(batches):
@@ -371,7 +423,10 @@ def covered_ranges(firsts: DataFrame, length: int = LENGTH, gram: int = GRAM, sh
                     pa.schema([*((c, pa.int64()) for c in ("h", "d", "s", "lo")), ("frag", pa.binary())]),
                 )
 
-    heads = long.join(sliced, ["d", "s"]).select("d", "s", "text", "slices").mapInArrow(bytes_of, "h bigint, d bigint, s bigint, lo bigint, frag binary")
+    def heads(hot: bool) -> DataFrame:
+        some = sliced.withColumn("slices", F.filter("slices", lambda x: x["hot"] == hot)).where(F.size("slices") > 0)
+        return long.join(some, ["d", "s"]).select("d", "s", "text", "slices").mapInArrow(bytes_of, "h bigint, d bigint, s bigint, lo bigint, frag binary")
+
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def sort_shard(rows):
@@ -394,8 +449,11 @@ def covered_ranges(firsts: DataFrame, length: int = LENGTH, gram: int = GRAM, sh
         if rows:
             yield sort_shard(rows)
 
-    sorted_heads = heads.repartition(parts, "h").sortWithinPartitions("h")
+    sorted_heads = heads(False).repartition(parts, "h").sortWithinPartitions("h")
     by_suffix = written(sorted_heads.mapInArrow(sort_shards, "d bigint, s bigint, lo bigint, hi bigint"), "by-suffix")
+    _settle(spark)
+    if sliced.where(F.exists("slices", lambda x: x["hot"])).limit(1).count():
+        by_suffix = by_suffix.unionByName(_settle_by_content(heads(True), length, gram))
     erase(sliced)
     _settle(spark)
     return later.unionByName(by_suffix)

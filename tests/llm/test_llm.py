@@ -160,6 +160,25 @@ def test_suffix_dedup(spark, odd, none):
     assert suffix_dedup.deduplicate(odd).count() == len(ODD) and suffix_dedup.deduplicate(none).count() == 0
 
 
+def test_suffix_dedup_splits_an_anchor_beyond_a_shard(spark, monkeypatch):
+    """One passage in all documents, with surroundings that differ or repeat in part: no sort may exceed two shards."""
+    rng = np.random.default_rng(2)
+    some = ["".join(chr(97 + x) for x in rng.integers(0, 26, 60)) for _ in range(12)]
+    fresh = lambda: "".join(chr(65 + x) for x in rng.integers(0, 26, 60))
+    passage = "one very common passage of some sixty bytes, in all the texts."
+    docs = [(i, fresh() + some[rng.integers(12)] + passage + (some[rng.integers(12)] if i % 2 else fresh()) + fresh()) for i in range(300)]
+    want, real = brute_repeats(docs), suffix_dedup.repeated_windows
+
+    def bounded(fragments, length):
+        if sum(map(len, fragments)) > 8000:
+            raise MemoryError("a group beyond two shards is sorted in one piece")
+        return real(fragments, length)
+
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", bounded)
+    got = suffix_dedup.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"), shard=4000).collect()
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in got} == want and sum(n for n, _ in want.values()) > 10_000
+
+
 @pytest.mark.parametrize("path,drop", [(WORD, True), (BYTE, False)])
 def test_encoders_are_exact(path, drop):
     enc = tokens.PieceEncoder(path, drop)
