@@ -12,6 +12,9 @@ Collision checks: the distinct entities and their surrogates are one table.
 Where two entities of a type share a surrogate, or a surrogate is itself an
 entity of the corpus, all but the first draw again with the next attempt number,
 until none does; only documents with such an entity look their surrogates up.
+Every attempt draws from a larger space, so this ends however many entities there
+are: names get another syllable, e-mail addresses another letter; kinds of a fixed
+length get a suffix `x` and digits, one more an attempt, from attempt 8 on.
 
 Defined results: a null text stays null, an empty or clean one unchanged; rows
 with null or repeated ids are treated each for itself; an empty table gives an
@@ -141,18 +144,24 @@ def _surrogate(kind: str, canon: str, h: str, salt: str) -> str:
 
 
 def _render(kind: str, e: str, sur: str) -> str:
-    """The surrogate in the format of the mention."""
+    """The surrogate in the format of the mention; what a redraw added comes before an e-mail address and after the others."""
+    more = f"regexp_extract({sur}, 'x[0-9]+$', 0)"
+    return f"CASE WHEN {kind} NOT IN ('name', 'email', 'secret') AND {sur} RLIKE 'x[0-9]+$' THEN concat({_formatted(kind, e, f'regexp_replace({sur}, {chr(39)}x[0-9]+${chr(39)}, {chr(39)*2})')}, {more}) ELSE {_formatted(kind, e, sur)} END"
+
+
+def _formatted(kind: str, e: str, sur: str) -> str:
     c = f"substr({e}, i + 1, 1)"
     # Digits of the surrogate into the last places of digits; a country prefix stays.
     nth = f"(length(regexp_replace(substr({e}, 1, i + 1), '[^0-9]', '')) - length(regexp_replace({e}, '[^0-9]', '')) + length({sur}))"
     nth_iban = f"length(replace(substr({e}, 1, i + 1), ' ', ''))"
+    at = f"i + 1 + length({sur}) - length({e})"
     title = f"regexp_extract({e}, '^({_TITLES}[.]? )', 1)"
     rest = f"substr({e}, length({title}) + 1)"
     return f"""CASE {kind}
       WHEN 'name' THEN concat({title}, CASE WHEN {rest} = upper({rest}) THEN upper(substr({sur}, 3)) ELSE initcap(substr({sur}, 3)) END)
       WHEN 'ip' THEN {sur}
       WHEN 'secret' THEN {sur}
-      WHEN 'email' THEN array_join(transform(sequence(0, length({e}) - 1), i -> CASE WHEN {c} <> lower({c}) THEN upper(substr({sur}, i + 1, 1)) ELSE substr({sur}, i + 1, 1) END), '')
+      WHEN 'email' THEN concat(substr({sur}, 1, length({sur}) - length({e})), array_join(transform(sequence(0, length({e}) - 1), i -> CASE WHEN {c} <> lower({c}) THEN upper(substr({sur}, {at}, 1)) ELSE substr({sur}, {at}, 1) END), ''))
       WHEN 'iban' THEN array_join(transform(sequence(0, length({e}) - 1), i -> CASE WHEN {c} = ' ' THEN ' ' ELSE substr({sur}, {nth_iban}, 1) END), '')
       ELSE array_join(transform(sequence(0, length({e}) - 1), i -> CASE WHEN {c} RLIKE '[0-9]' AND {nth} > 0 THEN substr({sur}, {nth}, 1) ELSE {c} END), '') END"""
 
@@ -169,7 +178,21 @@ def _quoted(key: str) -> str:
     return "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def dictionary(mentions: DataFrame, key: str, rounds: int = 40) -> DataFrame:
+def _grown(kind: str, sur: str, h: str, attempt: str) -> str:
+    """A surrogate of attempt 0 unchanged, later ones from a space that grows with the attempt."""
+    digits = "translate({h}, 'abcdef', '012345')".format(h=h)
+    syllables = f"""array_join(transform(sequence(1, {attempt}), i -> CASE WHEN {sur} RLIKE '[\\p{{IsCyrillic}}]$'
+      THEN concat(substr('бвгдзклмнпрст', 1 + {_byte(h, '2 * i')} % 13, 1), substr('аеиоу', 1 + {_byte(h, '2 * i + 1')} % 5, 1))
+      ELSE concat(substr('bdfgklmnprstv', 1 + {_byte(h, '2 * i')} % 13, 1), substr('aeiou', 1 + {_byte(h, '2 * i + 1')} % 5, 1)) END), '')"""
+    letters = f"array_join(transform(sequence(1, {attempt}), i -> chr(97 + {_byte(h, '63 - i')} % 26)), '')"
+    return f"""CASE WHEN {attempt} = 0 THEN {sur}
+      WHEN {kind} = 'name' THEN concat({sur}, {syllables})
+      WHEN {kind} = 'email' THEN concat({letters}, {sur})
+      WHEN {attempt} >= 8 THEN concat({sur}, 'x', substr({digits}, 1, {attempt} - 7))
+      ELSE {sur} END"""
+
+
+def dictionary(mentions: DataFrame, key: str) -> DataFrame:
     """kind, canon, attempt, sur: one row an entity, without collisions.
 
     Names are checked by whole names; the other kinds as they are."""
@@ -177,12 +200,12 @@ def dictionary(mentions: DataFrame, key: str, rounds: int = 40) -> DataFrame:
 
     def drawn(df: DataFrame) -> Column:
         h = _hash("kind", "canon", "attempt", quoted)
-        return F.expr(f"element_at(transform(transform(array(struct({h} as h, concat({quoted}, attempt) as salt)), x -> struct(x.h as h, x.salt as salt, kind as k, canon as c)), x -> {_surrogate('x.k', 'x.c', 'x.h', 'x.salt')}), 1)")
+        return F.expr(f"element_at(transform(transform(array(struct({h} as h, concat({quoted}, attempt) as salt)), x -> struct(x.h as h, kind as k, {_surrogate('kind', 'canon', 'x.h', 'x.salt')} as s)), x -> {_grown('x.k', 'x.s', 'x.h', 'attempt')}), 1)")
 
     table = mentions.select("kind", "canon").distinct().withColumn("attempt", F.lit(0))
     table = table.withColumn("sur", drawn(table))
     table = written(table, "surrogates")
-    for _ in range(rounds):
+    while True:
         shared = table.groupBy("kind", "sur").agg(F.count("*").alias("n"), F.min("canon").alias("first")).where("n > 1")
         twice = table.join(shared, ["kind", "sur"]).where("canon <> first").select("kind", "canon")
         real = table.select("kind", F.col("canon").alias("sur"))
@@ -193,7 +216,6 @@ def dictionary(mentions: DataFrame, key: str, rounds: int = 40) -> DataFrame:
         table = table.join(again, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0)))
         table = table.withColumn("sur", F.when(F.col("again") == 1, drawn(table)).otherwise(F.col("sur"))).drop("again")
         table = written(table, "surrogates")
-    raise ValueError(f"surrogates still collide after {rounds} rounds")
 
 
 def redact(docs: DataFrame, key: str = "pairloom", count_column: str | None = None) -> DataFrame:

@@ -239,6 +239,20 @@ def test_pii_collisions_are_redrawn(spark):
     assert got.select("sur").distinct().count() == got.count() == mentions.distinct().count()
 
 
+def test_pii_redraws_end_where_surrogates_are_fewer_than_entities(spark):
+    """676 surrogates of the shape a@b.com and 10,000 of four digits at attempt 0, for more entities than that."""
+    mails = spark.range(676).select(F.lit("email").alias("kind"), F.expr("concat(chr(97 + id div 26), '@', chr(97 + id % 26), '.com')").alias("canon"))
+    phones = spark.range(9000).select(F.lit("phone").alias("kind"), F.expr("lpad(id, 4, '0')").alias("canon"))
+    names = spark.range(300_000).select(F.lit("name").alias("kind"), F.expr("concat('m:', translate(id, '0123456789', 'qwxyzhjcvb'))").alias("canon"))
+    for mentions in (mails.union(phones), names):
+        got = common.written(pii.dictionary(mentions, "k"), "test-surrogates")
+        assert got.count() == got.select("kind", "sur").distinct().count() == mentions.count()
+        assert got.join(mentions.select("kind", F.col("canon").alias("sur")), ["kind", "sur"], "left_semi").count() == 0
+    docs = spark.createDataFrame([(i, f"{chr(97 + i // 26)}@{chr(97 + i % 26)}.com wrote") for i in range(676)], "doc_id long, text string")
+    out = [r.text for r in pii.redact(docs).collect()]
+    assert len(set(out)) == 676 and all(re.fullmatch(r"[a-z]+@[a-z]\.com wrote", t) for t in out)
+
+
 def test_decontamination(spark, odd, none):
     item = " ".join(f"item{i}" for i in range(20))
     docs = spark.createDataFrame([(1, LONG + " " + item.upper() + "! " + LONG), (2, " ".join(item.split()[:12])), (3, "tiny test"), (4, None), (None, "so: " + item)], "doc_id long, text string")
