@@ -1,8 +1,10 @@
 """Surrogates for personal data, by DataFrame and SQL functions alone.
 
-Entities (e-mail addresses, telephone numbers, IPv4 addresses, card numbers,
-US social security numbers, IBANs, long secrets, titled person names) are found
-by one regular expression. Each gets a replacement derived from a keyed hash of
+Entities (e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, card
+numbers, US social security numbers, IBANs, long secrets, titled person names) are
+found by one regular expression; runs of 13 to 19 digits other than 16 are cards
+only if they pass the Luhn check. Words of a titled name are replaced wherever else
+they stand in the document, too. Each gets a replacement derived from a keyed hash of
 its canonical form, so mentions of one entity get one surrogate wherever and
 however they are written; the mention's format (punctuation, grouping, letter
 case, country prefix), its script and, for names, the gender of the title are
@@ -30,15 +32,27 @@ from pyspark.sql import functions as F
 from .common import written
 
 _TITLES = r"(?:Mr|Mrs|Ms|Miss|Mme|Monsieur|Madame|Herr|Frau|Señor|Señora|г-н|г-жа)"
+_H = "[0-9A-Fa-f]{1,4}"
+#: Eight groups, or fewer around `::`, of two groups or more and with a digit.
+_IPV6 = rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_H}:){{7}}{_H}|(?=[0-9A-Fa-f:]*[0-9])(?:{_H}(?::{_H}){{0,6}}::(?:{_H}(?::{_H}){{0,5}})?|::{_H}(?::{_H}){{1,6}}))(?![\p{{L}}\p{{N}}:]|[.]\d)"
+#: Country codes of telephone numbers.
+_COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 #: Alternatives in order of precedence.
 PATTERN = "|".join(
     (
         r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
         r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}]|\.\d)",
+        _IPV6,
         r"(?<![\p{L}\p{N}])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
-        r"(?<![\p{L}\p{N}])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\p{L}\p{N}])",
+        r"(?<![\p{L}\p{N}])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\p{L}\p{N}]|[ -]\d{1,3}(?![\p{L}\p{N}]))",
+        r"(?<![\p{L}\p{N}])(?:\d{4}([ -])\d{4}\2\d{4}\2\d{4}\2\d{1,3}|\d{4}([ -])\d{6}\3\d{4,5})(?![\p{L}\p{N}])",
         r"(?<![\p{L}\p{N}])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{4}(?![\p{L}\p{N}])",
+        r"(?<![\p{L}\p{N}])(?:\+|00(?=[1-9]))\d(?:[ .\-/()\u00a0\u202f]{0,3}\d){6,14}(?![\p{L}\p{N}]|[.]\d)",
+        r"(?<![\p{L}\p{N}.,+-])(?:\d{13,15}|\d{17,19})(?![\p{L}\p{N}]|[.,]\d)",
         r"(?<![\p{L}\p{N}(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\p{L}\p{N}])",
+        r"(?<![\p{L}\p{N}.,+-])(?:[2-9]\d{2}[2-9]\d{6}|\([2-9]\d{2}\) ?\d{3}[ .-]?\d{4})(?![\p{L}\p{N}]|[.,]\d)",
+        r"(?<![\p{L}\p{N}.,+-])(?!\d{2}[ ./-]\d{2}[ ./-](?:19|20)\d{2}(?!\d))\(?0[1-9](?:[ .\-/()\u00a0\u202f]{0,2}\d){7,10}(?![\p{L}\p{N}]|[.,-]\d)",
+        r"(?<![\p{L}\p{N}.,+-])[6-9]\d{2}(?:([ .-]?)\d{3}\4\d{3}|([ .-])\d{2}\5\d{2}\5\d{2})(?![\p{L}\p{N}]|[.,-]\d)",
         r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
         r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,128}|(?:sk-|ghp_|AKIA)[A-Za-z0-9]{16,})(?![\p{L}\p{N}])",
         r"(?<![\p{L}\p{N}])" + _TITLES + r"\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
@@ -53,14 +67,23 @@ def _kind(e: str) -> str:
       WHEN {e} LIKE '%@%' THEN 'email'
       WHEN {e} RLIKE '^{_TITLES}' THEN 'name'
       WHEN {e} RLIKE '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' THEN 'ip'
+      WHEN {e} LIKE '%:%' THEN 'ipv6'
       WHEN {e} RLIKE '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN 'ssn'
-      WHEN {e} RLIKE '^[+(]' THEN 'phone'
-      WHEN {e} RLIKE '^[0-9 -]+$' AND length(regexp_replace({e}, '[^0-9]', '')) = 16 THEN 'card'
+      WHEN {e} RLIKE '^([+(]|00[1-9])' AND NOT {e} RLIKE '^[0-9]{{16,}}$' THEN 'phone'
+      WHEN {e} RLIKE '^([0-9]{{13,15}}|[0-9]{{17,19}})$' THEN CASE WHEN {_luhn(e)} % 10 = 0 THEN 'card' ELSE 'none' END
+      WHEN {e} RLIKE '^([0-9]{{16}}|[0-9]{{4}}[ -][0-9]{{4}}[ -][0-9 -]+|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{4,5}})$' THEN 'card'
       WHEN {e} RLIKE '^([0-9a-fA-F]{{32,}}|sk-.*|ghp_.*|AKIA.*)$' THEN 'secret'
       WHEN {e} RLIKE '^[A-Z]{{2}}[0-9]{{2}}' THEN 'iban'
       ELSE 'phone' END"""
 
 
+def _expanded(e: str) -> str:
+    """All eight groups of an IPv6 address, without leading zeros."""
+    part = lambda i: f"filter(split(split(lower({e}), '::', 2)[{i}], ':'), g -> g <> '')"
+    whole = f"CASE WHEN {e} LIKE '%::%' THEN concat({part(0)}, array_repeat('0', 8 - size({part(0)}) - size({part(1)})), {part(1)}) ELSE split(lower({e}), ':') END"
+    return f"concat_ws(':', transform({whole}, g -> regexp_replace(g, '^0+(?=.)', '')))"
+
+
 def _canonical(kind: str, e: str) -> str:
     """One form for all ways to write an entity. The gender of a name is part of it."""
     return f"""CASE {kind}
@@ -70,8 +93,10 @@ def _canonical(kind: str, e: str) -> str:
       WHEN 'email' THEN lower({e})
       WHEN 'secret' THEN {e}
       WHEN 'ip' THEN {e}
+      WHEN 'none' THEN {e}
+      WHEN 'ipv6' THEN {_expanded(e)}
       WHEN 'iban' THEN replace({e}, ' ', '')
-      WHEN 'phone' THEN right(regexp_replace({e}, '[^0-9]', ''), 10)
+      WHEN 'phone' THEN regexp_replace(regexp_replace(regexp_replace({e}, '^([+]|00(?=[1-9]))(([0-9]{{1,3}})(?=[^0-9])|{_COUNTRY})', ''), '[^0-9]', ''), '^0(?=[0-9])', '')
       ELSE regexp_replace({e}, '[^0-9]', '') END"""
 
 
@@ -96,8 +121,8 @@ def _swap(s: str, h: str, kept: str) -> str:
 
 
 def _luhn(s: str) -> str:
-    """Sum of the Luhn check over digits s (16 of them)."""
-    return f"""aggregate(sequence(1, 16), 0L, (a, i) -> a + CASE WHEN i % 2 = 1
+    """Sum of the Luhn check over digits s."""
+    return f"""aggregate(sequence(1, length({s})), 0L, (a, i) -> a + CASE WHEN (length({s}) - i) % 2 = 1
       THEN (2 * cast(substr({s}, i, 1) as int)) div 10 + (2 * cast(substr({s}, i, 1) as int)) % 10
       ELSE cast(substr({s}, i, 1) as int) END)"""
 
@@ -135,11 +160,13 @@ def _surrogate(kind: str, canon: str, h: str, salt: str) -> str:
     kept = f"CASE {kind} WHEN 'iban' THEN 2 WHEN 'secret' THEN 4 ELSE 0 END"
     return f"""CASE
       WHEN {kind} = 'name' THEN {_name(canon, salt)}
+      WHEN {kind} = 'none' THEN {canon}
       WHEN {kind} = 'ip' THEN concat({octets})
+      WHEN {kind} = 'ipv6' THEN concat_ws(':', transform(sequence(0, 7), i -> regexp_replace(substr({h}, 4 * i + 1, 4), '^0+(?=.)', '')))
       WHEN {kind} = 'email' THEN concat(substr({digits}, 1, length({canon}) - length({top})), {top})
       WHEN {kind} = 'secret' AND {canon} RLIKE '^[0-9a-fA-F]+$' THEN CASE WHEN {canon} RLIKE '[A-F]' THEN upper(substr(concat({h}, {h}), 1, length({canon}))) ELSE substr(concat({h}, {h}), 1, length({canon})) END
       WHEN {kind} = 'card' THEN element_at(transform(array({digits}), d -> CASE WHEN {_luhn(canon)} % 10 = 0
-        THEN concat(substr(d, 1, 15), cast((10 - ({_luhn("concat(substr(d, 1, 15), '0')")} % 10)) % 10 as string)) ELSE d END), 1)
+        THEN concat(substr(d, 1, length(d) - 1), cast((10 - ({_luhn("concat(substr(d, 1, length(d) - 1), '0')")} % 10)) % 10 as string)) ELSE d END), 1)
       ELSE {_swap(canon, h, kept)} END"""
 
 
@@ -159,7 +186,9 @@ def _formatted(kind: str, e: str, sur: str) -> str:
     rest = f"substr({e}, length({title}) + 1)"
     return f"""CASE {kind}
       WHEN 'name' THEN concat({title}, CASE WHEN {rest} = upper({rest}) THEN upper(substr({sur}, 3)) ELSE initcap(substr({sur}, 3)) END)
+      WHEN 'none' THEN {e}
       WHEN 'ip' THEN {sur}
+      WHEN 'ipv6' THEN CASE WHEN {e} RLIKE '[A-F]' THEN upper({sur}) ELSE {sur} END
       WHEN 'secret' THEN {sur}
       WHEN 'email' THEN concat(substr({sur}, 1, length({sur}) - length({e})), array_join(transform(sequence(0, length({e}) - 1), i -> CASE WHEN {c} <> lower({c}) THEN upper(substr({sur}, {at}, 1)) ELSE substr({sur}, {at}, 1) END), ''))
       WHEN 'iban' THEN array_join(transform(sequence(0, length({e}) - 1), i -> CASE WHEN {c} = ' ' THEN ' ' ELSE substr({sur}, {nth_iban}, 1) END), '')
@@ -171,7 +200,7 @@ def entities(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spans = rows.where(F.col("text").rlike(HINT)).select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("e"))
     kinds = spans.select("doc_id", "text_hash", "e", F.expr(_kind("e")).alias("kind"))
-    return kinds.select("doc_id", "text_hash", "kind", F.expr(_canonical("kind", "e")).alias("canon"))
+    return kinds.where("kind <> 'none'").select("doc_id", "text_hash", "kind", F.expr(_canonical("kind", "e")).alias("canon"))
 
 
 def _quoted(key: str) -> str:
@@ -243,15 +272,25 @@ def redact(docs: DataFrame, key: str = "pairloom", count_column: str | None = No
         x -> struct(x.e as e, x.k as k, {_canonical('x.k', 'x.e')} as c)),
         x -> struct(x.e as e, x.k as k, x.c as c, {_hash('x.k', 'x.c', "'0'", quoted)} as h, concat({quoted}, '0') as salt)),
         x -> struct(x.e as e, x.k as k, coalesce(moved_surrogates[concat_ws('/', x.k, x.c)], {_surrogate('x.k', 'x.c', 'x.h', 'x.salt')}) as s)),
-        x -> {_render('x.k', 'x.e', 'x.s')})"""
+        x -> struct(x.e as e, x.k as k, {_render('x.k', 'x.e', 'x.s')} as r))"""
     pieces = F.split(text, PATTERN, -1)
     rows = rows.withColumn("entity_surrogates", F.when(F.size("entity_spans") > 0, F.expr(steps)))
+    # Words of titled names and of their surrogates; where else they stand, they are replaced as well.
+    bare = "filter(entity_surrogates, x -> x.k = 'name')"
+    words = lambda c: f"split(regexp_replace(x.{c}, '^{_TITLES}[.]? ', ''), ' ')"
+    rows = rows.withColumn("name_words", F.expr(f"flatten(transform({bare}, x -> zip_with({words('e')}, {words('r')}, (w, r) -> struct(w, r))))"))
+    rows = rows.withColumn("name_pattern", F.expr("CASE WHEN size(name_words) > 0 THEN concat('(?<![\\\\p{L}\\\\p{N}])(?:', array_join(array_distinct(transform(name_words, x -> x.w)), '|'), ')(?![\\\\p{L}\\\\p{N}])') END"))
+    rows = rows.withColumn("entity_gaps", F.when(F.size("entity_spans") > 0, pieces))
+    hits = "regexp_extract_all(p, name_pattern, 0)"
+    swapped = "concat(array_join(zip_with(slice(split(p, name_pattern, -1), 1, size(hs)), transform(hs, y -> element_at(filter(name_words, x -> x.w = y), 1).r), (q, r) -> concat(q, r)), ''), element_at(split(p, name_pattern, -1), -1))"
+    bound = f"element_at(transform(array({hits}), hs -> struct({swapped} as t, size(hs) as n)), 1)"
+    rows = rows.withColumn("entity_gaps", F.expr(f"transform(entity_gaps, p -> CASE WHEN name_pattern IS NULL THEN struct(p as t, 0 as n) ELSE {bound} END)"))
     new = F.when(
         F.size("entity_spans") > 0,
-        F.concat(F.array_join(F.zip_with(F.slice(pieces, 1, F.size("entity_spans")), F.col("entity_surrogates"), lambda p, s: F.concat(p, s)), ""), F.element_at(pieces, -1)),
+        F.concat(F.expr("array_join(zip_with(slice(entity_gaps, 1, size(entity_spans)), entity_surrogates, (p, x) -> concat(p.t, x.r)), '')"), F.expr("element_at(entity_gaps, -1).t")),
     ).otherwise(text)
     out = [new.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if count_column:
-        out.append(F.greatest(F.size("entity_spans"), F.lit(0)).alias(count_column))
+        out.append(F.expr("CASE WHEN size(entity_spans) > 0 THEN size(filter(entity_surrogates, x -> x.k <> 'none')) + aggregate(entity_gaps, 0, (a, p) -> a + p.n) ELSE 0 END").alias(count_column))
     return rows.select(*out)
 

@@ -239,6 +239,28 @@ def test_pii_collisions_are_redrawn(spark):
     assert got.select("sur").distinct().count() == got.count() == mentions.distinct().count()
 
 
+def test_pii_of_other_shapes(spark):
+    found = [
+        "+44 20 7946 0958", "+44 (0)20 7946 0958", "+33 6 12 34 56 78", "+49 151 23456789", "+34 612 345 678", "0033 6 12 34 56 78", "06 12 34 56 78", "020 7946 0958", "0151 23456789",
+        "612 345 678", "2125550100", "(212) 555-0100", "378282246310005", "3782 822463 10005", "6011000990139424", "4222222222222", "2001:db8:85a3:0:0:8a2e:370:7334", "2001:db8:85a3::8a2e:370:7334", "fe80::1ff:fe23:4567:890a",
+    ]
+    kept = ["at 12:30:45", "std::vector", "378282246310006", "in 1990-1991, 3.1415926535", "1,234,567,890", "a ratio of 16:9", "on 05.06.2024 12:30"]
+    docs = [(i, f"see {t} there") for i, t in enumerate(found + kept)] + [(100, "Mr. Smith met John Smith; Smithson saw Mrs. Anna Jones and ANNA, then Anna. Jones left.")]
+    got = {r.doc_id: r for r in pii.redact(spark.createDataFrame(docs, "doc_id long, text string"), count_column="n").collect()}
+    for i, t in enumerate(found):
+        new = got[i].text
+        assert got[i].n == 1 and new.startswith("see ") and new.endswith(" there") and t not in new, (t, new)
+        left = re.sub(r"\D", "", t)[-6:]
+        assert ":" in t or left not in re.sub(r"\D", "", new), (t, new)
+    for i, t in enumerate(kept, len(found)):
+        assert (got[i].n, got[i].text) == (0, f"see {t} there")
+    national = lambda i, n: re.sub(r"\D", "", got[i].text)[-n:]
+    assert national(0, 10) == national(1, 10) == national(7, 10) and national(2, 9) == national(5, 9) == national(6, 9) and national(3, 11) == national(8, 11) and national(4, 9) == national(9, 9)
+    assert national(10, 10) == national(11, 10) and national(12, 15) == national(13, 15) and got[16].text == got[17].text
+    m = re.fullmatch(r"Mr\. (\w+) met John (\w+); Smithson saw Mrs\. (\w+) (\w+) and ANNA, then (\w+)\. (\w+) left\.", got[100].text)
+    assert m and m[1] == m[2] != "Smith" and m[3] == m[5] != "Anna" and m[4] == m[6] != "Jones" and got[100].n == 5
+
+
 def test_pii_redraws_end_where_surrogates_are_fewer_than_entities(spark):
     """676 surrogates of the shape a@b.com and 10,000 of four digits at attempt 0, for more entities than that."""
     mails = spark.range(676).select(F.lit("email").alias("kind"), F.expr("concat(chr(97 + id div 26), '@', chr(97 + id % 26), '.com')").alias("canon"))
