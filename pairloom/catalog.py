@@ -240,7 +240,7 @@ _query("flagship", _sql("comb", f"""SELECT rank, {_KEY}, {_cols('und_first')}, n
     lambda s, d: _r(K.rank(_comb(s, d), k=20).select(F.col("rank").cast("bigint").alias("rank"), *P.KEY, "und_first", "nf", "ns"), "und_first")
 )
 _query("collapse_by_relation", _sql("comb", "SELECT sr, round(max(und_first), 6) AS best, count(*) AS n_pairs FROM comb GROUP BY sr"))(lambda s, d: _r(K.collapse(_comb(s, d)), "best"))
-_query("top_relations", _sql("rec", "SELECT rel, count(DISTINCT docid) AS n_docs, count(*) AS n_records FROM rec GROUP BY rel"))(lambda s, d: K.top_relations(records(s, d)))
+_query("top_relations", _sql("rec", "SELECT rel, count(DISTINCT docid) AS n_docs, count(*) AS n_records FROM rec GROUP BY rel"))(lambda s, d: K.top_relations(records(s, d), None))
 _query("doc_lookup", _sql("rec", "SELECT DISTINCT docid FROM rec WHERE rel = 'purchase' AND (lower(arg1) = 'k3' OR list_contains(arg1types, 'Type:k3'))"))(lambda s, d: K.records_matching(records(s, d), "k3", "purchase").select("docid").distinct())
 _query("window_lm", _sql("cum", """SELECT t1, t2, "window", cnt, round(p, 6) AS p FROM lm""", _EDGE))(lambda s, d: _r(K.window_lm(_edges(s, d)), "p"))
 _query("symmetric_lm", _sql("cum", "SELECT t1, t2, round(scp, 9) AS scp FROM sym", _EDGE))(lambda s, d: _r(_sym(s, d), "scp", places=9))

@@ -130,9 +130,10 @@ def collapse(c: DataFrame) -> DataFrame:
     return c.groupBy("sr").agg(F.max("und_first").alias("best"), F.count("*").alias("n_pairs"))
 
 
-def top_relations(rec: DataFrame, k: int = 100) -> DataFrame:
-    """Relations by the number of their documents."""
-    return rec.groupBy("rel").agg(F.count_distinct("docid").alias("n_docs"), F.count("*").alias("n_records")).orderBy(F.desc("n_docs"), "rel").limit(k)
+def top_relations(rec: DataFrame, k: int | None = 100) -> DataFrame:
+    """Relations by the number of their documents; all of them if k is None."""
+    ranked = rec.groupBy("rel").agg(F.count_distinct("docid").alias("n_docs"), F.count("*").alias("n_records")).orderBy(F.desc("n_docs"), "rel")
+    return ranked if k is None else ranked.limit(k)
 
 
 def records_matching(rec: DataFrame, arg: str, rel: str | None = None) -> DataFrame:

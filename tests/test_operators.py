@@ -211,3 +211,9 @@ def test_sql_twin(spark, con, name):
     cols = sorted(a.columns)
     assert cols == sorted(b.columns)
     assert sorted(map(repr, a[cols].itertuples(index=False, name=None))) == sorted(map(repr, b[cols].itertuples(index=False, name=None)))
+
+
+def test_top_relations_query_keeps_all(spark, monkeypatch):
+    rec = spark.range(300).select(F.col("id").cast("string").alias("docid"), F.concat(F.lit("r"), F.col("id") % 150).alias("rel"))
+    monkeypatch.setattr(catalog, "records", lambda s, d: rec)
+    assert catalog.QUERIES["top_relations"](spark, SF).count() == 150 and K.top_relations(rec).count() == 100
