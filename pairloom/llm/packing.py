@@ -4,20 +4,26 @@ Every document becomes pieces: full-length ones are sequences of their own, and
 at most one shorter piece is left. Each partition packs its short pieces by
 best fit, largest first, and emits the nearly full bins. The underfull bins are
 items of the next round, in which a few partitions merge into one and best fit
-runs again, up a tree until one partition is left or no round can help.
+runs again, up a tree.
+
+A round leaves out the bins that even the smallest item would not fit into: they
+are final. The tree ends at one partition, or when a round lowers the number of
+bins by less than one in a hundred. Rounds are dealt by the number of items, so
+none brings more than AT_ONCE bins or MEMBERS_AT_ONCE pieces to a task, however
+many bins stay underfull.
 
 A bin that travels carries its members' descriptions (not their ids), at most as
-many as its length, so a round's data are the underfull bins alone; these are a
-small part, and shrink with every level.
+many as its length, so a round's data are the underfull bins alone.
 
 Defined results: a null text is an empty document (its end id alone); repeated
 rows and null ids are packed each for itself; an empty table gives an empty
 result; extra columns do not take part; ties go to the fuller bin, then to the
-bin opened first.
+bin opened last.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 
@@ -26,17 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import erase, written
-from .tokens import encoder
+from .common import written
+from .tokens import MEMO, encoder
 
 #: A bin with so few places free is final.
 SPARE = 2
 #: Partitions that merge into one in a round.
 FAN_IN = 8
-#: Items that one best fit sees at most.
-AT_ONCE = 100_000
+#: Bins, and pieces in them, that one best fit sees at most.
+AT_ONCE, MEMBERS_AT_ONCE = 100_000, 1_000_000
 MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
-_ARROW = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+_FIELDS = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -46,7 +52,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     lowest set bit of a mask over free spaces."""
     by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
     mask, bins = 0, []
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+    for i in np.argsort(-np.asarray(sizes, np.int64), kind="stable").tolist():
         fits = mask >> sizes[i]
         if fits:
             free = sizes[i] + (fits & -fits).bit_length() - 1
@@ -73,75 +79,104 @@ def pieces_of(raw: bytes, length: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _batch(rows: list[tuple[int, list[dict]]], columns=("fill", "members")) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(_ARROW))], list(columns))
+def _sent(fills: np.ndarray, members: pa.ListArray, chunk: int = 5000):
+    batch = pa.RecordBatch.from_arrays([pa.array(fills, pa.int32()), members], ["fill", "members"])
+    for at in range(0, len(batch), chunk):
+        yield batch.slice(at, chunk)
+
+
+class _Items:
+    """Bins that wait to be packed together: their fills and lists of members."""
 
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self._clear()
 
-def _packed(items: list[tuple[int, list[dict]]], capacity: int):
-    for b in best_fit([x[0] for x in items], capacity):
-        yield sum(items[i][0] for i in b), [m for i in b for m in items[i][1]]
+    def _clear(self) -> None:
+        self.fills, self.members, self.n, self.n_members = [], [], 0, 0
 
+    def add(self, fills: np.ndarray, members: pa.ListArray):
+        """Take in bins; yields what is packed when there are enough."""
+        self.fills.append(fills)
+        self.members.append(members)
+        self.n += len(fills)
+        self.n_members += len(members.flatten())
+        if self.n >= AT_ONCE or self.n_members >= MEMBERS_AT_ONCE:
+            yield from self.packed()
 
-def _flushed(bins, chunk: int = 5000):
-    out = []
-    for x in bins:
-        out.append(x)
-        if len(out) == chunk:
-            yield _batch(out)
-            out = []
-    if out:
-        yield _batch(out)
+    def packed(self):
+        if not self.n:
+            return
+        fills, lists = np.concatenate(self.fills), pa.concat_arrays(self.members)
+        self._clear()
+        bins = best_fit(fills.tolist(), self.capacity)
+        order = np.fromiter(itertools.chain.from_iterable(bins), np.int64)
+        ends = np.cumsum(np.fromiter(map(len, bins), np.int64, len(bins)))
+        taken = lists.take(pa.array(order))
+        edges = np.append(0, np.cumsum(taken.value_lengths().to_numpy(zero_copy_only=False)))
+        merged = pa.ListArray.from_arrays(pa.array(edges[np.append(0, ends)], pa.int32()), taken.flatten())
+        yield from _sent(np.add.reduceat(fills[order], np.append(0, ends[:-1])), merged)
 
 
 def pack(docs: DataFrame, path: str, blanks_drop: bool, end_id: int, capacity: int = 1024, spare: int = SPARE, fan_in: int = FAN_IN) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     end = struct.pack("<I", end_id)
-    spark = docs.sparkSession
 
     def first(batches):
-        enc, items = encoder(path, blanks_drop), []
+        enc, items = encoder(path, blanks_drop, 2 * MEMO), _Items(capacity)
         for b in batches:
-            full = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for piece, start, size, crc in pieces_of(enc.raw(t or "") + end, capacity):
-                    row = (size, [{"doc_id": d, "piece": piece, "start": start, "length": size, "ids_crc32": crc}])
-                    (full if size == capacity else items).append(row)
-            if full:
-                yield from _flushed(full)
-            if len(items) >= AT_ONCE:
-                yield from _flushed(_packed(items, capacity))
-                items = []
-        yield from _flushed(_packed(items, capacity))
+            owner, found = [], []
+            for k, t in enumerate(b.column(1).to_pylist()):
+                own = pieces_of(enc.raw(t or "") + end, capacity)
+                found += own
+                owner += [k] * len(own)
+            if not found:
+                continue
+            columns = np.array(found, np.int64).T
+            arrays = [b.column(0).take(pa.array(owner)), *(pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS[1:], strict=True))]
+            rows = pa.StructArray.from_arrays(arrays, fields=[pa.field(*f) for f in _FIELDS])
+            lists, sizes = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1), pa.int32()), rows), columns[2]
+            full = sizes == capacity
+            yield from _sent(sizes[full], lists.filter(pa.array(full)))
+            yield from items.add(sizes[~full], lists.filter(pa.array(~full)))
+        yield from items.packed()
 
     def again(batches):
-        items = []
+        items = _Items(capacity)
         for b in batches:
-            items += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-            if len(items) >= AT_ONCE:
-                yield from _flushed(_packed(items, capacity))
-                items = []
-        yield from _flushed(_packed(items, capacity))
+            yield from items.add(b.column(0).to_numpy().astype(np.int64), b.column(1))
+        yield from items.packed()
 
     spec = f"fill int, members array<{MEMBER}>"
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     level = written(rows.mapInArrow(first, spec), "pack")
-    done, parts = [level.where(F.col("fill") >= capacity - spare)], max(1, level.rdd.getNumPartitions())
-    rest = level.where(F.col("fill") < capacity - spare)
+    done, parts, before, fill = [], max(1, level.rdd.getNumPartitions()), 0, F.col("fill")
     while True:
-        parts = max(1, parts // fan_in)
-        # Any deal will do; by a hash of the first member, so that a retried task deals alike.
-        first_one = F.xxhash64(F.element_at("members", 1)["doc_id"], F.element_at("members", 1)["piece"], F.element_at("members", 1)["ids_crc32"])
-        level = written(rest.repartition(parts, first_one).mapInArrow(again, spec), "pack")
-        if parts == 1:
+        total, least = level.agg(F.count("*"), F.min(F.when(fill < capacity - spare, fill))).first()
+        open_bin = (fill < capacity - spare) & (fill <= capacity - (least or capacity))
+        live = level.where(open_bin)
+        n, members = live.agg(F.count("*"), F.coalesce(F.sum(F.size("members")), F.lit(0))).first()
+        if n < 2 or (before and (parts == 1 or 100 * total > 99 * before)):
             done.append(level)
             break
-        done.append(level.where(F.col("fill") >= capacity - spare))
-        rest = level.where(F.col("fill") < capacity - spare)
+        done.append(level.where(~open_bin))
+        before, parts = n, max(1, parts // fan_in, -(-n // AT_ONCE), -(-members // MEMBERS_AT_ONCE))
+        # Any deal will do, another one each round; by a hash of the first member, so that a retried task deals alike.
+        first_one = F.xxhash64(F.element_at("members", 1)["doc_id"], F.element_at("members", 1)["piece"], F.element_at("members", 1)["ids_crc32"], F.lit(len(done)))
+        level = written(live.repartition(parts, first_one).mapInArrow(again, spec), "pack")
+
+    def placed(batches):
+        for b in batches:
+            rows, counts = b.column(1).flatten(), b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            length = rows.field("length").to_numpy(zero_copy_only=False)
+            at = np.cumsum(length) - length
+            opens = np.cumsum(counts) - counts
+            offset = at - np.repeat(at[opens], counts) if len(at) else at
+            ids = np.repeat(b.column(0).to_numpy(), counts)
+            yield pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(ids, pa.int64()), pa.array(offset, pa.int64())], [*(n for n, _ in _FIELDS), "sequence_id", "offset"])
+
     bins = done[0]
     for d in done[1:]:
         bins = bins.unionByName(d)
-    return (
-        bins.withColumn("sequence_id", F.monotonically_increasing_id())
-        .select("sequence_id", F.explode(F.expr("transform(members, (m, i) -> struct(m as m, aggregate(slice(members, 1, i), 0L, (s, x) -> s + x.length) as offset))")).alias("x"))
-        .select("x.m.doc_id", "x.m.piece", "x.m.start", "x.m.length", "x.m.ids_crc32", "sequence_id", F.col("x.offset").alias("offset"))
-    )
+    numbered = bins.select(F.monotonically_increasing_id().alias("sequence_id"), "members")
+    return numbered.mapInArrow(placed, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

@@ -51,56 +51,62 @@ class PieceEncoder(dict):
     """Ids of a text under a vocabulary file of the tokenizers library, as
     little-endian unsigned 32-bit integers.
 
-    The dictionary itself maps pieces to their ids; it starts anew at `most` pieces.
+    The dictionary itself maps pieces to their ids. It holds `most` / 2 pieces at
+    most; then they become the older generation, from which pieces in use come back.
     """
 
     def __init__(self, path: str, blanks_drop: bool, most: int = MEMO):
         """blanks_drop: the vocabulary drops white space altogether; else a
         single blank belongs to the piece that it precedes."""
         super().__init__()
-        self.most = most
+        self.most, self.older = most, {}
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
         self.tokenize = self.model.tokenize
         self.blanks_drop = blanks_drop
+        self.single = {c: self.plain(c) for c in ".,\n"}
 
     def _stem(self, raw: str) -> bytes:
         if _LETTERS(raw):  # one pre-token: straight to the library's merge model
-            found = self.model.tokenize(raw if raw.isascii() and raw[0] != " " else raw.encode().decode("latin-1").translate(_BYTE_LEVEL))
+            found = self.tokenize(raw if raw.isascii() and raw[0] != " " else raw.encode().decode("latin-1").translate(_BYTE_LEVEL))
             return array("I", [t.id for t in found]).tobytes()
+        if raw[0] == "\n" and raw[1:2] != " " and _LETTERS(raw[1:]):  # a line break before a letter is a pre-token
+            return self.single["\n"] + self._stem(raw[1:])
         return self.plain(raw)
 
     def __missing__(self, piece: str) -> bytes | None:
+        out = self.older.get(piece, self)
+        if out is self:
+            out = self._made(piece)
+        if 2 * len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = out
+        return out
+
+    def _made(self, piece: str) -> bytes | None:
         """Ids of a piece, or None where its cuts are not proven.
 
         A full stop or comma after a Latin letter begins a pre-token. The
         blank-dropping vocabulary also lower-cases.
         """
-        if len(self) > self.most:
-            self.clear()
         if piece.isascii() and piece.isalpha() and (not self.blanks_drop or piece.islower()):  # most pieces
-            found = self.tokenize(piece if self.blanks_drop else "Ġ" + piece)
-            out = self[piece] = array("I", [t.id for t in found]).tobytes()
-            return out
-        raw, out = piece, b""
+            return array("I", [t.id for t in self.tokenize(piece if self.blanks_drop else "Ġ" + piece)]).tobytes()
+        raw = piece
         if self.blanks_drop:
             if piece and not _BEYOND(piece):
                 low = piece.lower()
                 if low != piece:
-                    self[piece] = out = self[low]
-                    return out
+                    return self[low]
         elif not piece or piece[-1].isspace() or (piece[0].isspace() and (piece[0] != "\n" or piece[1].isspace())):
-            self[piece] = None
             return None
         else:
             raw = piece if piece[0] == "\n" else " " + piece
-        if raw:
-            if len(piece) > 1 and _STOPPED(raw):
-                out = (self[piece[:-1]] or b"") + self.plain(raw[-1])
-            else:
-                out = self._stem(raw)
-        self[piece] = out
-        return out
+        if not raw:
+            return b""
+        if len(piece) > 1 and _STOPPED(raw):
+            return (self[piece[:-1]] or b"") + self.single[raw[-1]]
+        return self._stem(raw)
 
     def raw(self, text: str) -> bytes:
         """The ids of `text`, 4 bytes each."""
