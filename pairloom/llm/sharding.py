@@ -1,10 +1,12 @@
 """Two-pass external shuffle into shards.
 
 Pass 1 scatters records uniformly into memory-sized buckets: a seeded hash of
-doc_id picks the shard, a second one the bucket inside it. Pass 2 takes one
-bucket at a time, puts it into a fixed order, shuffles it by Fisher-Yates with a
-seed drawn from the bucket's number, and writes it. Slots are gapless: prefix
-sums over bucket counts give each bucket its base.
+doc_id picks the shard, a second one of doc_id and text the bucket inside it, so
+rows of one id spread over the buckets of their shard. Pass 2 takes one bucket at
+a time, puts it into a fixed order, shuffles it by Fisher-Yates with a seed drawn
+from the bucket's number, and writes it. Slots are gapless: prefix sums over
+bucket counts, taken beforehand from ids and hashes alone, give each bucket its
+base. Texts are shuffled once; equal rows of a bucket are held once, with a count.
 
 The law is `key`: jump consistent hashing, so doc_id, seed and shard count alone
 decide, and growing by one shard moves rows only into the new one.
@@ -17,17 +19,19 @@ empty result; extra columns do not take part.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, written
 
 #: Bytes of text in a bucket of pass 2.
 BUCKET_BYTES = 24 << 20
+#: Tasks of pass 2 at most; a task takes several buckets, one after the other, where there are more.
+TASKS = 50_000
+#: Rows of the table of buckets (20 bytes each) that may be broadcast; beyond that it is shuffled to them.
+BUCKET_ROWS = 200_000
 
 
 def _seeded(seed: int, *cols: str) -> Column:
@@ -63,6 +67,35 @@ def place(docs: DataFrame, shards: int, seed: int) -> DataFrame:
     return docs.mapInArrow(run, spec)
 
 
+def _runs(batches):
+    """Buckets one at a time, from rows sorted by bucket, id and text: shard, bucket,
+    base, the different rows, and how often each occurs."""
+    held: list[pa.Table] = []
+
+    def bucket(parts):
+        t = pa.Table.from_batches(parts).combine_chunks()
+        ids, texts = t.column("doc_id").to_pylist(), t.column("text").to_pylist()
+        starts = [k for k in range(len(ids)) if not k or ids[k] != ids[k - 1] or texts[k] != texts[k - 1]]
+        times = np.diff([*starts, len(ids)])
+        return t.take(pa.array(starts)), times
+
+    def finished(parts):
+        distinct, times = zip(*(bucket([b]) for b in parts), strict=True)
+        return pa.concat_tables(distinct).combine_chunks(), np.concatenate(times)
+
+    for b in batches:
+        key = b.column("shard").to_numpy().astype(np.int64) << 32 | b.column("bucket").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(b)]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            part = b.slice(x, y - x)
+            if held and (held[0].column("shard")[0] != part.column("shard")[0] or held[0].column("bucket")[0] != part.column("bucket")[0]):
+                yield finished(held)
+                held = []
+            held.append(part)
+    if held:
+        yield finished(held)
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = 24, seed: int = 7, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Write the shards as Parquet under path/shard=N and return the table read
     back: doc_id, text, grown_shard, slot, shard."""
@@ -70,32 +103,30 @@ def write_shards(docs: DataFrame, path: str, shards: int = 24, seed: int = 7, bu
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
     per_shard = max(1, -(-total // (shards * bucket_bytes)))
-    placed = place(rows.withColumn("key64", _seeded(seed, "doc_id")), shards, seed).drop("key64")
-    bucketed = placed.withColumn("bucket", F.pmod(_seeded(seed + 1, "doc_id"), F.lit(per_shard)).cast("int"))
-    ids = rows.select("doc_id").withColumn("key64", _seeded(seed, "doc_id"))
-    sizes = (
-        place(ids, shards, seed)
-        .withColumn("bucket", F.pmod(_seeded(seed + 1, "doc_id"), F.lit(per_shard)).cast("int"))
-        .groupBy("shard", "bucket")
-        .agg(F.count("*").alias("n"))
-    )
+    keyed = rows.withColumn("key64", _seeded(seed, "doc_id")).withColumn("bucket", F.pmod(_seeded(seed + 1, "doc_id", "text"), F.lit(per_shard)).cast("int"))
+    sizes = written(place(keyed.select("key64", "bucket"), shards, seed).groupBy("shard", "bucket").agg(F.count("*").alias("n")), "buckets")
     order = Window.partitionBy("shard").orderBy("bucket")
     bases = sizes.select("shard", "bucket", (F.sum("n").over(order) - F.col("n")).alias("base"))  # one row a bucket
+    n = max(1, min(shards * per_shard, TASKS))
+    placed = place(keyed, shards, seed).drop("key64")
+    if shards * per_shard <= BUCKET_ROWS:  # one bucket a task, while there are tasks enough
+        based = placed.join(F.broadcast(bases), ["shard", "bucket"]).repartitionById(n, ((F.col("shard") * per_shard + F.col("bucket")) % n).cast("int"))
+    else:  # the join keeps the partitioning by bucket
+        based = placed.repartition(n, "shard", "bucket").join(bases.repartition(n, "shard", "bucket").hint("merge"), ["shard", "bucket"])
+
+    def shuffled(batches):
+        for distinct, times in _runs(batches):
+            shard, bucket, base = (distinct.column(c)[0].as_py() for c in ("shard", "bucket", "base"))
+            # The order of equal rows is of no account: they stand in for each other. numpy's permutation is Fisher-Yates.
+            turn = np.repeat(np.arange(len(times)), times)[np.random.default_rng([seed, shard, bucket]).permutation(int(times.sum()))]
+            for at in range(0, len(turn), 2000):
+                some = distinct.select(["doc_id", "text", "grown_shard"]).take(pa.array(turn[at : at + 2000])).combine_chunks().to_batches()[0]
+                slots = pa.array(np.arange(base + at, base + at + len(some)), pa.int64())
+                yield pa.RecordBatch.from_arrays([*some.columns, slots, pa.array(np.full(len(some), shard), pa.int32())], ["doc_id", "text", "grown_shard", "slot", "shard"])
 
-    def shuffled(key, group):
-        shard, bucket = key[0].as_py(), key[1].as_py()
-        ids = group.column("doc_id").to_pylist()
-        texts = [zlib.crc32(t.encode()) if t is not None else -1 for t in group.column("text").to_pylist()]
-        fixed = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
-        turn = np.array(fixed)[np.random.default_rng([seed, shard, bucket]).permutation(len(ids))]  # numpy's permutation is Fisher-Yates
-        group = group.take(pa.array(turn))
-        return group.append_column("pos", pa.array(np.arange(len(ids)), pa.int64()))
-
-    spec = "doc_id bigint, text string, shard int, grown_shard int, bucket int, pos bigint"
-    mixed = bucketed.groupBy("shard", "bucket").applyInArrow(shuffled, spec)
-    slotted = mixed.join(bases, ["shard", "bucket"]).withColumn("slot", F.col("base") + F.col("pos"))
-    slotted.select("doc_id", "text", "grown_shard", "slot", "shard").write.partitionBy("shard").parquet(path)
     spec = "doc_id bigint, text string, grown_shard int, slot bigint, shard int"
+    fixed = based.sortWithinPartitions("shard", "bucket", "doc_id", "text").select("doc_id", "text", "shard", "grown_shard", "bucket", "base")
+    fixed.mapInArrow(shuffled, spec).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return spark.read.schema(spec).parquet(path)
 
 
