@@ -8,7 +8,17 @@ they stand in the document, too. Each gets a replacement derived from a keyed ha
 its canonical form, so mentions of one entity get one surrogate wherever and
 however they are written; the mention's format (punctuation, grouping, letter
 case, country prefix), its script and, for names, the gender of the title are
-kept, card numbers that pass the Luhn check keep passing it.
+kept; card numbers that pass the Luhn check, and IBANs that pass theirs, keep passing it.
+
+The key comes from the caller or from the setting `pairloom.pii.key`; without
+either a random one is drawn for the session, so that nobody can draw the
+surrogates of guessed entities again.
+
+A telephone number written with a leading zero and without its country stands for
+the one of the corpus with the same national number; ten digits without a zero are
+taken for North American ones, nine from 6 to 9 on for Spanish ones. Where numbers of
+several countries share a national number, the first keeps its surrogate, and the
+others get their own.
 
 Collision checks: the distinct entities and their surrogates are one table.
 Where two entities of a type share a surrogate, or a surrogate is itself an
@@ -26,17 +36,23 @@ of mentions under a name that the caller may choose.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
 
-_TITLES = r"(?:Mr|Mrs|Ms|Miss|Mme|Monsieur|Madame|Herr|Frau|Señor|Señora|г-н|г-жа)"
+_FEMALE = "Mrs|Ms|Miss|Mme|Mlle|Madame|Mademoiselle|Frau|Señora|Señorita|Sra|Srta|Dame|г-жа"
+_NEUTRAL = "Dr|Prof|Professor"
+_TITLES = rf"(?:{_FEMALE}|{_NEUTRAL}|Mr|Sir|Monsieur|Herr|Señor|Sr|г-н)"
 _H = "[0-9A-Fa-f]{1,4}"
 #: Eight groups, or fewer around `::`, of two groups or more and with a digit.
 _IPV6 = rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_H}:){{7}}{_H}|(?=[0-9A-Fa-f:]*[0-9])(?:{_H}(?::{_H}){{0,6}}::(?:{_H}(?::{_H}){{0,5}})?|::{_H}(?::{_H}){{1,6}}))(?![\p{{L}}\p{{N}}:]|[.]\d)"
 #: Country codes of telephone numbers.
 _COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+#: A word of a name: O'Neil-Jones is one.
+_WORD = r"\p{Lu}(?:\p{L}+|['\u2019]\p{L}+)(?:['\u2019-]\p{L}+)*"
 #: Alternatives in order of precedence.
 PATTERN = "|".join(
     (
@@ -55,7 +71,7 @@ PATTERN = "|".join(
         r"(?<![\p{L}\p{N}.,+-])[6-9]\d{2}(?:([ .-]?)\d{3}\4\d{3}|([ .-])\d{2}\5\d{2}\5\d{2})(?![\p{L}\p{N}]|[.,-]\d)",
         r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
         r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,128}|(?:sk-|ghp_|AKIA)[A-Za-z0-9]{16,})(?![\p{L}\p{N}])",
-        r"(?<![\p{L}\p{N}])" + _TITLES + r"\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
+        r"(?<![\p{L}\p{N}])" + _TITLES + r"\.? " + _WORD + f"(?: {_WORD})?",
     )
 )
 #: Cheap necessary condition.
@@ -84,11 +100,20 @@ def _expanded(e: str) -> str:
     return f"concat_ws(':', transform({whole}, g -> regexp_replace(g, '^0+(?=.)', '')))"
 
 
+_PREFIX = f"([+]|00(?=[1-9]))(([0-9]{{1,3}})(?=[^0-9])|{_COUNTRY})"
+
+
+def _base(kind: str, canon: str) -> str:
+    """What a surrogate is made of: a telephone number's national part, and else the canonical form."""
+    return f"CASE WHEN {kind} = 'phone' THEN substring_index({canon}, '/', 1) ELSE {canon} END"
+
+
 def _canonical(kind: str, e: str) -> str:
-    """One form for all ways to write an entity. The gender of a name is part of it."""
+    """One form for all ways to write an entity. The gender of a name is part of it, and so are a telephone
+    number's country digits, after a slash, where they are written."""
     return f"""CASE {kind}
       WHEN 'name' THEN concat(
-        CASE WHEN {e} RLIKE '^(Mrs|Ms|Miss|Mme|Madame|Frau|Señora|г-жа)' THEN 'f:' ELSE 'm:' END,
+        CASE WHEN {e} RLIKE '^({_FEMALE})[. ]' THEN 'f:' WHEN {e} RLIKE '^({_NEUTRAL})[. ]' THEN 'n:' ELSE 'm:' END,
         lower(regexp_replace({e}, '^{_TITLES}[.]? ', '')))
       WHEN 'email' THEN lower({e})
       WHEN 'secret' THEN {e}
@@ -96,7 +121,10 @@ def _canonical(kind: str, e: str) -> str:
       WHEN 'none' THEN {e}
       WHEN 'ipv6' THEN {_expanded(e)}
       WHEN 'iban' THEN replace({e}, ' ', '')
-      WHEN 'phone' THEN regexp_replace(regexp_replace(regexp_replace({e}, '^([+]|00(?=[1-9]))(([0-9]{{1,3}})(?=[^0-9])|{_COUNTRY})', ''), '[^0-9]', ''), '^0(?=[0-9])', '')
+      WHEN 'phone' THEN concat(
+        regexp_replace(regexp_replace(regexp_replace({e}, '^{_PREFIX}', ''), '[^0-9]', ''), '^0(?=[0-9])', ''),
+        CASE WHEN {e} RLIKE '^{_PREFIX}' THEN regexp_replace(regexp_extract({e}, '^{_PREFIX}', 0), '^([+]|00)', '/')
+          WHEN regexp_replace({e}, '[^0-9]', '') RLIKE '^[1-9][0-9]{{9}}$' THEN '/1' WHEN regexp_replace({e}, '[^0-9]', '') RLIKE '^[6-9][0-9]{{8}}$' THEN '/34' ELSE '' END)
       ELSE regexp_replace({e}, '[^0-9]', '') END"""
 
 
@@ -127,6 +155,13 @@ def _luhn(s: str) -> str:
       ELSE cast(substr({s}, i, 1) as int) END)"""
 
 
+def _rest97(s: str) -> str:
+    """Rest modulo 97 of an IBAN, with its first four characters moved to the end."""
+    moved = f"concat(substr({s}, 5), substr({s}, 1, 4))"
+    c = f"substr({moved}, i, 1)"
+    return f"""aggregate(sequence(1, length({s})), 0L, (a, i) -> CASE WHEN {c} RLIKE '[0-9]' THEN (a * 10 + cast({c} as int)) % 97 ELSE (a * 100 + ascii({c}) - 55) % 97 END)"""
+
+
 def _name(s: str, h: str) -> str:
     """Made-up names: as many words, in the script of the original; the ending of
     a given name goes by gender. A word depends on itself alone, so a surname
@@ -140,9 +175,9 @@ def _name(s: str, h: str) -> str:
 
     own = f"sha2(concat({h}, w, CASE WHEN j < size({words}) - 1 THEN substr({s}, 1, 2) ELSE '' END), 512)"
     lat, cyr = syllables(own, "lat"), syllables(own, "cyr")
-    end = f"""CASE WHEN j = size({words}) - 1 THEN '{{0}}' WHEN {s} LIKE 'f:%' THEN '{{1}}' ELSE '{{2}}' END"""
+    end = f"""CASE WHEN j = size({words}) - 1 THEN '{{0}}' WHEN {s} LIKE 'f:%' THEN '{{1}}' WHEN {s} LIKE 'm:%' THEN '{{2}}' ELSE '{{3}}' END"""
     return f"""concat(substr({s}, 1, 2), array_join(transform({words}, (w, j) -> CASE WHEN w RLIKE '[\\\\p{{IsCyrillic}}]'
-      THEN concat({cyr}, {end.format('к', 'на', 'н')}) ELSE concat({lat}, {end.format('r', 'na', 'n')}) END), ' '))"""
+      THEN concat({cyr}, {end.format('к', 'на', 'н', 'л')}) ELSE concat({lat}, {end.format('r', 'na', 'n', 'l')}) END), ' '))"""
 
 
 def _hash(kind: str, canon: str, attempt: str, key: str) -> str:
@@ -167,6 +202,8 @@ def _surrogate(kind: str, canon: str, h: str, salt: str) -> str:
       WHEN {kind} = 'secret' AND {canon} RLIKE '^[0-9a-fA-F]+$' THEN CASE WHEN {canon} RLIKE '[A-F]' THEN upper(substr(concat({h}, {h}), 1, length({canon}))) ELSE substr(concat({h}, {h}), 1, length({canon})) END
       WHEN {kind} = 'card' THEN element_at(transform(array({digits}), d -> CASE WHEN {_luhn(canon)} % 10 = 0
         THEN concat(substr(d, 1, length(d) - 1), cast((10 - ({_luhn("concat(substr(d, 1, length(d) - 1), '0')")} % 10)) % 10 as string)) ELSE d END), 1)
+      WHEN {kind} = 'iban' THEN element_at(transform(array({_swap(canon, h, kept)}), d -> CASE WHEN {_rest97(canon)} = 1
+        THEN concat(substr(d, 1, 2), lpad(cast(98 - {_rest97("concat(substr(d, 1, 2), '00', substr(d, 5))")} as string), 2, '0'), substr(d, 5)) ELSE d END), 1)
       ELSE {_swap(canon, h, kept)} END"""
 
 
@@ -224,54 +261,64 @@ def _grown(kind: str, sur: str, h: str, attempt: str) -> str:
 def dictionary(mentions: DataFrame, key: str) -> DataFrame:
     """kind, canon, attempt, sur: one row an entity, without collisions.
 
-    Names are checked by whole names; the other kinds as they are."""
+    Names are checked by whole names; telephone numbers by their national parts, which a number written with
+    its country and one without may share; the other kinds as they are."""
     quoted = _quoted(key)
+    basis = "CASE WHEN alone THEN canon ELSE base END"
+    drawn = f"""element_at(transform(transform(array(struct({_hash("kind", basis, "attempt", quoted)} as h, concat({quoted}, attempt) as salt)),
+        x -> struct(x.h as h, kind as k, {_surrogate('kind', 'base', 'x.h', 'x.salt')} as s)), x -> {_grown('x.k', 'x.s', 'x.h', 'attempt')}), 1)"""
 
-    def drawn(df: DataFrame) -> Column:
-        h = _hash("kind", "canon", "attempt", quoted)
-        return F.expr(f"element_at(transform(transform(array(struct({h} as h, concat({quoted}, attempt) as salt)), x -> struct(x.h as h, kind as k, {_surrogate('kind', 'canon', 'x.h', 'x.salt')} as s)), x -> {_grown('x.k', 'x.s', 'x.h', 'attempt')}), 1)")
-
-    table = mentions.select("kind", "canon").distinct().withColumn("attempt", F.lit(0))
-    table = table.withColumn("sur", drawn(table))
-    table = written(table, "surrogates")
+    table = mentions.select("kind", "canon").distinct().withColumn("base", F.expr(_base("kind", "canon")))
+    table = table.withColumn("attempt", F.lit(0)).withColumn("alone", F.lit(False))
+    table = written(table.withColumn("sur", F.expr(drawn)), "surrogates")
     while True:
-        shared = table.groupBy("kind", "sur").agg(F.count("*").alias("n"), F.min("canon").alias("first")).where("n > 1")
-        twice = table.join(shared, ["kind", "sur"]).where("canon <> first").select("kind", "canon")
-        real = table.select("kind", F.col("canon").alias("sur"))
-        taken = table.join(real, ["kind", "sur"]).select("kind", "canon")
-        again = twice.unionByName(taken).distinct().withColumn("again", F.lit(1))
+        # Of those that share a surrogate the first entity keeps it: its base, and one canonical form more.
+        place = F.struct("base", (F.col("canon") == F.col("base")).alias("bare"), "canon")
+        shared = table.groupBy("kind", "sur").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("kind", "sur", "first")
+        lost = "base <> first.base OR (canon <> base AND canon <> first.canon)"
+        twice = table.join(shared, ["kind", "sur"]).where(lost).select("kind", "canon", F.expr("base = first.base").alias("own"))
+        real = table.select("kind", F.col("base").alias("sur")).distinct()
+        taken = table.join(real, ["kind", "sur"]).select("kind", "canon", F.lit(False).alias("own"))
+        again = twice.unionByName(taken).groupBy("kind", "canon").agg(F.max("own").alias("own"))
         if again.limit(1).count() == 0:
-            return table
-        table = table.join(again, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0)))
-        table = table.withColumn("sur", F.when(F.col("again") == 1, drawn(table)).otherwise(F.col("sur"))).drop("again")
-        table = written(table, "surrogates")
+            return table.select("kind", "canon", "attempt", "sur")
+        table = table.join(again, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.col("own").isNotNull().cast("int"))
+        table = table.withColumn("alone", F.col("alone") | F.coalesce("own", F.lit(False)))
+        table = written(table.withColumn("sur", F.when(F.col("own").isNotNull(), F.expr(drawn)).otherwise(F.col("sur"))).drop("own"), "surrogates")
+
+
+def _key(spark: SparkSession) -> str:
+    """The configured key, or a random one for this session."""
+    if not spark.conf.get("pairloom.pii.key", ""):
+        spark.conf.set("pairloom.pii.key", secrets.token_hex(32))
+    return spark.conf.get("pairloom.pii.key")
 
 
-def redact(docs: DataFrame, key: str = "pairloom", count_column: str | None = None) -> DataFrame:
+def redact(docs: DataFrame, key: str | None = None, count_column: str | None = None) -> DataFrame:
     """docs with surrogates in column text; other columns unchanged."""
+    key = key or _key(docs.sparkSession)
     mentions = written(entities(docs), "mentions")
     names = dictionary(mentions, key)
     moved = names.where("attempt > 0").select("kind", "canon", "sur")
-    lookup = None
+    # The caller's columns travel in one struct, apart from the working columns.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.col("row.text").cast("string")
     if moved.limit(1).count():
         own = mentions.join(moved, ["kind", "canon"]).select("doc_id", "text_hash", F.struct(F.concat_ws("/", "kind", "canon").alias("k"), "sur").alias("x")).distinct()
         lookup = written(own.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list("x")).alias("moved_surrogates")), "moved")
-    rows = docs
-    if lookup is not None:
-        lookup = lookup.withColumnsRenamed({"doc_id": "lookup_id", "text_hash": "lookup_hash"})
-        rows = docs.join(lookup, docs["doc_id"].eqNullSafe(lookup.lookup_id) & (F.xxhash64(docs["text"].cast("string")) == lookup.lookup_hash), "left").drop("lookup_id", "lookup_hash")
+        rows = rows.join(lookup, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("text_hash")), "left")
     else:
         rows = rows.withColumn("moved_surrogates", F.lit(None).cast("map<string,string>"))
-    text = F.col("text").cast("string")
     spans = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
     rows = rows.withColumn("entity_spans", spans)
     quoted = _quoted(key)
-    # e: mention, k: kind, c: canonical form, h: hash, s: surrogate. Lambda variables bind every step's result once.
-    steps = f"""transform(transform(transform(transform(transform(entity_spans,
+    # e: mention, k: kind, c: canonical form, b: its base, h: hash, s: surrogate. Lambda variables bind every step's result once.
+    steps = f"""transform(transform(transform(transform(transform(transform(entity_spans,
         x -> struct(x as e, {_kind('x')} as k)),
         x -> struct(x.e as e, x.k as k, {_canonical('x.k', 'x.e')} as c)),
-        x -> struct(x.e as e, x.k as k, x.c as c, {_hash('x.k', 'x.c', "'0'", quoted)} as h, concat({quoted}, '0') as salt)),
-        x -> struct(x.e as e, x.k as k, coalesce(moved_surrogates[concat_ws('/', x.k, x.c)], {_surrogate('x.k', 'x.c', 'x.h', 'x.salt')}) as s)),
+        x -> struct(x.e as e, x.k as k, x.c as c, {_base('x.k', 'x.c')} as b)),
+        x -> struct(x.e as e, x.k as k, x.c as c, x.b as b, {_hash('x.k', 'x.b', "'0'", quoted)} as h, concat({quoted}, '0') as salt)),
+        x -> struct(x.e as e, x.k as k, coalesce(moved_surrogates[concat_ws('/', x.k, x.c)], {_surrogate('x.k', 'x.b', 'x.h', 'x.salt')}) as s)),
         x -> struct(x.e as e, x.k as k, {_render('x.k', 'x.e', 'x.s')} as r))"""
     pieces = F.split(text, PATTERN, -1)
     rows = rows.withColumn("entity_surrogates", F.when(F.size("entity_spans") > 0, F.expr(steps)))
@@ -289,7 +336,7 @@ def redact(docs: DataFrame, key: str = "pairloom", count_column: str | None = No
         F.size("entity_spans") > 0,
         F.concat(F.expr("array_join(zip_with(slice(entity_gaps, 1, size(entity_spans)), entity_surrogates, (p, x) -> concat(p.t, x.r)), '')"), F.expr("element_at(entity_gaps, -1).t")),
     ).otherwise(text)
-    out = [new.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    out = [new.alias(c) if c.lower() == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     if count_column:
         out.append(F.expr("CASE WHEN size(entity_spans) > 0 THEN size(filter(entity_surrogates, x -> x.k <> 'none')) + aggregate(entity_gaps, 0, (a, p) -> a + p.n) ELSE 0 END").alias(count_column))
     return rows.select(*out)
