@@ -7,6 +7,9 @@ made only where that setting is absent and the session runs in one process.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -26,31 +29,64 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
         made = tempfile.mkdtemp(prefix="pairloom-")
+        atexit.register(shutil.rmtree, made, True)
         spark.conf.set("spark.checkpoint.dir", made)
         return made
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that nobody has used."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for made in _scopes:
+        made.append(path)
+    return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the intermediate tables made inside once it ends without an error; what is to last is written outside."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+        for path in made:
+            _delete(spark, path)
+    finally:
+        _scopes.pop()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back: a cut in the lineage
     that outlives lost executors, and that two readers can use."""
-    path = fresh_path(df.sparkSession, label)
+    path = path or fresh_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def erase(df: DataFrame) -> None:
     """Delete the files behind a table of `written`, once nothing reads it."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of `df` has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def keyed_order(*cols: str):

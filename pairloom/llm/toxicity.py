@@ -8,7 +8,8 @@ trained jointly in numpy by full-batch descent with momentum, on the window that
 in each document. Misspelt and unseen words share the n-grams of known ones.
 
 The classifier is fitted on a bounded sample of labelled rows: per class the
-`per_class` rows with the smallest seeded hash of doc_id. Everything is scored.
+`per_class` rows with the smallest seeded hash of doc_id, and of these the first
+TRAINING_BYTES bytes of whole texts (one text a doc_id). Everything is scored.
 
 Defined results: a null or empty text has no words and gets the score of the
 bias alone; a null doc_id is held out; repeated labels of a document count as
@@ -21,11 +22,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Training rows of each class at most.
 PER_CLASS = 1500
+#: Bytes of their texts at most: what the driver holds.
+TRAINING_BYTES = 64 << 20
 WINDOW, STRIDE, SHORTEST = 24, 12, 8
 SIZES = (3, 4, 5)
 DIM = 8
@@ -158,10 +161,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     open_rows = known.where(fold() != 0).withColumn("turn", F.xxhash64(F.lit(seed), "doc_id"))
     picked = open_rows.where("toxic = 1").orderBy("turn", "doc_id").limit(per_class).unionByName(open_rows.where("toxic = 0").orderBy("turn", "doc_id").limit(per_class))
-    ids = picked.select("doc_id", "toxic")  # at most 2 * per_class rows: safe to broadcast
-    got = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").toArrow()
-    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True), key=lambda r: (r[0], r[1] or ""))
-    return [r[1] or "" for r in rows], [r[2] for r in rows]
+    ids = picked.select("doc_id", "toxic", "turn")  # at most 2 * per_class rows: safe to broadcast
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    one = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("turn").alias("turn"))
+    so_far = F.sum(F.octet_length("text").cast("bigint")).over(Window.orderBy("turn", "doc_id"))  # 2 * per_class rows
+    got = one.withColumn("so_far", so_far).where(F.col("so_far") <= TRAINING_BYTES).select("doc_id", "text", "toxic").toArrow()
+    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True))
+    return [r[1] for r in rows], [r[2] for r in rows]
 
 
 def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
