@@ -56,6 +56,24 @@ def _sql(upto: str, body: str, *more: str) -> str:
     return "WITH " + ",\n".join([_UPTO[n] for n in names[: names.index(upto) + 1]] + list(more)) + "\n" + body
 
 
+def _rec_sql(body: str, *more: str) -> str:
+    return _sql("rec", body, *more)
+
+
+def _num_sql(body: str, *more: str, upto: str = "num") -> str:
+    return _sql(upto, body, *more)
+
+
+def _comb_sql(body: str, *more: str) -> str:
+    return _sql("comb", body, *more)
+
+
+def _hash_sql(text: str) -> str:
+    """The 32-bit hash of the letters and digits of a text."""
+    h = f"list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(regexp_replace(lower({text}), '[^a-z0-9]', '', 'g'), ''), lambda z: CAST(ascii(z) AS BIGINT))), lambda p, q: (p * 31 + q) % 4294967296)"
+    return f"CAST(CASE WHEN {h} >= 2147483648 THEN {h} - 4294967296 ELSE {h} END AS INTEGER)"
+
+
 # --- Spark building blocks -----------------------------------------------------------------
 def _num(s: SparkSession, d: str) -> DataFrame:
     return P.numbered(records(s, d))
@@ -121,11 +139,6 @@ _query("generalise_args", _sql("near", "SELECT docid, rid, g1 AS a1, rel, g2 AS
 _query("subsumption_filter", _sql("num", f"SELECT o.docid, o.rid, i.rid AS other, {_SUBS} AS subsumed FROM num o JOIN num i ON o.docid = i.docid AND o.sentid = i.sentid AND o.rid < i.rid"))(
     lambda s, d: _num(s, d).alias("o").join(_num(s, d).alias("i"), (F.col("o.docid") == F.col("i.docid")) & (F.col("o.sentid") == F.col("i.sentid")) & (F.col("o.rid") < F.col("i.rid"))).select("o.docid", "o.rid", F.col("i.rid").alias("other"), R.subsumes("o", "i").alias("subsumed"))
 )
-_query(
-    "record_prune",
-    _sql("rec", """SELECT docid, rid, array_to_string(list_transform(string_split(rel, ' '), lambda t: CASE WHEN t IN ('has', 'have', 'had', 'having') THEN 'had' WHEN t IN ('be', 'is', 'was', 'are', 'were') THEN 'be' ELSE t END), ' ') AS rel,
-    row_number() OVER (PARTITION BY docid ORDER BY sentid, extrid, rid) AS position FROM rec"""),
-)(lambda s, d: R.prune(records(s, d)).select("docid", "rid", "rel", F.col("position").cast("bigint").alias("position")))
 _query("nearest_dedup", _sql("near", f"SELECT docid, rid, {_KEY}, dist FROM near"))(lambda s, d: P.nearest(_num(s, d), W))
 _query("directed_pairs", _sql("near", "SELECT * FROM dir"))(_dir)
 _query("unigrams", _sql("near", "SELECT * FROM uni"))(lambda s, d: P.unigrams(_num(s, d)))
@@ -181,12 +194,6 @@ _query(
         4,
     )
 )
-_query("merge_pairs_disjoint", None)(
-    lambda s, d: P.merge_disjoint(
-        records(s, d).groupBy(F.concat_ws("\t", "arg1", "rel", "arg2").alias("key"), "docid").agg(F.count("*").alias("cnt"), F.min("sentence").alias("sentence")).withColumn("hashes", F.array_distinct(F.concat(T.sentence_hashes(F.col("sentence")), F.array((F.col("docid") % 3).cast("int")))))
-        .select("key", "docid", "cnt", "hashes")
-    )
-)
 _VERB = lambda c: f"coalesce(nullif(array_to_string(list_filter(string_split({c}, ' '), lambda t: t <> 'be' AND t NOT IN {T.PREPOSITIONS}), ' '), ''), {c})"
 _query("verb_only", _sql("near", f"""SELECT f1, {_VERB('fr')} AS fr, f2, s1, {_VERB('sr')} AS sr, s2, "window", CAST(sum(cnt) AS BIGINT) AS cnt FROM dir GROUP BY ALL"""))(lambda s, d: P.verb_only(_dir(s, d)))
 _query("sentence_offsets", f"""WITH {SENT_SQL} SELECT docid, sentid, CAST(coalesce(sum(length(sentence) + 1) OVER (PARTITION BY docid ORDER BY sentid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM sent""")(
@@ -220,7 +227,6 @@ _query(
     FROM (SELECT *, {', '.join(f'row_number() OVER (PARTITION BY f1, fr, f2 ORDER BY round({c}, 9) DESC, s1, sr, s2) AS r{i}' for i, c in ((1, 'scp'), (2, 'und_first'), (3, 'und_second')))}
     FROM (SELECT * REPLACE (und_first * und_second AS scp) FROM comb WHERE {_VALID} AND max_und > 0)) GROUP BY f1, fr, f2"""),
 )(lambda s, d: _r(K.top_tuples(_comb(s, d), 5), "scp", "p_sf", "p_fs"))
-_query("bin_sample", None)(lambda s, d: K.sample_bins(K.bins(_r(K.top_tuples(_comb(s, d), 5), "scp"), K.FIRST, "scp", 10), K.FIRST, 5).select(*K.FIRST, "scp", "bin"))
 _query("equal_bins", _sql("comb", """SELECT f1, fr, f2, CAST((row_number() OVER (ORDER BY round(m, 9) DESC, f1, fr, f2) - 1) // greatest(1, count(*) OVER () // 10) AS BIGINT) AS bin FROM (SELECT f1, fr, f2, max(nf) AS m FROM comb GROUP BY ALL)"""))(
     lambda s, d: K.bins(_comb(s, d).groupBy(*K.FIRST).agg(F.max("nf").alias("m")), K.FIRST, "m", 10).select(*K.FIRST, "bin")
 )
@@ -228,10 +234,6 @@ _FIND = "fr = 'click on' AND s1 = 'type:even'"
 _query("search_pairs", _sql("comb", f"SELECT {_KEY}, {_cols('und_first')} FROM comb WHERE {_FIND}"))(lambda s, d: _r(K.search(_comb(s, d), {"fr": "click on", "s1": "type:even"}).select(*P.KEY, "und_first"), "und_first"))
 _TYPE = lambda a: f"replace(regexp_extract({a}, '^(.*?)[tT]ype:(.*)$', 2), ':Number', '')"
 _VTYPE = lambda a, b: f"CASE WHEN contains({a}, 'XVAR') THEN {_TYPE(a)} WHEN contains({b}, 'XVAR') THEN {_TYPE(b)} ELSE '' END"
-_NOTYPE = " AND ".join(f"NOT regexp_matches({a}, '[tT]ype:') AND NOT contains({a}, 'Type:quantity')" for a in ("s1", "s2"))
-_query("prune_results", _sql("comb", f"SELECT {_KEY}, und_k FROM comb WHERE NOT (f1 = s1 AND fr = sr AND f2 = s2) AND und_k >= 3 AND {_VALID} AND {_NOTYPE} AND {_VTYPE('f1', 'f2')} = {_VTYPE('s1', 's2')}"))(
-    lambda s, d: K.prune_results(_comb(s, d), 3, types="notype").select(*P.KEY, "und_k")
-)
 _SORTS = {"fs": "max_dir", "sf": "max_und - max_dir", "fs+sf": "max_und", "kfs+sf": "und_k", "f": "nf", "s": "ns"}
 _query("sort_keys", _sql("comb", " UNION ALL ".join(f"SELECT '{n}' AS sort_by, rank, {_KEY}, value FROM (SELECT *, CAST({e} AS BIGINT) AS value, row_number() OVER (ORDER BY {e} DESC, {_KEY}) AS rank FROM comb) WHERE rank <= 20" for n, e in _SORTS.items())))(
     lambda s, d: reduce(DataFrame.unionByName, [K.rank(_comb(s, d), n, 20).select(F.lit(n).alias("sort_by"), F.col("rank").cast("bigint").alias("rank"), *P.KEY, F.expr(e).cast("bigint").alias("value")) for n, e in _SORTS.items()])
@@ -322,12 +324,6 @@ _query(
 )
 
 # --- more filters and text functions ---------------------------------------------------------
-_query("stop_relations", _sql("near", "SELECT * FROM uni WHERE rel NOT IN ('be', 'in', 'to', 'on')"))(lambda s, d: M.stop_relations(P.unigrams(_num(s, d))))
-_query("drop_reporting", _sql("rec", "SELECT docid, rid FROM rec WHERE rel NOT IN ('be', 'had', 'had had') AND NOT list_has_any(string_split(rel, ' '), ['say', 'said', 'saying', 'tell', 'told', 'speak', 'spoke'])"))(lambda s, d: R.drop_reporting(records(s, d)).select("docid", "rid"))
-_LEN = lambda a: f"length({a}.arg1 || {a}.rel || {a}.arg2)"
-_query("drop_redundant", _sql("num", f"SELECT o.docid, o.rid FROM num o WHERE NOT EXISTS (SELECT 1 FROM num i WHERE o.docid = i.docid AND o.sentid = i.sentid AND o.rid <> i.rid AND ({_LEN('i')} > {_LEN('o')} OR {_LEN('i')} = {_LEN('o')} AND i.rid < o.rid) AND {_SUBS})"))(
-    lambda s, d: R.drop_redundant(_num(s, d)).select("docid", "rid")
-)
 _SHOW = lambda a: f"replace(CASE WHEN regexp_matches({a}, '[tT]ype:') THEN regexp_extract({a}, '^(.*?)[tT]ype:', 1) || '[' || {_TYPE(a)} || ']' ELSE {a} END, 'XVAR', 'X')"
 _query("display_tuples", _sql("near", f"SELECT a1, rel, a2, {_SHOW('a1')} AS shown1, {_SHOW('a2')} AS shown2 FROM uni"))(lambda s, d: P.unigrams(_num(s, d)).select("a1", "rel", "a2", T.display(F.col("a1")).alias("shown1"), T.display(F.col("a2")).alias("shown2")))
 _query("text_blocks", "SELECT doc_id, i, substring(text, CAST(i * n + 1 AS INTEGER), n) AS block FROM (SELECT doc_id, text, CAST(floor(length(text) / 9.0 + 0.5) AS INTEGER) AS n, unnest(range(0, 10)) AS i FROM documents WHERE text IS NOT NULL)")(
@@ -370,8 +366,9 @@ def _graph(s, d):
 
 _query("graph_edges", _sql("near", "SELECT * FROM graph", _GRAPH))(_graph)
 _query("dump_edges", _sql("near", """SELECT t1, t2, CAST(sum(cnt) AS BIGINT) AS n, string_agg(cnt, chr(9) ORDER BY "window") AS counts FROM graph GROUP BY t1, t2 HAVING sum(cnt) > 25""", _GRAPH))(lambda s, d: K.dump_edges(_graph(s, d)))
-_query("lookup_edges", _sql("near", """SELECT a.t2 AS t1, a.t1 AS t2, a."window", coalesce(b.cnt, 0) AS cnt FROM graph a LEFT JOIN graph b ON a.t1 = b.t2 AND a.t2 = b.t1 AND a."window" = b."window" """, _GRAPH))(
-    lambda s, d: K.lookup_edges(g := _graph(s, d), g.select(F.col("t2").alias("t1"), F.col("t1").alias("t2"), "window"))
+_ENDS = ("k1|click on|low", "k2|purchase|mid", "type:Type|click on|high", "nobody|went|away")
+_query("lookup_edges", _sql("near", """SELECT t1, t2, w AS "window", coalesce(cnt, 0) AS cnt FROM (SELECT t1, t2, w FROM (SELECT unnest(%s) AS t1), (SELECT unnest(%s) AS t2), range(1, 11) r(w)) LEFT JOIN (SELECT t1, t2, "window" AS w, cnt FROM graph WHERE t1 IN %s AND t2 IN %s) USING (t1, t2, w)""" % (list(_ENDS), list(_ENDS), _ENDS, _ENDS), _GRAPH))(
+    lambda s, d: K.lookup_edges(_graph(s, d), s.range(1).select(F.explode(F.array(*map(F.lit, _ENDS))).alias("t1")).select("t1", F.explode(F.array(*map(F.lit, _ENDS))).alias("t2")).select("t1", "t2", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(10).cast("bigint"))).alias("window")))
 )
 _query(
     "neighbourhood_report",
@@ -432,4 +429,6 @@ _query("grid_scores", _sql("meas", f"""SELECT {_KEY}, CAST(delta AS DOUBLE) AS d
     (SELECT {_KEY}, alpha, max(nf) AS nf, max(ns) AS ns, min(und) AS least_und, sum(CASE WHEN und > 0 THEN ln(und) END * pow(alpha, "window")) / sum(pow(alpha, "window")) AS sl FROM cnt2, (SELECT unnest({_ALPHAS}) AS alpha) GROUP BY alpha, {_KEY}), (SELECT unnest({_DELTAS}) AS delta)"""))(
     lambda s, d: _r(U.scores(_und_counts(s, d), "pmi", _DELTAS, _ALPHAS, P.KEY).withColumn("score", F.when(F.col("score") > float("-inf"), F.col("score"))), "score")
 )
-_query("example_records", None)(lambda s, d: K.examples(records(s, d).withColumn("hashes", T.sentence_hashes(F.concat_ws(" ", "sentence", (F.col("docid") % 9).cast("string"))))))
+
+
+from pairloom import catalog_records  # noqa: E402, F401  (registers its queries, over the pieces above)

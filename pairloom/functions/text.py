@@ -36,8 +36,8 @@ def plain(text: Column) -> Column:
 
 
 def sentence_hashes(sentence: Column, least_words: int = 5) -> Column:
-    """Hash of the sentence, and of every clause of enough words."""
-    clauses = F.filter(F.split(sentence, "[.,!?:;]+"), lambda c: F.size(F.split(F.trim(c), " ")) >= least_words)
+    """Hash of the sentence, and of every clause of enough words (a blank before the first one makes one more)."""
+    clauses = F.filter(F.split(F.lower(sentence), "[.,!?:;]+"), lambda c: F.size(tokens(c)) >= least_words)
     return F.array_distinct(F.transform(F.concat(F.array(sentence), clauses), lambda c: java_hash(plain(c))))
 
 
@@ -71,6 +71,21 @@ def find_span(sentence: Column, part: Column) -> Column:
     return F.when(at > 0, F.struct((at - 1).alias("start"), (at - 1 + F.length(part)).alias("end"))).otherwise(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")))
 
 
+def common_span(sentence: Column, part: Column) -> Column:
+    """Half-open place of the longest common substring of both, the first one in the sentence; (0, 0) for none.
+
+    A part that stands in the sentence as it is needs no search."""
+    a = F.trim(part)
+    grown = lambda i: F.aggregate(F.sequence(F.lit(1), F.length(a) - i + 1), F.lit(0), lambda n, k: F.when((k == n + 1) & (F.instr(sentence, F.substring(a, i, k)) > 0), k).otherwise(n))
+    each = F.transform(F.sequence(F.lit(1), F.length(a)), lambda i: F.struct(grown(i).alias("n"), i.alias("i")))
+    found = F.transform(F.filter(each, lambda x: x["n"] > 0), lambda x: F.struct(x["n"].alias("n"), (-F.instr(sentence, F.substring(a, x["i"], x["n"]))).alias("p")))
+    best = F.array_max(found)
+    whole = find_span(sentence, a)
+    none = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
+    some = F.struct((-best["p"] - 1).alias("start"), (-best["p"] - 1 + best["n"]).alias("end"))
+    return F.when(F.length(a) == 0, none).when(F.instr(sentence, a) > 0, whole).when(best.isNull(), none).otherwise(some)
+
+
 def alnum(text: Column) -> Column:
     return text.rlike("[a-zA-Z0-9]")
 
@@ -88,6 +103,11 @@ def has_number(text: Column) -> Column:
     return text.rlike("[0-9]")
 
 
+def typed(arg1: str, arg2: str) -> Column:
+    """Whether either argument is a type."""
+    return F.col(arg1).startswith("Type:") | F.col(arg2).startswith("Type:")
+
+
 def strip_var(arg: Column) -> Column:
     """The argument without the names of variables."""
     return F.regexp_replace(arg, "[XY]VAR:", "")

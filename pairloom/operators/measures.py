@@ -45,6 +45,24 @@ def stop_relations(tuples: DataFrame) -> DataFrame:
     return tuples.where(~F.col("rel").isin("be", "in", "to", "on"))
 
 
+def not_reporting(tuples: DataFrame) -> DataFrame:
+    """Without relations that start with say or tell."""
+    return tuples.where(~F.col("rel").startswith("say") & ~F.col("rel").startswith("tell"))
+
+
+def with_first_counts(pairs: DataFrame, tuples: DataFrame) -> DataFrame:
+    """nf of the first tuple alone, of which one row counts where a tuple has several: its smallest count."""
+    one = tuples.groupBy(F.col("a1").alias("f1"), F.col("rel").alias("fr"), F.col("a2").alias("f2")).agg(F.min("n").alias("nf"))
+    return pairs.join(one, ["f1", "fr", "f2"], "left").fillna(0, ["nf"])
+
+
+def legacy_lines(directed: DataFrame, last: int, least: int) -> DataFrame:
+    """Pairs with their cumulative counts over windows 1..last as text, if the largest is `least` or more."""
+    each = F.array(*[F.coalesce(F.sum(F.when((F.col("window") >= 1) & (F.col("window") <= w), F.col("cnt"))), F.lit(0)) for w in range(1, last + 1)])
+    rows = directed.groupBy(*KEY).agg(each.alias("c"))
+    return rows.where(F.array_max("c") >= least).select(*KEY, F.array_join(F.col("c").cast("array<string>"), ",").alias("counts"))
+
+
 def with_counts(pairs: DataFrame, tuples: DataFrame, most: int | None = None) -> DataFrame:
     """nf, ns: counts of both tuples, 0 where a tuple is unknown. Two equi-joins;
     whether one is broadcast is up to the planner, by measured size."""

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from .records import generalise, ordinals, representations, said_preposition, subsumes
 
 KEY = ["f1", "fr", "f2", "s1", "sr", "s2"]
-#: The arguments of a coreferring pair by (1=1, 2=2, 1=2, 2=1); None keeps the argument.
-ALL_X = ("X", "X", "X", "X")
+#: The arguments of a coreferring pair by (1=1, 2=2, 1=2, 2=1); None keeps the argument, and what is not listed is all X.
 TABLE = {
     (1, 0, 0, 0): ("X", None, "X", None), (0, 0, 1, 0): ("X", None, None, "X"), (0, 1, 0, 0): (None, "X", None, "X"),
     (0, 0, 0, 1): (None, "X", "X", None), (1, 1, 0, 0): ("X", "Y", "X", "Y"), (0, 0, 1, 1): ("X", "Y", "Y", "X"),
@@ -34,15 +33,20 @@ def band_join(rec: DataFrame, window: int) -> DataFrame:
     o = rec.withColumn("bucket", F.floor(F.col("idx") / window)).repartition(n, "docid", "bucket").alias("o")
     i = rec.withColumn("bucket", F.explode(F.array(F.floor(F.col("idx") / window), F.floor(F.col("idx") / window) - 1))).repartition(n, "docid", "bucket").alias("i")
     gap = F.col("i.idx") - F.col("o.idx")
-    other = (F.col("o.sentid") != F.col("i.sentid")) | ~subsumes("o", "i")
+    other = (F.col("o.sentid") != F.col("i.sentid")) | ~subsumes("o", "i", "arg1_start" in rec.columns)
     return o.join(i, (F.col("o.docid") == F.col("i.docid")) & (F.col("o.bucket") == F.col("i.bucket")) & (gap > 0) & (gap <= window) & other)
 
 
+def places(rec: DataFrame) -> list[str]:
+    """The columns of places in the sentence, where a record has them."""
+    return [c for c in rec.columns if c.endswith(("_start", "_end"))]
+
+
 def nearest(rec: DataFrame, window: int = 10) -> DataFrame:
     """docid, outer record, pair key, dist: a pair counts once for an outer record, at its smallest distance."""
     # Representations are made once a record, below the join.
     ready = rec.withColumn("r1", representations(F.col("arg1"), F.col("arg1types"))).withColumn("r2", representations(F.col("arg2"), F.col("arg2types")))
-    slim = ready.select("docid", "rid", "sentid", "idx", "arg1", "rel", "arg2", "r1", "r2")
+    slim = ready.select("docid", "rid", "sentid", "idx", "arg1", "rel", "arg2", "r1", "r2", *places(rec))
     b = band_join(slim, window).select(
         F.col("o.docid").alias("docid"), F.col("o.bucket").alias("bucket"), F.col("o.rid").alias("rid"), F.col("o.rel").alias("fr"), F.col("i.rel").alias("sr"),
         (F.col("i.idx") - F.col("o.idx")).alias("dist"), F.explode("o.r1").alias("f1"), F.col("o.r2").alias("o2"), F.col("i.r1").alias("i1"), F.col("i.r2").alias("i2"),
@@ -127,7 +131,7 @@ def equality_nearest(rec: DataFrame, window: int = 10, multiple: bool = False) -
     One variable stands for a head, and goes before a type; with `multiple`, XVAR and YVAR go before every argument
     they stand for. Pairs of two different types of variables drop; a pair counts once for an outer record."""
     ready = rec.withColumn("r1", representations(F.col("arg1"), F.col("arg1types"))).withColumn("r2", representations(F.col("arg2"), F.col("arg2types")))
-    slim = ready.select("docid", "rid", "sentid", "idx", "arg1", "rel", "arg2", "r1", "r2", "chain1", "chain2")
+    slim = ready.select("docid", "rid", "sentid", "idx", "arg1", "rel", "arg2", "r1", "r2", "chain1", "chain2", *places(rec))
     b = bits(slim)
     p = band_join(slim, window).where(reduce(lambda x, y: x | y, b)).select(
         F.col("o.docid").alias("docid"), F.col("o.bucket").alias("bucket"), F.col("o.rid").alias("rid"), F.col("o.rel").alias("fr"), F.col("i.rel").alias("sr"),
@@ -157,10 +161,13 @@ def head_counts(near: DataFrame, rec: DataFrame, most: int = 5) -> DataFrame:
     return n.withColumn("r_", F.row_number().over(w)).where(F.col("r_") <= most).drop("r_")
 
 
-def chains_of(spans: DataFrame, mentions: DataFrame, most_words: int = 5) -> DataFrame:
-    """Chain keys whose mention contains a span: docid, span_id, chains. Mentions of too many words do not take part."""
-    m = mentions.where(F.size(F.split("text", " ")) <= most_words).select(F.col("docid").alias("m_doc"), "chain_id", F.col("start").alias("m_start"), F.col("end").alias("m_end"))
-    hit = spans.join(m, (F.col("docid") == F.col("m_doc")) & (F.col("m_start") <= F.col("start")) & (F.col("end") <= F.col("m_end")))
+def chains_of(spans: DataFrame, mentions: DataFrame, most_words: int = 5, bucket: int = 256) -> DataFrame:
+    """Chain keys whose mention contains a span: docid, span_id, chains. Mentions of too many words do not take part.
+
+    Places are bucketed, so that a long document is spread over its buckets."""
+    m = mentions.where(F.size(F.split("text", " ")) <= most_words).select("docid", "chain_id", F.col("start").alias("m_start"), F.col("end").alias("m_end"))
+    m = m.withColumn("bucket_", F.explode(F.sequence(F.floor(F.col("m_start") / bucket), F.floor(F.col("m_end") / bucket))))
+    hit = spans.withColumn("bucket_", F.floor(F.col("start") / bucket)).join(m, ["docid", "bucket_"]).where((F.col("m_start") <= F.col("start")) & (F.col("end") <= F.col("m_end")))
     return hit.groupBy("docid", "span_id").agg(F.array_sort(F.collect_set("chain_id")).alias("chains"))
 
 
@@ -191,3 +198,10 @@ def verb_only(pairs: DataFrame) -> DataFrame:
 
     v = pairs.withColumn("fr", verb_of(F.col("fr"))).withColumn("sr", verb_of(F.col("sr")))
     return v.groupBy(*KEY, "window").agg(F.sum("cnt").alias("cnt"))
+
+
+def verb_only_tuples(tuples: DataFrame) -> DataFrame:
+    """Tuples keyed by the verbs of their relations, counted anew."""
+    from pairloom.functions.text import verb_of
+
+    return tuples.withColumn("rel", verb_of(F.col("rel"))).groupBy("a1", "rel", "a2").agg(F.sum("n").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,14 +11,19 @@ from pairloom.functions import text as T
 
 from .measures import valid
 from .pairs import KEY
+from .records import gapless
 
 FIRST, SECOND = KEY[:3], KEY[3:]
 
 
-def clean_tuple(args: list[str], rel: str) -> Column:
-    """No pronoun arguments, and a relation of letters, digits and colons alone (so of one word)."""
-    a, b = (F.col(x) for x in args)
-    return ~T.pronoun(a) & ~T.pronoun(b) & ~T.special(F.col(rel))
+def valid_tuple(arg1: str, rel: str, arg2: str) -> Column:
+    """No pronoun arguments, as they are written, and a relation of letters, digits and colons alone (so of one word)."""
+    return ~F.col(arg1).isin(*T.PRONOUNS) & ~F.col(arg2).isin(*T.PRONOUNS) & ~T.special(F.col(rel))
+
+
+def exportable(least: int, count: str, *args: str) -> Column:
+    """The filter of releases: counted often enough, and arguments of letters, digits and colons alone."""
+    return reduce(lambda x, y: x & y, [~T.special(F.col(a)) for a in args], F.col(count) >= least)
 
 
 def top_tuples(c: DataFrame, k: int, least_pairs: int = 1, more_than: int = 0, types: bool = True) -> DataFrame:
@@ -29,7 +36,7 @@ def top_tuples(c: DataFrame, k: int, least_pairs: int = 1, more_than: int = 0, t
     for name in ("scp", "und_first", "und_second"):
         ranked = ranked.withColumn(f"r_{name}", F.row_number().over(Window.partitionBy(*FIRST).orderBy(F.desc(F.round(name, 9)), *SECOND)))
     best = lambda name: F.sum(F.when(F.col(f"r_{name}") <= k, F.col(name)))
-    clean = F.sum(clean_tuple(["s1", "s2"], "sr").cast("bigint")).alias("n_clean")
+    clean = F.sum(valid_tuple("s1", "sr", "s2").cast("bigint")).alias("n_clean")
     out = ranked.groupBy(*FIRST).agg(F.count("*").alias("n_pairs"), clean, best("scp").alias("scp"), best("und_first").alias("p_sf"), best("und_second").alias("p_fs"))
     return out.where(F.col("n_pairs") >= least_pairs)
 
@@ -37,24 +44,15 @@ def top_tuples(c: DataFrame, k: int, least_pairs: int = 1, more_than: int = 0, t
 def bins(scored: DataFrame, key: list[str], score: str, n: int) -> DataFrame:
     """Equal-frequency bins by descending score: rows of floor(count / n), so there can be n + 1.
 
-    Ranks come from per-range counts, so no task sees all rows: rows are range
-    partitioned by score, numbered inside their range, and shifted by the counts
-    of the ranges before."""
-    spark = scored.sparkSession
-    total = scored.count()
-    size = max(1, total // n)
-    order = [F.desc(F.round(score, 9)), *key]
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = scored.repartitionByRange(parts, *order).withColumn("range_", F.spark_partition_id())
-    local = ranged.withColumn("rank_", F.row_number().over(Window.partitionBy("range_").orderBy(*order)))
-    counts = local.groupBy("range_").agg(F.count("*").alias("n_"))  # one row a partition
-    before = counts.select("range_", F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base_"))
-    return local.join(before, "range_").withColumn("bin", F.floor((F.col("base_") + F.col("rank_") - 1) / size).cast("bigint")).drop("range_", "rank_", "base_")
+    No task sees all rows (see `records.gapless`)."""
+    size = max(1, scored.count() // n)
+    ranked = gapless(scored, [F.desc(F.round(score, 9)), *map(F.asc, key)], "rank_")
+    return ranked.withColumn("bin", F.floor(F.col("rank_") / size).cast("bigint")).drop("rank_")
 
 
 def sample_bins(binned: DataFrame, key: list[str], take: int, seed: int = 1) -> DataFrame:
     """`take` rows of each bin, by the order of a seeded hash."""
-    w = Window.partitionBy("bin").orderBy(F.xxhash64(F.lit(seed), *key), *key)
+    w = Window.partitionBy("bin").orderBy(F.md5(F.concat_ws("|", F.lit(seed).cast("string"), *key).cast("binary")), *key)
     return binned.withColumn("turn_", F.row_number().over(w)).where(F.col("turn_") <= take).drop("turn_")
 
 
@@ -109,7 +107,9 @@ def prune_results(c: DataFrame, least: int = 1, equality: str = "both", types: s
         out = out.where(typed("s1") & typed("s2"))
     elif types == "notype":
         out = out.where(~typed("s1") & ~typed("s2"))
-    return out.where(variable_type("f1", "f2") == variable_type("s1", "s2")).dropDuplicates(KEY)
+    # Of a pair that is there twice, its most frequent row stays.
+    first = Window.partitionBy(*KEY).orderBy(F.desc("und_k"), F.desc("max_und"), F.desc("nf"), F.desc("ns"), F.desc("und_first"))
+    return out.where(variable_type("f1", "f2") == variable_type("s1", "s2")).withColumn("n_", F.row_number().over(first)).where("n_ = 1").drop("n_")
 
 
 SORT_KEYS = {
@@ -125,6 +125,23 @@ def rank(c: DataFrame, by: str = "conditional", k: int | None = None) -> DataFra
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))) if k else top
 
 
+def result_rows(c: DataFrame, k: int) -> DataFrame:
+    """The k best rows as they are shown: rank, pair, counts at the asked window and at most, the measure with four
+    places, counts in order and in reverse, counts of both tuples."""
+    return rank(c, k=k).select(F.col("rank").cast("bigint").alias("rank"), *KEY, "und_k", "max_und", F.format_string("%.4f", "und_first").alias("measure"), F.col("max_dir").alias("fs"), (F.col("max_und") - F.col("max_dir")).alias("sf"), "nf", "ns")
+
+
+def partners_by_bin(c: DataFrame, binned: DataFrame, k: int) -> DataFrame:
+    """The k best valid pairs of every sampled first tuple, with its bin; to be written a folder a bin."""
+    w = Window.partitionBy(*FIRST).orderBy(F.desc(F.round("und_first", 9)), *SECOND)
+    return c.where(valid()).join(binned, FIRST).withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= k).select("bin", *KEY, "und_first")
+
+
+def scored_lines(top: DataFrame) -> DataFrame:
+    """Scored tuples as TAB lines: pairs, clean ones, three sums, the tuple."""
+    return top.select(F.concat_ws("\t", *[F.col(x).cast("string") for x in ("n_pairs", "n_clean", "scp", "p_sf", "p_fs")], *FIRST).alias("value"))
+
+
 def collapse(c: DataFrame) -> DataFrame:
     """Second relations by their best measure."""
     return c.groupBy("sr").agg(F.max("und_first").alias("best"), F.count("*").alias("n_pairs"))
@@ -252,6 +269,16 @@ def release_pairs(cum: DataFrame, grid: tuple[int, ...] = (1, 5, 10)) -> DataFra
     return cum.groupBy(*KEY).agg(at("und").alias("undirected"), at("dir").alias("directed"))
 
 
+def release_pairs_with_heads(cum: DataFrame, heads: DataFrame, grid: tuple[int, ...], least: int = 0) -> DataFrame:
+    """The released form: pairs of clean arguments whose largest undirected count is `least` or more, the most frequent
+    heads of the first tuple's arguments, and counts on a grid of windows. heads: pair, place, head, n."""
+    w = Window.partitionBy(*KEY, "place").orderBy(F.desc("n"), "head")
+    listed = heads.withColumn("r_", F.row_number().over(w)).groupBy(*KEY, "place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_", "head", "n"))), lambda x: F.concat_ws(":", x["head"], x["n"].cast("string"))), ",").alias("heads"))
+    both = listed.groupBy(*KEY).agg(*[F.max(F.when(F.col("place") == p, F.col("heads"))).alias(c) for p, c in (("f1", "heads1"), ("f2", "heads2"))])
+    often = cum.groupBy(*KEY).agg(F.max("und").alias("top")).where(exportable(least, "top", "f1", "f2", "s1", "s2")).select(*KEY)
+    return release_pairs(cum, grid).join(often, KEY, "left_semi").join(both, KEY, "left")
+
+
 def top_heads(heads: DataFrame, key: list[str], k: int = 5) -> DataFrame:
     """The k most frequent heads of a key as text; ties by head. heads: key, head, n."""
     w = Window.partitionBy(*key).orderBy(F.desc("n"), "head")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from pairloom.functions import text as T
 
 
 def sentence_offsets(rows: DataFrame) -> DataFrame:
-    """docid, sentid, offset: running length of the sentences before, plus one each."""
-    one = rows.groupBy("docid", "sentid").agg(F.max("sentence").alias("sentence"))
+    """docid, sentid, offset: running length of the sentences before, plus one each. Where the records of a sentence
+    differ in its text, the last one's counts."""
+    last = F.max_by("sentence", F.struct("extrid", "rid")) if {"extrid", "rid"} <= set(rows.columns) else F.max("sentence")
+    one = rows.groupBy("docid", "sentid").agg(last.alias("sentence"))
     w = Window.partitionBy("docid").orderBy("sentid").rowsBetween(Window.unboundedPreceding, -1)
     return one.select("docid", "sentid", F.coalesce(F.sum(F.length("sentence") + 1).over(w), F.lit(0)).alias("offset"))
 
@@ -54,23 +58,50 @@ def generalise(rec: DataFrame) -> DataFrame:
     return rec.withColumn("a1", F.explode(representations(F.col("arg1"), F.col("arg1types")))).withColumn("a2", F.explode(representations(F.col("arg2"), F.col("arg2types"))))
 
 
-def subsumes(o: str, i: str) -> Column:
-    """Two records say the same: equal or switched arguments, or one text or word set inside the other."""
+def span_inside(o: str, i: str) -> Column:
+    """All three parts of one record stand inside those of the other, either way."""
+    within = lambda x, y: reduce(lambda p, q: p & q, [(F.col(f"{x}.{c}_start") >= F.col(f"{y}.{c}_start")) & (F.col(f"{x}.{c}_end") <= F.col(f"{y}.{c}_end")) for c in ("arg1", "rel", "arg2")])
+    return within(o, i) | within(i, o)
+
+
+def subsumes(o: str, i: str, spans: bool = False, case: bool = False) -> Column:
+    """Two records say the same: equal or switched arguments, one text or word set inside the other, or (with `spans`)
+    one's places inside the other's. `case` makes arguments of different case different."""
     a1, r, a2, b1, q, b2 = (F.col(x) for x in (f"{o}.arg1", f"{o}.rel", f"{o}.arg2", f"{i}.arg1", f"{i}.rel", f"{i}.arg2"))
-    same = (F.lower(a1) == F.lower(b1)) & (F.lower(a2) == F.lower(b2))
-    switched = (F.lower(a1) == F.lower(b2)) & (F.lower(a2) == F.lower(b1))
+    low = (lambda c: c) if case else F.lower
+    same = (low(a1) == low(b1)) & (low(a2) == low(b2))
+    switched = (low(a1) == low(b2)) & (low(a2) == low(b1))
     x, y = F.concat_ws(" ", a1, T.strip_be(r), a2), F.concat_ws(" ", b1, T.strip_be(q), b2)
     wx, wy = (F.filter(F.split(F.concat_ws(" ", *p), " "), lambda t: t != "be") for p in ((a1, r, a2), (b1, q, b2)))
     inside = (F.size(F.array_except(wx, wy)) == 0) | (F.size(F.array_except(wy, wx)) == 0)
-    return same | switched | x.contains(y) | y.contains(x) | inside
+    said = same | switched | x.contains(y) | y.contains(x) | inside
+    return said | span_inside(o, i) if spans else said
+
+
+def tuple_subsumes(first: tuple[str, str, str], second: tuple[str, str, str]) -> Column:
+    """Of two tuples: one text inside the other, or all words of the first but "be" among those of the second."""
+    x, y = (F.concat_ws(" ", F.col(a), T.strip_be(F.col(r)), F.col(b)) for a, r, b in (first, second))
+    wx, wy = (F.filter(F.split(t, " "), lambda w: w != "be") for t in (x, y))
+    return x.contains(y) | y.contains(x) | (F.size(F.array_except(wx, wy)) == 0)
 
 
 def drop_redundant(rec: DataFrame) -> DataFrame:
-    """Opt-in: inside a sentence, records that say no more than an earlier or longer one go."""
-    o, i = rec.alias("o"), rec.alias("i")
-    longer = F.length(F.concat("i.arg1", "i.rel", "i.arg2")) > F.length(F.concat("o.arg1", "o.rel", "o.arg2"))
-    tie = (F.length(F.concat("i.arg1", "i.rel", "i.arg2")) == F.length(F.concat("o.arg1", "o.rel", "o.arg2"))) & (F.col("i.rid") < F.col("o.rid"))
-    return o.join(i, (F.col("o.docid") == F.col("i.docid")) & (F.col("o.sentid") == F.col("i.sentid")) & (F.col("o.rid") != F.col("i.rid")) & (longer | tie) & subsumes("o", "i"), "left_anti")
+    """Opt-in: inside a sentence, of any two records (of different extrid) that are not different the shorter goes, and
+    both where they are equally long. One anti-join is the fix-point: of those left no two are alike."""
+    length = lambda x: F.length(F.concat(f"{x}.arg1", f"{x}.rel", f"{x}.arg2"))
+    spans = "arg1_start" in rec.columns
+    alike = (F.col("o.docid") == F.col("i.docid")) & (F.col("o.sentid") == F.col("i.sentid")) & (F.col("o.extrid") != F.col("i.extrid")) & subsumes("o", "i", spans, case=True)
+    return rec.alias("o").join(rec.alias("i"), alike & (length("i") >= length("o")), "left_anti")
+
+
+def gapless(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with numbers from 0 in an order, without a task that sees all rows: rows are range-partitioned, numbered
+    inside their range, and shifted by the counts of the ranges before."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    local = df.repartitionByRange(parts, *order).withColumn("range_", F.spark_partition_id()).withColumn("place_", F.row_number().over(Window.partitionBy("range_").orderBy(*order)))
+    counts = local.groupBy("range_").agg(F.count("*").alias("n_"))  # one row a partition
+    before = counts.select("range_", F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base_"))
+    return local.join(before, "range_").withColumn(name, (F.col("base_") + F.col("place_") - 1).cast("bigint")).drop("range_", "place_", "base_")
 
 
 def size_histogram(rec: DataFrame) -> DataFrame:

@@ -57,3 +57,15 @@ SENT_SQL = """sent AS (
   SELECT doc_id AS docid, CAST(i - 1 AS BIGINT) AS sentid, lines[i] AS sentence
   FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))
 )"""
+
+
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of which some meet the pruning rules: no letters, pronouns, reporting, stop and long relations."""
+    r = records(spark, sf_dir)
+    arg1 = F.expr("CASE WHEN rid % 23 = 1 THEN '--' WHEN rid % 29 = 2 THEN 'he' ELSE arg1 END")
+    rel = F.expr("CASE WHEN rid % 11 = 3 THEN 'say that' WHEN rid % 11 = 4 THEN 'told' WHEN rid % 13 = 5 THEN 'be' WHEN rid % 17 = 7 THEN 'in' WHEN rid % 19 = 4 THEN 'has been seen to go in and out of' ELSE rel END")
+    return r.withColumns({"arg1": arg1, "rel": rel})
+
+
+RAW_SQL = """raw AS (SELECT * REPLACE (CASE WHEN rid % 23 = 1 THEN '--' WHEN rid % 29 = 2 THEN 'he' ELSE arg1 END AS arg1,
+    CASE WHEN rid % 11 = 3 THEN 'say that' WHEN rid % 11 = 4 THEN 'told' WHEN rid % 13 = 5 THEN 'be' WHEN rid % 17 = 7 THEN 'in' WHEN rid % 19 = 4 THEN 'has been seen to go in and out of' ELSE rel END AS rel) FROM rec)"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.operators.records import gapless
 from pairloom.functions.text import counts_of_text, counts_text, first_rest, number_or, window_counts_of_text, window_counts_text
 
 # The separators of the text forms.
@@ -21,9 +22,22 @@ def _part(line: Column, sep: str, k: int) -> Column:
     return F.try_element_at(F.split(line, sep, -1), F.lit(k))
 
 
-def parse_app_lines(lines: DataFrame, *more: str) -> DataFrame:
-    """'|' lines of eleven fields and more; shorter ones, and those without a sentence number, drop."""
+APP = ("docid", "sentid", "sentence", "arg1", "arg1head", "arg1types", "rel", "relhead", "arg2", "arg2head", "arg2types")
+
+
+def format_app_lines(apps: DataFrame) -> DataFrame:
+    """The lines that `parse_app_lines` reads."""
+    text = lambda c: F.array_join(c, ",") if c.endswith("types") else F.col(c).cast("string")
+    return apps.select(F.concat_ws("|", *map(text, APP)).alias("value"))
+
+
+def parse_app_lines(lines: DataFrame, *more: str, stand_in: bool = False) -> DataFrame:
+    """'|' lines of eleven fields and more; shorter ones, and those without a sentence number, drop, or with `stand_in`
+    become rows of "NA" and sentence -1."""
     p = F.split("value", "\\|", -1)
+    good = (F.size(p) >= 11) & F.get(p, 1).try_cast("int").isNotNull()
+    if stand_in:
+        lines = lines.withColumn("value", F.when(good, F.col("value")).otherwise("NA|-1" + "|NA" * 9))
     types = lambda i: F.filter(F.split(F.get(p, i), ","), lambda t: t != "")
     rows = lines.where(F.size(p) >= 11)
     out = rows.select(
@@ -75,16 +89,44 @@ def parse_documents(lines: DataFrame) -> DataFrame:
     return rows.select(F.get(p, 0).alias("docid"), F.posexplode(F.split(F.get(p, 1), RECORD, -1)).alias("position", "value"))
 
 
+def format_documents(records: DataFrame) -> DataFrame:
+    """docid, position, value (a record's line) as one line a document, the form that holds a document in a row."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("position", "value"))), lambda r: r["value"])
+    return records.groupBy("docid").agg(F.array_join(lines, RECORD).alias("records")).select("docid", F.concat(F.col("docid").cast("string"), F.lit(DOCID), F.col("records")).alias("value"))
+
+
+def format_mention_documents(documents: DataFrame, offsets: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Document lines with sentence offsets and mentions. documents: docid, value; offsets: docid, sentid, offset;
+    mentions: docid, key_text, key_start, text, start."""
+    field = lambda t, s: F.concat(F.col(t), F.lit(MFIELD), F.col(s).cast("string"))
+    chains = mentions.groupBy("docid", field("key_text", "key_start").alias("key")).agg(F.array_sort(F.collect_list(F.struct("start", "text"))).alias("xs"))
+    values = F.array_join(F.transform("xs", lambda x: F.concat(x["text"], F.lit(MFIELD), x["start"].cast("string"))), MENTION)
+    each = chains.groupBy("docid").agg(F.array_join(F.array_sort(F.collect_list(F.concat("key", F.lit(VAL), values))), KEYVAL).alias("mentions"))
+    places = offsets.groupBy("docid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sentid", "offset"))), lambda x: x["offset"].cast("string")), ",").alias("offsets"))
+    rows = documents.join(places, "docid", "left").join(each, "docid", "left")
+    return rows.select("docid", F.concat_ws(TDOC, "value", F.coalesce("offsets", F.lit("")), F.coalesce("mentions", F.lit(""))).alias("value"))
+
+
 def parse_mentions(lines: DataFrame) -> DataFrame:
-    """Documents with mentions: docid, chain_id, is_representative, text, start, end; malformed entries drop."""
+    """Documents with mentions: docid, chain_id (place of the chain), key_text, key_start, text, start, end.
+
+    A chain is a key mention and the list of its mentions. Malformed mentions drop, chains with a malformed key drop,
+    and of chains with one key the last counts."""
     doc, mentions = _part(F.col("value"), TDOC, 1), _part(F.col("value"), TDOC, 3)
-    chains = lines.where(mentions.isNotNull()).select(F.split(doc, DOCID)[0].alias("docid"), F.posexplode(F.split(mentions, MENTION)).alias("chain_id", "chain"))
-    key, values = _part(F.col("chain"), KEYVAL, 1), _part(F.col("chain"), KEYVAL, 2)
-    each = F.concat(F.array(F.struct(F.lit(True).alias("r"), key.alias("m"))), F.transform(F.split(F.coalesce(values, F.lit("")), VAL), lambda m: F.struct(F.lit(False).alias("r"), m.alias("m"))))
-    rows = chains.where(values.isNotNull()).select("docid", "chain_id", F.explode(each).alias("x"))
-    start = _part(F.col("x.m"), MFIELD, 2).try_cast("int")
-    text = _part(F.col("x.m"), MFIELD, 1)
-    return rows.where(start.isNotNull()).select("docid", "chain_id", F.col("x.r").alias("is_representative"), text.alias("text"), start.alias("start"), (start + F.length(text)).alias("end"))
+    chains = F.transform(F.split(mentions, KEYVAL, -1), lambda c, i: F.struct(i.alias("i"), F.get(F.split(c, VAL, -1), 0).alias("key"), F.get(F.split(c, VAL, -1), 1).alias("list")))
+    rows = lines.select(F.split(doc, DOCID)[0].alias("docid"), chains.alias("chains"))
+    last = F.filter("chains", lambda c: c["list"].isNotNull() & ~F.exists("chains", lambda d: (d["i"] > c["i"]) & (d["key"] == c["key"]) & d["list"].isNotNull()))
+    number = lambda m: F.trim(F.get(F.split(m, MFIELD, -1), 1)).try_cast("int")
+    good = lambda m: (F.size(F.split(m, MFIELD, -1)) == 2) & number(m).isNotNull()
+    each = rows.select("docid", F.explode(last).alias("c")).where(good(F.col("c.key"))).select("docid", "c.i", "c.key", F.explode(F.split("c.list", MENTION, -1)).alias("m")).where(good(F.col("m")))
+    text = lambda m: F.get(F.split(m, MFIELD, -1), 0)
+    return each.select("docid", F.col("i").alias("chain_id"), text("key").alias("key_text"), number("key").alias("key_start"), text("m").alias("text"), number("m").alias("start"), (number("m") + F.length(text("m"))).alias("end"))
+
+
+def parse_offsets(lines: DataFrame) -> DataFrame:
+    """docid, position, offset of the sentences of documents with mentions."""
+    doc, offsets = _part(F.col("value"), TDOC, 1), _part(F.col("value"), TDOC, 2)
+    return lines.select(F.split(doc, DOCID)[0].alias("docid"), F.posexplode(F.split(offsets, ",")).alias("position", "o")).select("docid", "position", F.col("o").try_cast("int").alias("offset")).where("offset is not null")
 
 
 def format_tuples(tuples: DataFrame) -> DataFrame:
@@ -120,6 +162,11 @@ def tuple_of_text(text: Column) -> Column:
     return F.when(F.size(p) >= 6, fields)
 
 
+def lean_text(a1: str, rel: str, a2: str, hashes: str, sentences: str, ids: str) -> Column:
+    """The short form of a tuple: ten hashes, one sentence and ten ids at most, without heads."""
+    return F.concat_ws("\t", a1, rel, a2, F.array_join(F.slice(F.col(hashes).cast("array<string>"), 1, 10), ","), F.array_join(F.slice(sentences, 1, 1), SENT), F.array_join(F.slice(ids, 1, 10), ","))
+
+
 HEADS = ("f1_heads", "f2_heads", "s1_heads", "s2_heads")
 
 
@@ -273,11 +320,13 @@ def typed_variants(tuples: DataFrame) -> DataFrame:
     return tuples.select(F.explode(F.filter(all_, lambda t: t.isNotNull())).alias("t")).select("t.arg1", "t.rel", "t.arg2")
 
 
-def read_app_directory(spark: SparkSession, path: str) -> DataFrame:
-    """A file a document: app lines with the document id of the file's first line, and an extrid that goes on over files."""
-    lines = spark.read.text(path).withColumns({"file": F.input_file_name(), "extrid": F.monotonically_increasing_id()})
-    ids = lines.groupBy("file").agg(F.min_by(F.split("value", "\\|")[0], "extrid").alias("first_id"))
-    rows = parse_app_lines(lines, "file", "extrid").join(ids, "file")
+def read_app_directory(spark: SparkSession, path: str, recursive: bool = False, stand_in: bool = False) -> DataFrame:
+    """A file a document: app lines with the document id of the file's first line, and an extrid that numbers all lines
+    and goes on over files. Bad lines drop, or with `stand_in` are rows of "NA" in their places."""
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
+    lines = reader.text(path).withColumns({"file": F.input_file_name(), "line": F.monotonically_increasing_id()})
+    ids = lines.groupBy("file").agg(F.min_by(F.split("value", "\\|")[0], "line").alias("first_id"))
+    rows = parse_app_lines(gapless(lines, [F.col("file"), F.col("line")], "extrid"), "file", "extrid", stand_in=stand_in).join(ids, "file")
     return rows.withColumn("docid", F.col("first_id")).drop("first_id", "file")
 
 
@@ -306,6 +355,34 @@ def write_text(lines: DataFrame, path: str) -> None:
     lines.select("value").write.text(path)
 
 
-def write_index(rows: DataFrame, path: str, by: str = "fr") -> None:
-    """A search index: Parquet files clustered by a relation, so that row-group statistics prune."""
-    rows.repartition(by).sortWithinPartitions(by).write.parquet(path)
+def pairs_index(combined: DataFrame, least_und: int = 0, verbs_only: bool = False) -> DataFrame:
+    """The nine fields of an indexed pair: id, six of the tuples, its counts and its measures as text."""
+    rows = combined.where(F.col("max_und") >= least_und)
+    if verbs_only:  # both relations of one token
+        rows = rows.where((F.size(F.split("fr", " ")) <= 1) & (F.size(F.split("sr", " ")) <= 1))
+    counts = F.concat_ws(MEASURES, *[F.col(c).cast("string") for c in ("max_dir", "max_und", "und_k", "nf", "ns")])
+    affinities = F.concat_ws(AFFINITY, *[F.format_string("%.8f", c) for c in ("und_first", "dir_first", "und_second", "dir_second")])
+    return rows.select(F.xxhash64(*KEY).alias("id"), *KEY, counts.alias("serialize"), affinities.alias("affinities"))
+
+
+def records_index(records: DataFrame) -> DataFrame:
+    """The twelve fields of an indexed record."""
+    listed = lambda c: F.array_join(c, ",").alias(c)
+    text = lambda c: F.col(c).cast("string").alias(c)
+    return records.select(F.xxhash64("docid", "sentid", "extrid").alias("id"), text("docid"), "sentid", "extrid", "sentence", "arg1", listed("arg1types"), "rel", "arg2", listed("arg2types"), "confidence", F.lower("rel").alias("rel_lower"))
+
+
+def write_index(rows: DataFrame, path: str, by: str = "fr", then: str = "s1") -> None:
+    """A search index: Parquet files in the order of a relation and one column more, so that statistics of files and row
+    groups prune. Ranges take both columns and the rest of the row, so a common relation is spread over many files."""
+    order = [by, *[c for c in (then, "id") if c in rows.columns]]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+
+
+def read_pairs_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index with its counts and measures as columns; filters on the six fields reach the files."""
+    p, a = F.split("serialize", MEASURES, -1), F.split("affinities", AFFINITY, -1)
+    rows = spark.read.parquet(path)
+    numbers = {c: F.get(p, k).cast("bigint") for k, c in enumerate(("max_dir", "max_und", "und_k", "nf", "ns"))}
+    measures = {c: F.get(a, k).cast("double") for k, c in enumerate(("und_first", "dir_first", "und_second", "dir_second"))}
+    return rows.withColumns(numbers | measures).drop("serialize", "affinities")

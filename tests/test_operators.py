@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pairloom import catalog
 from pairloom.functions import text as T
+from pairloom.operators import extraction as X
 from pairloom.operators import measures as M
 from pairloom.operators import pairs as P
 from pairloom.operators import ranking as K
@@ -217,3 +219,98 @@ def test_top_relations_query_keeps_all(spark, monkeypatch):
     rec = spark.range(300).select(F.col("id").cast("string").alias("docid"), F.concat(F.lit("r"), F.col("id") % 150).alias("rel"))
     monkeypatch.setattr(catalog, "records", lambda s, d: rec)
     assert catalog.QUERIES["top_relations"](spark, SF).count() == 150 and K.top_relations(rec).count() == 100
+
+
+def test_longest_common_place(spark):
+    rows = [("the old man sat down", "old man"), ("the old man sat down", "old men"), ("abc xbc", "bc"), ("abc", "zz"), ("abc", " "), ("sat down the man sat up", "man sat  up"), ("aXbYaXb", "aXbZ")]
+    got = [tuple(r[0]) for r in spark.createDataFrame(rows, "s string, a string").select(T.common_span(F.col("s"), F.col("a"))).collect()]
+
+    def brute(s, a):
+        a = a.strip()
+        best = max(((n, -i) for i in range(len(s)) for n in range(1, len(s) - i + 1) if s[i : i + n] in a), default=None)
+        return (-best[1], -best[1] + best[0]) if best else (0, 0)
+
+    assert got == [brute(*r) for r in rows]
+
+
+def test_clauses_count_a_leading_blank(spark):
+    text = "One two three four five. the dog ran off, no"
+    got = spark.createDataFrame([(text,)], "s string").select(T.sentence_hashes(F.col("s"))).first()[0]
+
+    def java(t):
+        h = 0
+        for c in re.sub("[^a-z0-9]", "", t.lower()):
+            h = (31 * h + ord(c)) % 2**32
+        return h - 2**32 if h >= 2**31 else h
+
+    assert got == [java(text), java("One two three four five"), java(" the dog ran off")]
+
+
+def test_mentions_of_documents(spark):
+    line = "d1_DOCID_SEP_rec_TDOC_SEP_0,10_TDOC_SEP_Ann_MFIELD_SEP_3_VALSEP_she_MFIELD_SEP_20_MSEP_bad_MSEP_Ann_MFIELD_SEP_3_KEYVAL_SEP_Bob_MFIELD_SEP_x_VALSEP_he_MFIELD_SEP_9_KEYVAL_SEP_alone_KEYVAL_SEP_Ann_MFIELD_SEP_3_VALSEP_her_MFIELD_SEP_ 40"
+    rows = codecs.parse_mentions(spark.createDataFrame([(line,), ("d2_DOCID_SEP_rec",)], "value string")).collect()
+    assert [(r.docid, r.key_text, r.key_start, r.text, r.start, r.end) for r in rows] == [("d1", "Ann", 3, "her", 40, 43)]  # of two chains with one key the last counts
+    offsets = codecs.parse_offsets(spark.createDataFrame([(line,)], "value string")).collect()
+    assert [(r.position, r.offset) for r in offsets] == [(0, 0), (1, 10)]
+
+
+def test_documents_round_trip(spark):
+    df = spark.createDataFrame([("a", 1, "x\ty"), ("a", 0, "first"), ("b", 0, "only")], "docid string, position int, value string")
+    lines = codecs.format_documents(df)
+    assert sorted((r.docid, r.position, r.value) for r in codecs.parse_documents(lines.select("value")).collect()) == [("a", 0, "first"), ("a", 1, "x\ty"), ("b", 0, "only")]
+    assert codecs.parse_documents(spark.createDataFrame([("no separator",), ("a_DOCID_SEP_",)], "value string")).count() == 0
+
+
+def test_app_lines_stand_in(spark):
+    lines = spark.createDataFrame([("d|1|s|a|a|T:x|r|r|b|b|",), ("short|1",), ("d|x|s|a|a||r|r|b|b|",)], "value string")
+    assert sorted((r.docid, r.sentid) for r in codecs.parse_app_lines(lines, stand_in=True).collect()) == [("NA", -1), ("NA", -1), ("d", 1)]
+
+
+def test_app_directory_numbers_without_gaps(spark, tmp_path):
+    for name, lines in (("a/one", ["d1|1|s|a|a||r|r|b|b|", "bad"]), ("b/two", ["d2|1|s|a|a||r|r|b|b|"] * 3)):
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    got = codecs.read_app_directory(spark, str(tmp_path), recursive=True, stand_in=True).collect()
+    assert sorted(r.extrid for r in got) == [0, 1, 2, 3, 4] and sorted(r.docid for r in got) == ["d1", "d1", "d2", "d2", "d2"]
+
+
+def test_mention_keys(spark):
+    rec = spark.createDataFrame([("d", 1, "Ann", 0, 3, "Bob", 10, 13), ("d", 2, "she", 20, 23, "him", 30, 33), ("d", 3, "Ann", 0, 3, "x", 900, 901)], "docid string, rid int, arg1 string, arg1_start int, arg1_end int, arg2 string, arg2_start int, arg2_end int")
+    mentions = spark.createDataFrame([("d", 1, "Ann A", 0, 5), ("d", 1, "she", 20, 23), ("d", 2, "Bob", 10, 13), ("d", 3, "Bob", 10, 13), ("d", 3, "him", 30, 33), ("d", 4, "a b c d e f", 899, 910)], "docid string, chain_id int, text string, start int, end int")
+    got = {r.rid: (set(r.chain1), set(r.chain2)) for r in X.mention_keys(rec, mentions).collect()}
+    assert got[1][0] & got[2][0] and got[1][1] & got[2][1] and not got[1][0] & got[2][1]
+    assert got[1][0] == got[3][0] and got[3][1] == {"x:900-901"}
+
+
+def test_merge_needs_both_sides_disjoint(spark):
+    side = lambda *h: (list(h), ["i%d" % x for x in h], ["s"])
+    heads = [("h", 1)]
+    rows = [(d, "a", "r", "b", "c", "q", "e", side(*f), side(*s), [("1", 2)], heads, [(f"g{d}", 1)], heads, heads) for d, f, s in (("d1", (1,), (5,)), ("d2", (2,), (5,)), ("d3", (1,), (6,)), ("d4", (3,), (7,)), ("d5", (9,), (3,)))]
+    spec = "docid string, f1 string, fr string, f2 string, s1 string, sr string, s2 string, " + ", ".join(f"{p} struct<hashes:array<int>,ids:array<string>,sentences:array<string>>" for p in ("first", "second")) + ", " + ", ".join(f"{c} array<struct<v:string,n:bigint>>" for c in ("counts", "f1_heads", "f2_heads", "s1_heads", "s2_heads"))
+    got = X.merge_pairs(spark.createDataFrame(rows, spec), more_than=3, most=2).first()
+    assert got.n_docs == 3 and got.h1 == [1, 3, 9] and got.h2 == [5, 7, 3] and [tuple(e) for e in got.counts] == [("1", 6)]
+    assert [tuple(e) for e in got.f1_heads] == [("h", 3)] and [e.v for e in got.f2_heads] == ["gd1", "gd4"]  # heads and ids stop growing at two
+    assert got.ids1 == ["i1", "i3"]
+    assert X.merge_pairs(spark.createDataFrame(rows, spec), more_than=6).count() == 0
+
+
+def test_redundant_records_of_one_length_both_go(spark):
+    rows = [("d", 1, 0, 1, "s", "Ann", [], "met", "Bob", []), ("d", 1, 1, 2, "s", "Bob", [], "met", "Ann", []), ("d", 1, 2, 3, "s", "Eve", [], "saw", "Tom", []), ("d", 1, 3, 4, "s", "Eve", [], "saw", "Tom Smith", [])]
+    assert [r.rid for r in R.drop_redundant(spark.createDataFrame(rows, REC)).collect()] == [4]
+
+
+def test_gapless_numbers(spark):
+    df = spark.range(1000).withColumn("k", F.col("id") % 7)
+    got = R.gapless(df, [F.desc("k"), F.asc("id")], "at").collect()
+    want = sorted(range(1000), key=lambda i: (-(i % 7), i))
+    assert [r.id for r in sorted(got, key=lambda r: r["at"])] == want and sorted(r["at"] for r in got) == list(range(1000))
+
+
+def test_index_reaches_the_files(spark, tmp_path):
+    c = spark.range(2000).select(*[F.concat(F.lit(k), (F.col("id") % 9).cast("string")).alias(k) for k in P.KEY], *[F.col("id").alias(x) for x in ("max_dir", "max_und", "und_k", "nf", "ns")], *[(F.col("id") / 7).alias(x) for x in ("und_first", "dir_first", "und_second", "dir_second")])
+    path = str(tmp_path / "index")
+    codecs.write_index(codecs.pairs_index(c, 5), path)
+    got = codecs.read_pairs_index(spark, path).where("fr = 'fr3' AND s1 = 's13'")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(fr,fr3)" in plan and "EqualTo(s1,s13)" in plan
+    assert sorted(r.nf for r in got.collect()) == [i for i in range(5, 2000) if i % 9 == 3]
