@@ -13,6 +13,7 @@ from pairloom.operators import pairs as P
 from pairloom.operators import ranking as K
 from pairloom.operators import records as R
 from pairloom.operators import tuning as U
+from pairloom.session import stored
 from pairloom.sources import codecs as C
 from pairloom.sources.adapters import REC_SQL, SENT_SQL, records, sentences
 
@@ -236,7 +237,7 @@ _TYPE = lambda a: f"replace(regexp_extract({a}, '^(.*?)[tT]ype:(.*)$', 2), ':Num
 _VTYPE = lambda a, b: f"CASE WHEN contains({a}, 'XVAR') THEN {_TYPE(a)} WHEN contains({b}, 'XVAR') THEN {_TYPE(b)} ELSE '' END"
 _SORTS = {"fs": "max_dir", "sf": "max_und - max_dir", "fs+sf": "max_und", "kfs+sf": "und_k", "f": "nf", "s": "ns"}
 _query("sort_keys", _sql("comb", " UNION ALL ".join(f"SELECT '{n}' AS sort_by, rank, {_KEY}, value FROM (SELECT *, CAST({e} AS BIGINT) AS value, row_number() OVER (ORDER BY {e} DESC, {_KEY}) AS rank FROM comb) WHERE rank <= 20" for n, e in _SORTS.items())))(
-    lambda s, d: reduce(DataFrame.unionByName, [K.rank(_comb(s, d), n, 20).select(F.lit(n).alias("sort_by"), F.col("rank").cast("bigint").alias("rank"), *P.KEY, F.expr(e).cast("bigint").alias("value")) for n, e in _SORTS.items()])
+    lambda s, d: (lambda c: reduce(DataFrame.unionByName, [K.rank(c, n, 20).select(F.lit(n).alias("sort_by"), F.col("rank").cast("bigint").alias("rank"), *P.KEY, F.expr(e).cast("bigint").alias("value")) for n, e in _SORTS.items()]))(stored(_comb(s, d), "combined"))
 )
 _query("flagship", _sql("comb", f"""SELECT rank, {_KEY}, {_cols('und_first')}, nf, ns FROM (SELECT *, row_number() OVER (ORDER BY round(und_first, 9) DESC, {_KEY}) AS rank FROM comb) WHERE rank <= 20"""))(
     lambda s, d: _r(K.rank(_comb(s, d), k=20).select(F.col("rank").cast("bigint").alias("rank"), *P.KEY, "und_first", "nf", "ns"), "und_first")

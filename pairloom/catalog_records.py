@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,19 +13,13 @@ from pairloom.operators import pairs as P
 from pairloom.operators import ranking as K
 from pairloom.operators import records as R
 from pairloom.operators import tuning as U
+from pairloom.session import shared_path as folder
+from pairloom.session import stored
 from pairloom.sources import codecs as C
 from pairloom.sources.adapters import RAW_SQL, raw_records, records
 
 
 
-def folder(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; in one process a temporary one will do."""
-    shared = spark.conf.get("spark.checkpoint.dir", "")
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(shared or tempfile.mkdtemp()).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 # --- places in sentences, app lines, record lines ----------------------------------------------
 
 
@@ -428,11 +419,11 @@ _query("cross_heads", _rec_sql(f"SELECT docid, rel, {_SHOW(_OWN('e1', 'e2'))} AS
 _query("result_rows", _comb_sql(f"""SELECT row_number() OVER (ORDER BY round(und_first, 9) DESC, {_KEY}) AS rank, {_KEY}, und_k, max_und, printf('%.4f', und_first) AS measure, max_dir AS fs, max_und - max_dir AS sf, nf, ns FROM comb WHERE {_VALID} AND fr = 'purchase' AND f1 = 'k2' ORDER BY rank LIMIT 50"""))(
     lambda s, d: K.result_rows(_comb(s, d).where(M.valid() & (F.col("fr") == "purchase") & (F.col("f1") == "k2")), 50)
 )
-_query("document_records", _rec_sql("SELECT docid, rid FROM rec WHERE docid IN (SELECT DISTINCT docid FROM rec WHERE docid % 2 = 0 ORDER BY docid LIMIT 100)"))(lambda s, d: K.document_tuples(records(s, d), [x * 2 for x in range(60)]).select("docid", "rid"))
+_query("document_records", _rec_sql("SELECT docid, rid FROM rec WHERE docid % 2 = 0 AND docid < 200"))(lambda s, d: K.document_tuples(records(s, d), [x * 2 for x in range(150)]).select("docid", "rid"))
 _query("cogroup_counts", _num_sql(f"""SELECT {_KEY}, "window", und, coalesce(n, 0) AS nf FROM und LEFT JOIN (SELECT a1, rel, a2, min(n) AS n FROM (SELECT * FROM uni UNION ALL SELECT a1, rel, a2, n + 1 FROM uni) GROUP BY ALL) u ON u.a1 = f1 AND u.rel = fr AND u.a2 = f2""", upto="und"))(
     lambda s, d: M.with_first_counts(M.undirected(M.cumulative(_dir(s, d), 1, W)), (u := P.unigrams(_num(s, d))).unionByName(u.withColumn("n", F.col("n") + 1))).select(*P.KEY, "window", "und", "nf")
 )
-_query("rows_by_conditional", _comb_sql(f"SELECT row_number() OVER (ORDER BY round(und_first, 9) DESC, {_KEY}) - 1 AS place, {_KEY} FROM comb"))(lambda s, d: R.gapless(_comb(s, d).select(*P.KEY, "und_first"), [F.desc(F.round("und_first", 9)), *map(F.asc, P.KEY)], "place").drop("und_first"))
+_query("rows_by_conditional", _comb_sql(f"SELECT row_number() OVER (ORDER BY round(und_first, 9) DESC, {_KEY}) - 1 AS place, {_KEY} FROM comb"))(lambda s, d: R.gapless(_comb(s, d).select(*P.KEY, "und_first"), [-F.round("und_first", 9), *map(F.col, P.KEY)], "place").drop("und_first"))
 _query("scored_tuple_lines", _comb_sql(f"""SELECT f1 || ' | ' || fr || ' | ' || f2 AS tuple, count(*) AS n, CAST(sum(CASE WHEN s1 NOT IN {T.PRONOUNS} AND s2 NOT IN {T.PRONOUNS} AND NOT regexp_matches(sr, '[^0-9a-zA-Z:]') THEN 1 ELSE 0 END) AS BIGINT) AS n_clean FROM comb WHERE {_VALID} AND max_und > 0 GROUP BY f1, fr, f2"""))(
     lambda s, d: K.scored_lines(K.top_tuples(_comb(s, d), 5)).select(F.array_join(F.slice(F.split("value", "\t"), 6, 3), " | ").alias("tuple"), F.split("value", "\t")[0].cast("bigint").alias("n"), F.split("value", "\t")[1].cast("bigint").alias("n_clean"))
 )

@@ -45,8 +45,8 @@ def bins(scored: DataFrame, key: list[str], score: str, n: int) -> DataFrame:
     """Equal-frequency bins by descending score: rows of floor(count / n), so there can be n + 1.
 
     No task sees all rows (see `records.gapless`)."""
-    size = max(1, scored.count() // n)
-    ranked = gapless(scored, [F.desc(F.round(score, 9)), *map(F.asc, key)], "rank_")
+    ranked = gapless(scored, [-F.round(score, 9), *map(F.col, key)], "rank_")
+    size = max(1, ranked.count() // n)
     return ranked.withColumn("bin", F.floor(F.col("rank_") / size).cast("bigint")).drop("rank_")
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -24,3 +27,22 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(ROOT))
     sc.addPyFile(str(path))
     sc._pairloom_shipped = True
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share (`spark.checkpoint.dir`); in one process a temporary
+    folder will do."""
+    shared = spark.conf.get("spark.checkpoint.dir", "")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="pairloom-")
+        atexit.register(shutil.rmtree, shared, True)
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back: what several readers need is computed once, and outlives executors."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -301,7 +301,7 @@ def test_redundant_records_of_one_length_both_go(spark):
 
 def test_gapless_numbers(spark):
     df = spark.range(1000).withColumn("k", F.col("id") % 7)
-    got = R.gapless(df, [F.desc("k"), F.asc("id")], "at").collect()
+    got = R.gapless(df, [-F.col("k"), F.col("id")], "at").collect()
     want = sorted(range(1000), key=lambda i: (-(i % 7), i))
     assert [r.id for r in sorted(got, key=lambda r: r["at"])] == want and sorted(r["at"] for r in got) == list(range(1000))
 
