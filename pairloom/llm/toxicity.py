@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 PER_CLASS = 1500
 #: Bytes of their texts at most: what the driver holds.
 TRAINING_BYTES = 64 << 20
-WINDOW, STRIDE, SHORTEST = 24, 12, 8
+WINDOW, STRIDE, SHORTEST = 8, 4, 4
 SIZES = (3, 4, 5)
 DIM = 8
 _EDGES = ".,;:!?\"'()[]{}<>*&%$#|-_=+/\\"
