@@ -84,16 +84,24 @@ def _dir(s, d):
     return P.directed(P.nearest(_num(s, d), W))
 
 
+def _wide(s, d):
+    return M.wide(_dir(s, d), W)
+
+
+def _wide_counts(s, d):
+    return M.with_counts(_wide(s, d), P.unigrams(_num(s, d)))
+
+
 def _und(s, d):
-    return M.undirected(M.cumulative(_dir(s, d), 1, W))
+    return M.windows(_wide(s, d))
 
 
 def _meas(s, d):
-    return M.measures(M.with_counts(_und(s, d), P.unigrams(_num(s, d))), DELTA)
+    return M.measures(M.windows(_wide_counts(s, d)), DELTA)
 
 
 def _comb(s, d):
-    return M.combined(_meas(s, d), ALPHA, AT)
+    return M.combined_wide(_wide_counts(s, d), DELTA, ALPHA, AT)
 
 
 def _edges(s, d):
@@ -152,7 +160,7 @@ _query(
     _sql("near", f"""SELECT {_KEY}, CAST(greatest(coalesce(sum(cnt) FILTER ("window" < {W}), 0), coalesce(max(cnt) FILTER ("window" >= {W}), 0)) AS BIGINT) AS top FROM dir GROUP BY {_KEY} HAVING top > 3"""),
 )(lambda s, d: M.frequency_filter(_dir(s, d), W, 3))
 _query("undirected_pairs", _sql("und", f"""SELECT {_KEY}, "window", dir, und FROM und"""))(_und)
-_query("measures_join", _sql("meas", f"""SELECT {_KEY}, "window", dir, und, nf, ns FROM cnt2"""))(lambda s, d: M.with_counts(_und(s, d), P.unigrams(_num(s, d))).select(*P.KEY, "window", "dir", "und", "nf", "ns"))
+_query("measures_join", _sql("meas", f"""SELECT {_KEY}, "window", dir, und, nf, ns FROM cnt2"""))(lambda s, d: _und_counts(s, d).select(*P.KEY, "window", "dir", "und", "nf", "ns"))
 _C4 = ("dir_first", "dir_second", "und_first", "und_second")
 _query("conditionals", _sql("meas", f"""SELECT {_KEY}, "window", {_cols(*_C4)} FROM meas"""))(lambda s, d: _r(_meas(s, d).select(*P.KEY, "window", *_C4), *_C4))
 _query("scp", _sql("meas", f"""SELECT {_KEY}, "window", {_cols('scp')} FROM meas"""))(lambda s, d: _r(_meas(s, d).select(*P.KEY, "window", "scp"), "scp"))
@@ -401,7 +409,7 @@ def _tagged(s, d):
 
 
 def _und_counts(s, d):
-    return M.with_counts(_und(s, d), P.unigrams(_num(s, d)))
+    return M.windows(_wide_counts(s, d))
 
 
 def _labelled(s, d):

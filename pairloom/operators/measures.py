@@ -41,6 +41,45 @@ def undirected(cumulated: DataFrame, least: int = 1) -> DataFrame:
     return both if least <= 1 else both.join(both.groupBy(*KEY).agg(F.max("und").alias("m")).where(F.col("m") >= least).select(*KEY), KEY, "left_semi")
 
 
+def wide(directed: DataFrame, last: int) -> DataFrame:
+    """Pair, dir, und: arrays of the cumulative counts over windows 1..last of the pair, and of both its orders.
+
+    One aggregation of the directed counts and their mirror images: a pair travels as one row through everything that
+    follows, and its windows are exploded (see `windows`) only where they are asked for. A pair of a tuple with itself
+    keeps its directed counts."""
+    mirrored = directed.select(*[F.col(FLIP[c]).alias(c) for c in KEY], "window", F.lit(0).cast("bigint").alias("dir"), F.col("cnt").alias("rev"))
+    both = directed.select(*KEY, "window", F.col("cnt").alias("dir"), F.lit(0).cast("bigint").alias("rev")).unionByName(mirrored)
+    up_to = lambda c: F.array(*[F.coalesce(F.sum(F.when((F.col("window") >= 1) & (F.col("window") <= w), F.col(c))), F.lit(0)).cast("bigint") for w in range(1, last + 1)])
+    own = (F.col("f1") == F.col("s1")) & (F.col("fr") == F.col("sr")) & (F.col("f2") == F.col("s2"))
+    counts = both.groupBy(*KEY).agg(up_to("dir").alias("dir"), up_to("rev").alias("rev"))
+    return counts.select(*KEY, "dir", F.when(own, F.col("dir")).otherwise(F.zip_with("dir", "rev", lambda x, y: x + y)).alias("und"))
+
+
+def windows(pairs: DataFrame) -> DataFrame:
+    """One row for each window of wide pairs: window, dir, und, and the other columns."""
+    rest = [c for c in pairs.columns if c not in ("dir", "und")]
+    each = pairs.select(*rest, F.posexplode(F.arrays_zip("dir", "und")).alias("at_", "e_"))
+    keys = [c for c in rest if c in KEY]
+    return each.select(*keys, (F.col("at_") + 1).cast("bigint").alias("window"), "e_.dir", "e_.und", *[c for c in rest if c not in KEY])
+
+
+def combined_wide(counted: DataFrame, delta: float = 10.0, alpha: float = 0.9, k: int | None = None) -> DataFrame:
+    """What `combined` gives of the measures, from wide pairs with nf and ns: smoothing is constant over a pair's windows,
+    so the decayed sums are taken of counts and squares, and divided once."""
+    size = F.size("und")
+    weights = F.transform(F.sequence(F.lit(1), size), lambda w: F.pow(F.lit(alpha), w))
+    total = F.aggregate("w_", F.lit(0.0), lambda a, x: a + x)
+    decay = lambda c, square=False: F.aggregate(F.zip_with(c, "w_", lambda x, w: (x * x if square else x) * w), F.lit(0.0), lambda a, x: a + x) / total
+    rows = counted.withColumn("w_", weights)
+    over = lambda value, n: F.when(n + delta > 0, value / (n + F.lit(delta))).otherwise(0.0)
+    f, s = F.col("nf").cast("double"), F.col("ns").cast("double")
+    at_k = F.array_max("und") if k is None else F.coalesce(F.get("und", F.lit(k - 1)), F.lit(0).cast("bigint"))
+    return rows.select(
+        *KEY, over(decay("dir"), f).alias("dir_first"), over(decay("dir"), s).alias("dir_second"), over(decay("und"), f).alias("und_first"), over(decay("und"), s).alias("und_second"),
+        over(over(decay("und", True), f), s).alias("scp"), "nf", "ns", F.array_max("dir").alias("max_dir"), F.array_max("und").alias("max_und"), at_k.alias("und_k"),
+    )
+
+
 def stop_relations(tuples: DataFrame) -> DataFrame:
     return tuples.where(~F.col("rel").isin("be", "in", "to", "on"))
 
