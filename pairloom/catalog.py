@@ -262,7 +262,7 @@ _query(
 )(lambda s, d: _r(K.two_hop(_sym(s, d), SEED, 10), "scp", places=9))
 _PR = "pr AS (SELECT item, n, h / t AS recall, h / n AS precision FROM (SELECT item, row_number() OVER w AS n, sum(label) OVER (w ROWS UNBOUNDED PRECEDING) AS h, sum(label) OVER () AS t FROM scored WINDOW w AS (ORDER BY score DESC, item)))"
 _query("pr_curve", f"WITH {_SCORED}, {_PR} SELECT item, n, round(recall, 6) AS recall, round(precision, 6) AS precision FROM pr")(
-    lambda s, d: _r(K.precision_recall(_scored(s, d).withColumn("g", F.lit(0)), ["g"]).drop("g").withColumn("n", F.col("n").cast("bigint")), "recall", "precision")
+    lambda s, d: _r(K.precision_recall(_scored(s, d), [], 64), "recall", "precision")
 )
 _query(
     "auc_grid",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.catalog import _BAND, _KEY, _VALID, _VERB, W, _comb, _comb_sql, _dir, _hash_sql, _num, _num_sql, _query, _r, _rec_sql, _und_counts
+from pairloom.catalog import QUERIES, SQL, _BAND, _KEY, _VALID, _VERB, W, _comb, _comb_sql, _dir, _hash_sql, _num, _num_sql, _query, _r, _rec_sql, _und_counts
 from pairloom.functions import text as T
 from pairloom.operators import extraction as X
 from pairloom.operators import measures as M
@@ -447,3 +447,94 @@ _query("measure_curves", _comb_sql(f"""SELECT kind, item, n, round(h / t, 6) AS
 _query("weighted_scores", _comb_sql(f"SELECT {_KEY}, round(0.25 * nf / 100 + 0.5 * ns / 100 + 2 * und_first, 6) AS score FROM comb"))(
     lambda s, d: _r((c := _comb(s, d)).withColumns({f"c{k}_{x}": (F.col(n) / 100 if x == "mean" else F.lit(0.0)) for k, n in ((1, "nf"), (2, "ns")) for x in ("mean", "median", "least", "most")} | {"c1_rel": F.lit("go"), "c2_rel": F.lit("go")}).select(*P.KEY, U.weighted("und_first", 0.25, 0.5, 2.0, "average").alias("score")), "score")
 )
+
+
+# --- further parameters of operators above -------------------------------------------------------------
+_query("cumulative_beyond", _num_sql(f"""SELECT {_KEY}, w AS "window", CAST(coalesce(sum(cnt) FILTER ("window" <= w), 0) AS BIGINT) AS cnt FROM dir, range(1, 6) t(w) GROUP BY {_KEY}, w UNION ALL SELECT {_KEY}, "window", cnt FROM dir WHERE "window" > 5""", upto="near"))(lambda s, d: M.cumulative(_dir(s, d), 1, 5, True))
+_FREQ = f"""fc AS (SELECT {_KEY}, w AS "window", CAST(coalesce(sum(cnt) FILTER ("window" <= w), 0) AS BIGINT) AS cnt FROM dir, range(0, 5) t(w) GROUP BY {_KEY}, w UNION ALL SELECT {_KEY}, "window", cnt FROM dir WHERE "window" > 4)"""
+for _name, _op, _inclusive in (("frequent_above", ">", False), ("frequent_from", ">=", True)):
+    _query(_name, _num_sql(f"""SELECT {_KEY}, "window", cnt FROM (SELECT *, max(cnt) OVER (PARTITION BY {_KEY}) AS top FROM fc) WHERE top {_op} 3""", _FREQ, upto="near"))(lambda s, d, i=_inclusive: M.frequent(_dir(s, d), 5, 3, i))
+_query("undirected_frequent", _num_sql(f"""SELECT {_KEY}, "window", dir, und FROM (SELECT *, max(und) OVER (PARTITION BY {_KEY}) AS top FROM und) WHERE top >= 5""", upto="und"))(lambda s, d: M.undirected(M.cumulative(_dir(s, d), 1, W), 5))
+_query("measures_of_rare_tuples", _num_sql(f"""SELECT {_KEY}, "window", und, coalesce(f.n, 0) AS nf, coalesce(s.n, 0) AS ns FROM und LEFT JOIN (SELECT * FROM uni WHERE n < 100) f ON f.a1 = f1 AND f.rel = fr AND f.a2 = f2 LEFT JOIN (SELECT * FROM uni WHERE n < 100) s ON s.a1 = s1 AND s.rel = sr AND s.a2 = s2""", upto="und"))(
+    lambda s, d: M.with_counts(M.undirected(M.cumulative(_dir(s, d), 1, W)), P.unigrams(_num(s, d)), 100).select(*P.KEY, "window", "und", "nf", "ns")
+)
+_query("search_without_reporting", _rec_sql("SELECT a1, rel, a2, n FROM rawt WHERE NOT list_has_any(string_split(rel, ' '), ['say', 'tell', 'ask', 'report', 'describe']) AND lower(a2) = 'mid'", RAW_SQL, _RAWT))(
+    lambda s, d: K.search(_raw_tuples(s, d).select(F.col("a1").alias("f1"), F.col("rel").alias("fr"), F.col("a2").alias("f2"), "n", F.col("rel").alias("sr")), {"f2": "MID"}, True, False).select(F.col("f1").alias("a1"), F.col("fr").alias("rel"), F.col("f2").alias("a2"), "n")
+)
+_query("grid_top10", f"WITH g AS ({SQL['confidence_grid']}) SELECT * FROM g ORDER BY auc DESC, delta, alpha, agg, threshold LIMIT 10")(lambda s, d: QUERIES["confidence_grid"](s, d).orderBy(F.desc("auc"), "delta", "alpha", "agg", "threshold").limit(10))
+_query("records_page", _rec_sql("SELECT docid, sentid, extrid, rel FROM rec WHERE lower(arg1) = 'k3' OR lower(arg2) = 'k3' ORDER BY docid, sentid, extrid LIMIT 25 OFFSET 50"))(lambda s, d: K.page(K.records_matching(records(s, d), "K3"), ["docid", "sentid", "extrid"], 25, 50).select("docid", "sentid", "extrid", "rel"))
+_query("top_relations_of", _rec_sql("SELECT rel, count(DISTINCT docid) AS n_docs, count(*) AS n_records FROM rec WHERE lower(arg1) = 'k3' OR list_contains(list_transform(arg2types, lambda t: lower(t)), 'k3') GROUP BY rel ORDER BY n_docs DESC, rel LIMIT 3"))(lambda s, d: K.top_relations(K.records_matching(records(s, d), "k3"), 3))
+
+# --- maps, keys, text helpers --------------------------------------------------------------------------
+_HALVES = "halves AS (SELECT docid, arg1, sentid % 2 AS half, count(*) AS n FROM rec GROUP BY ALL)"
+
+
+def _halves(s, d) -> DataFrame:
+    n = records(s, d).groupBy("docid", (F.col("sentid") % 2).alias("half"), "arg1").agg(F.count("*").cast("int").alias("n"))
+    part = lambda k: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("half") == k, F.struct("arg1", "n"))))).alias(f"m{k}")
+    return n.groupBy("docid").agg(part(0), part(1))
+
+
+_query("map_sums", _rec_sql("SELECT docid, arg1, sum(n) + CASE WHEN arg1 = 'K3' THEN 2 ELSE 0 END AS n FROM (SELECT docid, arg1, n FROM halves UNION ALL SELECT DISTINCT docid, 'K3', 0 FROM halves) GROUP BY docid, arg1", _HALVES))(
+    lambda s, d: _halves(s, d).select("docid", F.explode(T.bumped(T.map_sum(F.col("m0"), F.col("m1")), F.lit("K3"), 2)).alias("arg1", "n")).withColumn("n", F.col("n").cast("bigint"))
+)
+_query("map_sums_until", _rec_sql("SELECT docid, arg1, CAST(sum(n) AS BIGINT) AS n FROM halves JOIN (SELECT docid, count(*) FILTER (half = 0) AS keys FROM halves GROUP BY docid) USING (docid) WHERE half = 0 OR keys < 7 GROUP BY docid, arg1", _HALVES))(
+    lambda s, d: _halves(s, d).select("docid", F.explode(T.map_sum_until(F.col("m0"), F.col("m1"), 7)).alias("arg1", "n")).withColumn("n", F.col("n").cast("bigint"))
+)
+_query("keys", _rec_sql("SELECT rid, concat_ws(chr(9), arg1, rel, arg2) AS key, lower(trim(arg1)) || ',' || lower(trim(rel)) || ',' || lower(trim(arg2)) AS loose, least(arg1, arg2) AS first, greatest(arg1, arg2) AS second FROM rec"))(
+    lambda s, d: records(s, d).select("rid", T.tuple_key("arg1", "rel", "arg2").alias("key"), T.loose_key("arg1", "rel", "arg2").alias("loose"), T.in_order("arg1", "arg2").alias("o")).select("rid", "key", "loose", "o.first", "o.second")
+)
+_query("escaped_lines", _lines_sql("""SELECT docid, sentid, replace(replace(replace(replace(sentence, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS line FROM sent WHERE regexp_matches(sentence, '[&<>"]')"""))(
+    lambda s, d: _lines(s, d).where(F.col("sentence").rlike('[&<>"]')).select("docid", "sentid", T.escape_html(F.col("sentence")).alias("line"))
+)
+_query("paired_elements", _rec_sql("SELECT rid, unnest([arg1, rel]) AS a, unnest([rel, arg2]) AS b FROM rec"))(lambda s, d: records(s, d).select("rid", F.explode(T.paired(F.array("arg1", "rel"), F.array("rel", "arg2"))).alias("x")).select("rid", "x.a", "x.b"))
+_query("text_chunks", "SELECT doc_id, i, substring(text, CAST(i * 100 + 1 AS INTEGER), 100) AS chunk FROM (SELECT doc_id, text, unnest(range(0, length(text) // 100 + 1)) AS i FROM documents WHERE text IS NOT NULL)")(
+    lambda s, d: s.read.parquet(f"{d}/documents.parquet").where("text is not null").select("doc_id", F.posexplode(T.chunks(F.col("text"), 100)).alias("i", "chunk")).withColumn("i", F.col("i").cast("bigint"))
+)
+_query("without_stand_ins", _rec_sql("SELECT rel, count(*) AS n FROM rec WHERE rid % 5 <> 0 GROUP BY rel"))(
+    lambda s, d: C.parse_app_lines(C.format_app_lines(_apps(s, d).withColumn("sentid", F.when(F.col("rid") % 5 != 0, F.col("sentid").cast("string")).otherwise("bad"))), stand_in=True).where("arg1 <> 'NA'").groupBy("rel").agg(F.count("*").alias("n"))
+)
+_query("field_helpers", _rec_sql("SELECT rid, split_part(sentence, ' ', 1) AS first, CASE WHEN contains(sentence, ' ') THEN substring(sentence, strpos(sentence, ' ') + 1) END AS rest, string_split(sentence, ' ')[4] AS fourth, coalesce(TRY_CAST(substring(arg1, 2) AS INTEGER), 4) AS number FROM rec"))(
+    lambda s, d: records(s, d).select("rid", F.get(T.first_rest(F.col("sentence"), " "), 0).alias("first"), F.get(T.first_rest(F.col("sentence"), " "), 1).alias("rest"), T.nth_field(F.col("sentence"), " ", 3).alias("fourth"), T.number_or(F.expr("substring(arg1, 2)"), "int", 4).alias("number"))
+)
+
+# --- lines and files ---------------------------------------------------------------------------------------
+
+
+def _text_folder(s, lines: DataFrame, label: str) -> str:
+    path = folder(s, label)
+    C.write_text(lines, path)
+    return path
+
+
+_query("grep_lines", _rec_sql("SELECT sentence AS value FROM rec WHERE regexp_matches(sentence, 'K[13] (click|view)')"))(lambda s, d: C.grep(s, _text_folder(s, records(s, d).select(F.col("sentence").alias("value")), "lines"), "K[13] (click|view)"))
+_query("projected_fields", _rec_sql("SELECT arg2 || ' ' || arg1 AS value FROM rec"))(lambda s, d: C.project_fields(s, _text_folder(s, records(s, d).select(F.concat_ws(",", "arg1", "rel", "arg2").alias("value")), "fields"), [2, 0]))
+
+
+def _triple_files(s, d):
+    r = records(s, d)
+    line = F.concat_ws("|", "arg1", "arg1", F.col("arg1types")[0], "rel", "rel", "arg2", "arg2", F.col("arg2types")[0])
+    bad = (F.col("docid") % 7 == 0) & (F.col("sentid") == 1)
+    lines = r.where("docid % 3 = 0").select(F.when(bad, F.lit("too|few")).otherwise(line).alias("value"), F.col("docid").cast("string").alias("file"), F.struct("sentid", "extrid").alias("position"))
+    got = C.read_triples(s, f"{_files(s, d, lines)}/*")
+    return got.groupBy(F.regexp_extract("file", "file=([0-9]+)", 1).alias("docid"), "arg1", "rel").agg(F.count("*").alias("n"))
+
+
+_query("triple_files", _rec_sql("SELECT CAST(docid AS VARCHAR) AS docid, lower(arg1) AS arg1, lower(rel) AS rel, count(*) AS n FROM rec WHERE docid % 3 = 0 AND docid % 7 <> 0 GROUP BY ALL"))(_triple_files)
+_query("annotated_lines", _rec_sql("SELECT rid, confidence AS median, confidence + 1 AS most, 0.5 AS least, confidence AS mean, CAST(rid % 2 AS INTEGER) AS label, rel FROM rec WHERE rid % 3 > 0"))(
+    lambda s, d: C.parse_annotated(records(s, d).select(F.concat_ws("\t", F.col("rid").cast("string"), F.col("confidence").cast("string"), (F.col("confidence") + 1).cast("string"), F.lit("0.5"), F.col("confidence").cast("string"), F.when(F.col("rid") % 3 > 0, (F.col("rid") % 2).cast("string")).otherwise("x"), "arg1", "rel", "arg2").alias("value")))
+    .select(F.col("place").cast("bigint").alias("rid"), "median", F.round("most", 6).alias("most"), "least", "mean", "label", "rel")
+)
+_query("scored_lines_read", _comb_sql("SELECT f1, fr, f2, count(*) AS n FROM comb GROUP BY ALL"))(
+    lambda s, d: C.parse_scored_tuples(_comb(s, d).groupBy(*K.FIRST).agg(F.count("*").alias("n")).select(F.concat_ws("\t", F.col("n").cast("string"), F.lit("0"), F.lit("0"), *K.FIRST).alias("value"))).select(F.col("arg1").alias("f1"), F.col("rel").alias("fr"), F.col("arg2").alias("f2"), F.col("score").cast("bigint").alias("n"))
+)
+_query("hand_label_lines", _comb_sql("SELECT f1, fr, f2, s1, sr, s2, CAST(nf % 2 AS INTEGER) AS label, CAST(max_und AS INTEGER) AS biterm, CAST(nf AS INTEGER) AS nf, CAST(ns AS INTEGER) AS ns FROM comb"))(
+    lambda s, d: C.parse_hand_labels(_comb(s, d).select(F.concat_ws("\t", "f1", F.lit("i"), "fr", "f2", F.lit("i"), F.lit("0"), F.lit("1"), (F.col("nf") % 2).cast("string"), "s1", F.lit("i"), "sr", "s2", F.lit("i"), F.col("max_und").cast("string"), F.lit("x"), F.col("nf").cast("string"), F.col("ns").cast("string"), F.lit("0.5")).alias("value"))).select(*P.KEY, "label", "biterm", "nf", "ns")
+)
+_query("flat_graph", _num_sql("""SELECT f1 || '|' || fr || '|' || f2 AS t1, s1 || '|' || sr || '|' || s2 AS t2, CAST(w AS BIGINT) AS "window", CAST(sum(CASE WHEN "window" <= w THEN cnt ELSE 0 END) AS BIGINT) AS cnt FROM dir, range(1, 6) t(w) GROUP BY ALL""", upto="near"))(
+    lambda s, d: C.graph_edges_flat(_dir(s, d).groupBy(*P.KEY).agg(T.window_counts_text(F.map_from_entries(F.collect_list(F.struct(F.col("window").cast("int"), F.col("cnt").cast("int"))))).alias("c")).select(F.concat_ws("\t", *P.KEY, F.lit("ids"), F.lit("ids"), "c").alias("value")), 5).withColumns({"window": F.col("window").cast("bigint"), "cnt": F.col("cnt").cast("bigint")})
+)
+_query("affinity_lines", _comb_sql("SELECT CAST(max_dir AS DOUBLE) AS first, CAST(nf AS DOUBLE) AS whole, count(*) AS n FROM comb GROUP BY ALL"))(
+    lambda s, d: C.parse_affinities(C.format_affinities(_comb(s, d).select(*[F.struct(F.array(F.col("max_dir").cast("double"), F.lit(1.5)).alias("windows"), F.col("nf").cast("double").alias("combined")).alias(n) for n in ("und_first", "dir_first", "und_second", "dir_second")])))
+    .groupBy(F.col("dir_second.windows")[0].alias("first"), F.col("und_first.combined").alias("whole")).agg(F.count("*").alias("n"))
+)

@@ -182,3 +182,49 @@ def counts_of_text(text: Column) -> Column:
     pairs = F.filter(F.split(text, "_ESEP_"), lambda p: p.contains("_CSEP_"))
     entries = F.transform(pairs, lambda p: F.struct(F.split(p, "_CSEP_")[0].alias("key"), F.split(p, "_CSEP_")[1].try_cast("int").alias("value")))
     return _last_wins(F.filter(entries, lambda e: e["value"].isNotNull()))
+
+
+def map_sum(a: Column, b: Column) -> Column:
+    """Two maps of counts as one, with the sums of common keys."""
+    return F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+
+
+def map_sum_until(a: Column, b: Column, most: int) -> Column:
+    """The same while the first map has fewer than `most` keys; then it stays."""
+    return F.when(F.size(a) < most, map_sum(a, b)).otherwise(a)
+
+
+def bumped(counts: Column, key: Column, by: int = 1) -> Column:
+    """A map of counts with one key counted up."""
+    return map_sum(counts, F.create_map(key, F.lit(by)))
+
+
+def tuple_key(*parts: str) -> Column:
+    """The parts of a tuple, or of a pair, joined by TABs."""
+    return F.concat_ws("\t", *parts)
+
+
+def loose_key(*parts: str) -> Column:
+    """The parts without case and outer blanks, joined by commas."""
+    return F.concat_ws(",", *[F.lower(F.trim(F.col(p))) for p in parts])
+
+
+def in_order(a: str, b: str) -> Column:
+    """Two texts as (first, second) by their characters."""
+    return F.struct(F.least(a, b).alias("first"), F.greatest(a, b).alias("second"))
+
+
+def escape_html(text: Column) -> Column:
+    for c, by in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(c), F.lit(by))
+    return text
+
+
+def paired(a: Column, b: Column) -> Column:
+    """The elements of two arrays side by side; arrays of different sizes are an error."""
+    return F.when(F.size(a) == F.size(b), F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b")))).otherwise(F.raise_error(F.lit("arrays of different sizes")))
+
+
+def chunks(text: Column, size: int) -> Column:
+    """Blocks of `size` characters, the last one what is left (empty where nothing is)."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / size)), lambda i: F.substring(text, (i * size + 1).cast("int"), F.lit(size)))

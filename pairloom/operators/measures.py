@@ -10,13 +10,15 @@ from .pairs import KEY
 FLIP = dict(zip(KEY, KEY[3:] + KEY[:3], strict=True))
 
 
-def cumulative(directed: DataFrame, first: int, last: int) -> DataFrame:
-    """Pair, window in first..last, cnt of all windows up to it (those from `first` on).
+def cumulative(directed: DataFrame, first: int, last: int, beyond: bool = False) -> DataFrame:
+    """Pair, window in first..last, cnt of all windows up to it (those from `first` on); with `beyond`, counts of later
+    windows stay as they are.
 
     A pair's counts meet in one array of at most last + 1 places; no self-join."""
     wide = directed.groupBy(*KEY).agg(*[F.sum(F.when(F.col("window") == w, F.col("cnt")).otherwise(0)).alias(f"w{w}") for w in range(first, last + 1)])
     places = F.array(*[F.struct(F.lit(w).cast("bigint").alias("window"), sum((F.col(f"w{x}") for x in range(first, w + 1)), F.lit(0)).alias("cnt")) for w in range(first, last + 1)])
-    return wide.select(*KEY, F.explode(places).alias("e")).select(*KEY, "e.window", "e.cnt")
+    rows = wide.select(*KEY, F.explode(places).alias("e")).select(*KEY, "e.window", "e.cnt")
+    return rows.unionByName(directed.where(F.col("window") > last).select(*KEY, "window", "cnt")) if beyond else rows
 
 
 def frequency_filter(directed: DataFrame, window: int = 10, least: int = 3) -> DataFrame:
@@ -29,6 +31,17 @@ def frequency_filter(directed: DataFrame, window: int = 10, least: int = 3) -> D
     return clean.groupBy(*KEY).agg(F.greatest(top, raw).alias("top")).where(F.col("top") > least)
 
 
+def frequent(directed: DataFrame, window: int, least: int, inclusive: bool = False) -> DataFrame:
+    """The cumulated counts (windows below `window`, later ones as they are) of pairs of alphanumeric fields whose largest
+    one is above `least`, or reaches it."""
+    clean = directed
+    for c in KEY:
+        clean = clean.where(F.col(c).rlike("^[a-zA-Z0-9]+.*"))
+    rows = cumulative(clean, 0, window - 1, True)
+    top = rows.groupBy(*KEY).agg(F.max("cnt").alias("top")).where(F.col("top") >= least if inclusive else F.col("top") > least)
+    return rows.join(top.select(*KEY), KEY, "left_semi")
+
+
 def undirected(cumulated: DataFrame, least: int = 1) -> DataFrame:
     """Pair, window, dir, und: counts of the pair and of both orders; missing orders are made up.
 

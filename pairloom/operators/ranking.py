@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions import text as T
+from pairloom.session import stored
 
 from .measures import valid
 from .pairs import KEY
@@ -153,6 +154,11 @@ def top_relations(rec: DataFrame, k: int | None = 100) -> DataFrame:
     return ranked if k is None else ranked.limit(k)
 
 
+def page(df: DataFrame, order: list[str], k: int, start: int = 0) -> DataFrame:
+    """k rows from number `start` (from 0) on, in an order."""
+    return df.orderBy(*order).offset(start).limit(k)
+
+
 def records_matching(rec: DataFrame, arg: str, rel: str | None = None) -> DataFrame:
     """Records with an argument's head or type, and optionally a relation."""
     a = arg.lower()
@@ -222,8 +228,17 @@ def document_tuples(rec: DataFrame, docids: list, most_docs: int = 100) -> DataF
 # --- evaluation ------------------------------------------------------------------------
 
 
-def precision_recall(scored: DataFrame, group: list[str]) -> DataFrame:
-    """Points of the ranking by score (ties by item): recall and precision after every item."""
+def precision_recall(scored: DataFrame, group: list[str], block: int = 100_000) -> DataFrame:
+    """Points of the ranking by score (ties by item): recall and precision after every item.
+
+    Without a group the ranking is of all rows: they are numbered by ranges, and hits are summed by blocks of numbers."""
+    if not group:
+        ranked = stored(gapless(scored.select("item", "label", "score"), [-F.col("score"), F.col("item")], "at_"), "ranked").withColumn("block_", F.floor(F.col("at_") / block))
+        sums = ranked.groupBy("block_").agg(F.sum("label").alias("sum_"))  # one row a block
+        before = sums.select("block_", F.coalesce(F.sum("sum_").over(Window.orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"), F.sum("sum_").over(Window.partitionBy()).alias("all_"))
+        own = F.sum("label").over(Window.partitionBy("block_").orderBy("at_").rowsBetween(Window.unboundedPreceding, 0))
+        hits = F.col("before_") + F.col("own_")
+        return ranked.withColumn("own_", own).join(before, "block_").select("item", (F.col("at_") + 1).alias("n"), (hits / F.col("all_")).alias("recall"), (hits / (F.col("at_") + 1)).alias("precision"))
     w = Window.partitionBy(*group).orderBy(F.desc("score"), "item")
     n = F.row_number().over(w)
     hits = F.sum("label").over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -246,8 +261,10 @@ def error_modes(scored: DataFrame, k: int = 100) -> DataFrame:
 
 def confidence(rec: DataFrame) -> DataFrame:
     """Per tuple: median (sorted element n / 2), least, most and mean confidence of its records."""
-    s = F.array_sort(F.collect_list("confidence"))
-    return rec.groupBy("arg1", "rel", "arg2").agg(F.element_at(s, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("median"), F.min("confidence").alias("least"), F.max("confidence").alias("most"), F.avg("confidence").alias("mean"))
+    key = ["arg1", "rel", "arg2"]
+    ranked = rec.withColumn("n_", F.row_number().over(Window.partitionBy(*key).orderBy("confidence"))).withColumn("all_", F.count("*").over(Window.partitionBy(*key)))
+    median = F.max(F.when(F.col("n_") == F.floor(F.col("all_") / 2) + 1, F.col("confidence")))
+    return ranked.groupBy(*key).agg(median.alias("median"), F.min("confidence").alias("least"), F.max("confidence").alias("most"), F.avg("confidence").alias("mean"))
 
 
 def examples(rec: DataFrame, k: int = 5) -> DataFrame:
