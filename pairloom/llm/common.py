@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,11 +66,45 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: While an intermediate table is written: rows and bytes of the batches that Python workers get, which is what a task
+#: holds at once; and shuffle files go with the execution that made them, as the table takes their place.
+WRITING = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
+
+@contextlib.contextmanager
+def writing(spark: SparkSession):
+    before = {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def lean(run):
+    """A function over batches that gives freed memory back to the system when it ends: workers serve many stages."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return wrapped
+
+
 def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back: a cut in the lineage
     that outlives lost executors, and that two readers can use."""
     path = path or fresh_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with writing(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 from .tokens import MEMO, encoder
 
 #: A bin with so few places free is final.
@@ -123,7 +123,7 @@ def pack(docs: DataFrame, path: str, blanks_drop: bool, end_id: int, capacity: i
     end = struct.pack("<I", end_id)
 
     def first(batches):
-        enc, items = encoder(path, blanks_drop, 2 * MEMO), _Items(capacity)
+        enc, items = encoder(path, blanks_drop, 3 * MEMO // 2), _Items(capacity)
         for b in batches:
             owner, found = [], []
             for k, t in enumerate(b.column(1).to_pylist()):
@@ -149,7 +149,7 @@ def pack(docs: DataFrame, path: str, blanks_drop: bool, end_id: int, capacity: i
 
     spec = f"fill int, members array<{MEMBER}>"
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    level = written(rows.mapInArrow(first, spec), "pack")
+    level = written(rows.mapInArrow(lean(first), spec), "pack")
     done, parts, before, fill = [], max(1, level.rdd.getNumPartitions()), 0, F.col("fill")
     while True:
         total, least = level.agg(F.count("*"), F.min(F.when(fill < capacity - spare, fill))).first()
@@ -163,7 +163,7 @@ def pack(docs: DataFrame, path: str, blanks_drop: bool, end_id: int, capacity: i
         before, parts = n, max(1, parts // fan_in, -(-n // AT_ONCE), -(-members // MEMBERS_AT_ONCE))
         # Any deal will do, another one each round; by a hash of the first member, so that a retried task deals alike.
         first_one = F.xxhash64(F.element_at("members", 1)["doc_id"], F.element_at("members", 1)["piece"], F.element_at("members", 1)["ids_crc32"], F.lit(len(done)))
-        level = written(live.repartition(parts, first_one).mapInArrow(again, spec), "pack")
+        level = written(live.repartition(parts, first_one).mapInArrow(lean(again), spec), "pack")
 
     def placed(batches):
         for b in batches:
@@ -179,4 +179,4 @@ def pack(docs: DataFrame, path: str, blanks_drop: bool, end_id: int, capacity: i
     for d in done[1:]:
         bins = bins.unionByName(d)
     numbered = bins.select(F.monotonically_increasing_id().alias("sequence_id"), "members")
-    return numbered.mapInArrow(placed, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return numbered.mapInArrow(lean(placed), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

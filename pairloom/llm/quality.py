@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 
 SYMBOLS = "#*$%&|<>"
 #: Rule names, in the order of the digits of a pattern number.
@@ -163,7 +163,7 @@ def base_failed():
 def score(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, the five counts, base_failed, quality (posterior), kept."""
     spec = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", pattern int"
-    rows = written(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_features, spec), "quality")
+    rows = written(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lean(_features), spec), "quality")
     found = {r.pattern: r.n for r in rows.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # 3 ** rules rows at most
     posterior = docs.sparkSession.createDataFrame(sorted(fit(found).items()), "pattern int, quality double")
     return (
@@ -185,7 +185,7 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         for b in _features(pa.RecordBatch.from_arrays([b.column(0)] * 2, ["doc_id", "text"]) for b in batches):
             yield b.select(["pattern"])
 
-    found = docs.select(F.col("text").cast("string")).mapInArrow(pattern_only, "pattern int").groupBy("pattern").agg(F.count("*").alias("n")).collect()
+    found = docs.select(F.col("text").cast("string")).mapInArrow(lean(pattern_only), "pattern int").groupBy("pattern").agg(F.count("*").alias("n")).collect()
     posterior = fit({r.pattern: r.n for r in found})
 
     def keep(batches):
@@ -197,4 +197,4 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
                 mask.append(not failed and posterior.get(pattern_of(votes_of(t, c)), 0.0) >= threshold)
             yield b.filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

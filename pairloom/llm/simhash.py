@@ -8,39 +8,26 @@ are skipped. Large tiles are split evenly. A pair of tiles emits a spanning
 forest of the links it finds, never all pairs of a group, and connected
 components join the forests.
 
-`near_duplicates` serves stages that ask for a similarity of word shingles
-instead of a radius, and loses no pair: candidates come from tiles of parity maps
-within bands of nearly equal shingle counts (a similarity of 0.8 needs counts
-within a factor of 0.8). Bit i of a document's map is the parity of its number of
-shingles that hash to i, so two maps differ in at most as many bits as their sets
-have shingles that only one of them holds, which a similarity bounds by
-(1 - s) / (1 + s) of both counts together. A map has as many bits as the document
-has shingles or more, whence few other pairs come that close. Inside each group of
-candidates tiles are compared again with the exact Jaccard similarity of the
-shingle sets, pair by pair, unless the pair is connected by links found already.
+Stages that ask for a similarity of word shingles instead: see `near_duplicates`.
 
 Cost: comparing is quadratic in the documents of a band or of neighbouring
 tiles; see the README for figures.
 
 Defined results: a null text counts as an empty one; texts without words have
-fingerprint zero (and are equal to each other in `near_duplicates`); fewer words
-than a shingle make one shingle; null doc_ids are last when the smallest is
+fingerprint zero; fewer words than a shingle make one shingle; null doc_ids are last when the smallest is
 chosen; repeated rows share a component; an empty table gives an empty result;
 extra columns do not take part.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keyed_order, written
+from .common import components, written
 
 TILE = 2048
 
@@ -138,14 +125,18 @@ def links(fps: DataFrame, radius: int, parts: int = 4, tile: int = TILE) -> Data
 
     fps: column fp, distinct. Returns (a, b)."""
     keyed = fps.select("fp", F.array(*_part_counts(F.col("fp"), parts)).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))  # at most (64 / parts + 1) ** parts rows
-    split = keyed.join(sizes, "key").withColumn("slot", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / tile)))
-    tiles = written(split.groupBy("key", "slot").agg(F.collect_list("fp").alias("fps")), "tiles")
+    sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / tile).alias("slots"))  # at most (64 / parts + 1) ** parts rows
+    split = keyed.join(sizes, "key").withColumn("slot", F.pmod(F.xxhash64("fp"), F.col("slots")))
+    tiles = written(split.groupBy("key", "slot").agg(F.collect_list("fp").alias("fps"), F.first("slots").alias("slots")), "tiles")
+    # Which tiles meet is settled without their contents: a key within the radius, and each slot of it.
     shifts = F.array(*[F.array(*[F.lit(d) for d in o]) for o in _offsets(parts, radius)])
-    left = tiles.select(F.col("key").alias("own"), F.col("slot").alias("own_slot"), F.col("fps").alias("left"), F.explode(shifts).alias("shift"))
-    left = left.withColumn("key", F.zip_with("own", "shift", lambda x, y: x + y)).drop("shift")
-    met = left.join(tiles, "key").where((F.col("own") != F.col("key")) | (F.col("own_slot") <= F.col("slot")))
-    met = met.select("left", F.col("fps").alias("right"), ((F.col("own") == F.col("key")) & (F.col("own_slot") == F.col("slot"))).alias("same"))
+    plan = tiles.select(F.col("key").alias("own"), F.col("slot").alias("own_slot"), F.explode(shifts).alias("shift"))
+    plan = plan.select("own", "own_slot", F.zip_with("own", "shift", lambda x, y: x + y).alias("key")).join(tiles.groupBy("key").agg(F.first("slots").alias("slots")), "key")
+    same_key = F.col("own") == F.col("key")
+    plan = plan.withColumn("slot", F.explode(F.sequence(F.when(same_key, F.col("own_slot")).otherwise(0), F.col("slots") - 1)))
+    left = tiles.select(F.col("key").alias("own"), F.col("slot").alias("own_slot"), F.col("fps").alias("left"))
+    met = plan.drop("slots").join(left, ["own", "own_slot"]).join(tiles.drop("slots"), ["key", "slot"])
+    met = met.select("left", F.col("fps").alias("right"), (same_key & (F.col("own_slot") == F.col("slot"))).alias("same"))
 
     def run(batches):
         for batch in batches:
@@ -174,169 +165,3 @@ def cluster(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of = named.join(lows, "root").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-# --- stages that ask for a similarity of shingles -------------------------------------------
-
-
-def parity_map(h: np.ndarray) -> bytes:
-    """Parities of the counts of distinct hashes by their low bits; a power of two of 64-bit words, two or more."""
-    words = max(2, 1 << (-(-len(h) // 64) - 1).bit_length()) if len(h) else 2
-    odd = np.bincount((h & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
-
-
-def _maps(*sides: list[bytes]) -> list[np.ndarray]:
-    """Maps as rows of words, folded to the shortest of all: halves of a map combine by exclusive-or."""
-    words = min(len(m) for side in sides for m in side) // 8
-    return [np.array([np.bitwise_xor.reduce(np.frombuffer(m, "<u8").reshape(-1, words), axis=0) for m in side]) for side in sides]
-
-
-def _most(na, nb, similarity: float):
-    """Shingles that only one of two similar sets can hold, at most."""
-    return np.floor((1 - similarity) / (1 + similarity) * (na + nb) + 1e-9)
-
-
-def _similar(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, similarity: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs whose counts and maps allow the similarity; of a tile with itself, each pair once."""
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    rows, cols = np.argsort(na, kind="stable"), np.argsort(nb, kind="stable")
-    ra, rb, wa, wb = na[rows], nb[cols], np.ascontiguousarray(a[rows].T), np.ascontiguousarray(b[cols].T)
-    half = (len(wa) + 1) // 2
-    for at in range(0, len(rows), 32):
-        x = slice(at, min(at + 32, len(rows)))
-        lo, hi = np.searchsorted(rb, similarity * ra[x][0] - 1e-6), np.searchsorted(rb, ra[x][-1] / similarity + 1e-6, "right")
-        if lo >= hi:
-            continue
-        bound = int(_most(ra[x][-1], rb[hi - 1], similarity))
-        d = np.bitwise_count(wa[0, x, None] ^ wb[0, None, lo:hi]).astype(np.uint32 if len(wa) > 1000 else np.uint16)
-        for w in range(1, half):
-            d += np.bitwise_count(wa[w, x, None] ^ wb[w, None, lo:hi])
-        # Pairs too far apart by half of the words already are settled.
-        i, j = np.nonzero(d <= bound)
-        d = d[i, j].astype(np.int64)
-        i, j = i + at, j + lo
-        for w in range(half, len(wa)):
-            d += np.bitwise_count(wa[w, i] ^ wb[w, j])
-        small, large = np.minimum(ra[i], rb[j]), np.maximum(ra[i], rb[j])
-        fit = (d <= _most(small, large, similarity)) & (small >= similarity * large)
-        i, j = rows[i[fit]], cols[j[fit]]
-        left.append(i[i < j] if same else i)
-        right.append(j[i < j] if same else j)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _sketch(batches, width: int):
-    for b in batches:
-        node, n, maps = [], [], []
-        for t in b.column(2).to_pylist():
-            h = np.unique(shingle_hashes(t, width))
-            line = b" ".join((t or "").encode().lower().split())
-            node.append(hashlib.blake2b(line, digest_size=16).hexdigest())
-            n.append(len(h))
-            maps.append(parity_map(h))
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(node), pa.array(n, pa.int64()), pa.array(maps, pa.binary())],
-            ["doc_id", "text_hash", "node", "n", "map"],
-        )
-
-
-def _tiles(rows: DataFrame, group: str, columns: list[str], tile: int, heavy: str, most: int) -> DataFrame:
-    """Rows of a group in tiles of about `tile` rows, or fewer where the bytes of column `heavy` exceed `most`: group, slot, and a list of rows."""
-    sizes = rows.groupBy(group).agg(F.ceil(F.greatest(F.count("*") / tile, F.sum(heavy) / most)).alias("group_slots"))
-    split = rows.join(sizes, group).withColumn("slot", F.pmod(F.xxhash64("node"), F.col("group_slots")))
-    return split.groupBy(group, "slot").agg(F.collect_list(F.struct(*columns)).alias("rows"), F.first("group_slots").alias("slots"))
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
-    """Groups of documents linked by a Jaccard similarity of their shingle sets.
-
-    Returns doc_id, text_hash (xxhash64 of the text), node (hash of the words),
-    root (the smallest node of the group)."""
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"), F.col("text").cast("string"))
-    spec = "doc_id bigint, text_hash bigint, node string, n bigint, map binary"
-    rows = written(texts.mapInArrow(lambda it: _sketch(it, width), spec), "near")
-    # One representative for texts of equal words.
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min(keyed_order("doc_id", "text_hash")).alias("least"), F.first("n").alias("n"), F.first("map").alias("map"))
-    step = -math.log(similarity)
-    banded = nodes.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int"))
-    banded = banded.withColumn("bytes", F.octet_length("map"))
-    tiles = written(_tiles(banded, "band", ["node", "n", "map"], tile, "bytes", 4 << 20), "near-tiles")
-    bands = tiles.groupBy("band").agg(F.max("slots").alias("others"))
-    # A tile meets the tiles of its own band and of the next one.
-    ahead = tiles.withColumn("to", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    ahead = ahead.join(bands.withColumnRenamed("band", "to"), "to")
-    ahead = ahead.withColumn("to_slot", F.explode(F.sequence(F.when(F.col("to") == F.col("band"), F.col("slot")).otherwise(0), F.col("others") - 1)))
-    other = tiles.select(F.col("band").alias("to"), F.col("slot").alias("to_slot"), F.col("rows").alias("right"))
-    met = ahead.join(other, ["to", "to_slot"]).select(F.col("rows").alias("left"), "right", ((F.col("to") == F.col("band")) & (F.col("to_slot") == F.col("slot"))).alias("same"))
-
-    def candidates(batches):
-        for batch in batches:
-            out_a, out_b = [], []
-            for k in range(batch.num_rows):
-                a, b = batch.column(0)[k].values, batch.column(1)[k].values
-                same = batch.column(2)[k].as_py()
-                na, nb = a.field("n").to_numpy(), b.field("n").to_numpy()
-                ma, mb = _maps(a.field("map").to_pylist(), b.field("map").to_pylist())
-                i, j = _similar(ma, mb, na, nb, similarity, same)
-                f = Forest(len(a) + len(b))
-                for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                    if f.join(x, y if same else len(a) + y):
-                        out_a.append(a.field("node")[x].as_py())
-                        out_b.append(b.field("node")[y].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.string()), pa.array(out_b, pa.string())], ["a", "b"])
-
-    groups = written(components(met.mapInArrow(candidates, "a string, b string"), "near-cc").withColumnRenamed("root", "candidate_group"), "near-groups")
-
-    # Exact verification inside each group of candidates.
-    wanted = groups.join(nodes.select("node", "least", "n", "map"), "node").select("candidate_group", "node", "n", "map", F.col("least.doc_id").alias("least_id"), F.col("least.text_hash").alias("least_hash"))
-    found = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.least_id) & (texts.text_hash == wanted.least_hash)).select("candidate_group", "node", "n", "map", "text")
-
-    def with_shingles(batches):
-        for b in batches:
-            sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets, pa.list_(pa.int64()))], ["candidate_group", "node", "n", "map", "shingles"])
-
-    sets = found.mapInArrow(with_shingles, "candidate_group string, node string, n bigint, map binary, shingles array<bigint>").withColumn("bytes", 8 * F.col("n"))
-    small = written(_tiles(sets, "candidate_group", ["node", "n", "map", "shingles"], 256, "bytes", 4 << 20), "near-verify")
-    this = small.withColumn("to_slot", F.explode(F.sequence(F.col("slot"), F.col("slots") - 1)))
-    that = small.select("candidate_group", F.col("slot").alias("to_slot"), F.col("rows").alias("right"))
-    pairs = this.join(that, ["candidate_group", "to_slot"]).select(F.col("rows").alias("left"), "right", (F.col("slot") == F.col("to_slot")).alias("same"))
-
-    def verified(batches):
-        for batch in batches:
-            out_a, out_b = [], []
-            for k in range(batch.num_rows):
-                a, b = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                same = batch.column(2)[k].as_py()
-                both = a if same else a + b
-                sets = [frozenset(x["shingles"]) for x in both]
-                n = np.array([len(x) for x in sets])
-                ma, mb = _maps([x["map"] for x in a], [x["map"] for x in (a if same else b)])
-                f = Forest(len(both))
-                for i, j in zip(*(k.tolist() for k in _similar(ma, mb, n[: len(a)], n[-len(mb) :], similarity, same)), strict=True):
-                    j = j if same else len(a) + j
-                    x, y = sets[i], sets[j]
-                    if f.find(i) != f.find(j):
-                        inter = len(x & y)
-                        if inter >= similarity * (len(x) + len(y) - inter):
-                            f.join(i, j)
-                            out_a.append(both[i]["node"])
-                            out_b.append(both[j]["node"])
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.string()), pa.array(out_b, pa.string())], ["a", "b"])
-
-    roots = components(pairs.mapInArrow(verified, "a string, b string"), "near-links").withColumnRenamed("node", "in_group")
-    return rows.join(roots, rows.node == roots.in_group, "left").select("doc_id", "text_hash", "node", F.coalesce("root", "node").alias("root"))
-
-
-def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, columns unchanged."""
-    rows = written(near_duplicates(docs, width, similarity), "near-rows")
-    first = rows.groupBy("root").agg(F.min(keyed_order("doc_id", "text_hash")).alias("k"))
-    chosen = first.select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
-    hashed = docs.withColumn("text_hash_of_row", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = hashed.join(chosen, hashed["doc_id"].eqNullSafe(chosen.kept_id) & (hashed.text_hash_of_row == chosen.kept_hash), "left_semi")
-    repeated = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times")).where("times > 1").limit(1).count()
-    if repeated:  # equal rows of one id and one text: keep one of them
-        kept = kept.dropDuplicates(["doc_id", "text_hash_of_row"])
-    return kept.drop("text_hash_of_row")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.llm import common, decontaminate, packing, pii, quality, sharding, simhash, suffix_dedup, token_counts, token_files, tokens, toxicity
+from pairloom.llm import common, decontaminate, near_duplicates, packing, pii, quality, sharding, simhash, suffix_dedup, token_counts, token_files, tokens, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD, BYTE = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
@@ -79,10 +79,44 @@ def test_near_dedup_keeps_one(spark, odd, none):
     words = [f"w{i}" for i in range(200)]
     near = words[:100] + ["other"] + words[101:]
     df = spark.createDataFrame([(10, " ".join(words)), (11, " ".join(near)), (12, " ".join(words[:60])), (13, " ".join(words))], "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == [10, 12]
-    kept = simhash.keep_first(odd)  # PROSE with two or three more words still shares 17 of 20 shingles
+    assert sorted(r.doc_id for r in near_duplicates.keep_first(df).collect()) == [10, 12]
+    kept = near_duplicates.keep_first(odd)  # PROSE with two or three more words still shares 17 of 20 shingles
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 5, 6, 7]
-    assert simhash.keep_first(none).count() == 0
+    assert near_duplicates.keep_first(none).count() == 0
+
+
+def test_near_dedup_passes_columns_and_finds_chains(spark):
+    """Chains of edits, a family of many near copies, passages shared by texts that are not similar, equal rows."""
+    rng = np.random.default_rng(11)
+    word = lambda: "w" + str(rng.integers(0, 1 << 40))
+    docs, shared = [], [word() for _ in range(30)]
+    base = [word() for _ in range(120)]
+    for k in range(60):  # each one edit further than the one before
+        base = [*base]
+        base[rng.integers(0, 120)] = word()
+        docs.append(" ".join(base))
+    family = [word() for _ in range(200)]
+    for k in range(150):
+        own = [*family]
+        for _ in range(1 + k % 4):
+            own[rng.integers(0, 200)] = word()
+        docs.append(" ".join(own))
+    docs += [" ".join([*shared, *(word() for _ in range(int(n)))]) for n in rng.integers(1, 60, 120)] + [docs[3]] * 3 + ["", " ", "one two", "two one", "a b c d e f g h"]
+    df = spark.createDataFrame([(i % 330, t, i, "x") for i, t in enumerate(docs)], "doc_id long, text string, text_hash_of_row int, root string").repartition(7)
+    got = near_duplicates.keep_first(df)
+    assert got.columns == df.columns
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.split()) else set() for t in docs]
+    forest = simhash.Forest(len(docs))
+    for i, j in itertools.combinations(range(len(docs)), 2):
+        if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            forest.join(i, j)
+    groups = {}
+    for i in range(len(docs)):
+        groups.setdefault(forest.find(i), set()).add((i % 330, docs[i]))
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(kept) == len(groups)
+    for g in groups.values():
+        assert sum(k in g for k in kept) == 1 and min(d for d, _ in g) in {d for d, t in kept if (d, t) in g}
 
 
 def test_near_dedup_loses_no_pair():
@@ -92,8 +126,8 @@ def test_near_dedup_loses_no_pair():
         for _ in range(4000 if common_part < 100 else 50):
             h = np.unique(rng.integers(0, 1 << 63, common_part + own_a + own_b, dtype=np.uint64))
             a, b = h[: common_part + own_a], np.append(h[:common_part], h[common_part + own_a :])
-            ma, mb = simhash._maps([simhash.parity_map(a)], [simhash.parity_map(b)])
-            assert len(simhash._similar(ma, mb, np.array([len(a)]), np.array([len(b)]), 0.8, False)[0]) == 1
+            ma, mb = near_duplicates._maps([near_duplicates.parity_map(a)], [near_duplicates.parity_map(b)])
+            assert len(near_duplicates._similar(ma, mb, np.array([len(a)]), np.array([len(b)]), 0.8, False)[0]) == 1
 
 
 def test_near_dedup_joins_a_pair_of_distant_fingerprints(spark):
@@ -109,7 +143,7 @@ def test_near_dedup_joins_a_pair_of_distant_fingerprints(spark):
             break
     assert (len(ha), len(hb)) == (15, 12)
     df = spark.createDataFrame([(1, a), (2, b), (3, "some other text of a few more words than five")], "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == [1, 3]
+    assert sorted(r.doc_id for r in near_duplicates.keep_first(df).collect()) == [1, 3]
 
 
 def test_shards(spark, odd, none):
@@ -121,6 +155,35 @@ def test_shards(spark, odd, none):
     assert sorted(r.text_crc32 for r in got) == sorted(zlib.crc32((t or "").encode()) for _, t in ODD)
 
 
+def jump_by_definition(key, shards):
+    """Lamping and Veach's loop, one key at a time."""
+    b, j = -1, 0
+    while j < shards:
+        b = j
+        key = (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * (2**31 / ((key >> 33) + 1)))
+    return b
+
+
+def test_shards_row_by_row(spark):
+    """Every row of a table with 10,000 rows of one id, with nulls and repeated rows, in many buckets."""
+    rows = [(5, f"text {i % 4000} é") for i in range(10_000)] + [(None, None)] * 300 + [(i, None if i % 7 == 0 else "y" * (i % 50)) for i in range(100, 1100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    written = sharding.write_shards(df, common.fresh_path(spark, "test-shards"), 5, 7, 20_000)
+    got = sharding.digest(written).collect()
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == sorted((str(d), 8 + len((t or "").encode()), zlib.crc32((t or "").encode())) for d, t in rows)
+    keys = {r.doc_id: r.k for r in df.select("doc_id", F.xxhash64(F.lit(7), F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00"))).alias("k")).distinct().collect()}
+    for r in got:
+        k = keys[r.doc_id] % 2**64
+        assert (r.law, r.shard, r.grown_shard) == ("key", jump_by_definition(k, 5), jump_by_definition(k, 6))
+    for k in range(5):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+    again = sharding.digest(sharding.write_shards(df.repartition(7), common.fresh_path(spark, "test-shards"), 5, 7, 20_000)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))  # neither rows' places nor partitions take part
+    by_slot = [r.doc_id or 0 for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert by_slot != sorted(by_slot) and by_slot[:50] != [r.doc_id or 0 for r in sorted(got, key=lambda r: (r.shard, r.doc_id or 0))][:50]
+
+
 def test_toxicity_learns_subwords(spark, odd):
     texts = [PROSE + f" you idiot {i}" for i in range(30)] + [PROSE + f" thank you {i}" for i in range(30)]
     model = toxicity.train(texts, [1] * 30 + [0] * 30, least=3)
@@ -217,6 +280,23 @@ def test_packing(spark, odd, none):
     assert packing.pack(none, BYTE, False, 2).count() == 0
 
 
+def test_packing_stops_where_rounds_do_not_help(spark, monkeypatch):
+    """20,000 items over half a sequence: no round brings all bins to one task."""
+    monkeypatch.setattr(packing, "AT_ONCE", 2000)
+    word = packing.pack(spark.range(1).selectExpr("1L as doc_id", "'a' as text"), BYTE, False, 2).first().length - 1
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.expr(f"repeat('a ', cast({600 // word} + id % 3 as int))").alias("text"))
+    rows = packing.pack(docs, BYTE, False, 2)
+    assert rows.select("sequence_id").distinct().count() == rows.count() == 20_000
+
+
+def test_packing_of_tiny_and_huge(spark):
+    """Bins of very many members; every round keeps all pieces, with gapless offsets."""
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.expr("CASE WHEN id % 500 = 0 THEN repeat('word ', 3000) WHEN id % 3 = 0 THEN '' ELSE repeat('b ', cast(id % 90 as int)) END").alias("text"))
+    got = packing.pack(docs.repartition(40), BYTE, False, 2).toPandas().sort_values(["sequence_id", "offset"])
+    assert (got.groupby("sequence_id").length.cumsum() - got.length == got.offset).all() and got.groupby("sequence_id").length.sum().max() <= 1024
+    assert got.doc_id.nunique() == 5000 and got.sequence_id.nunique() <= -(-got.length.sum() // 1024) + 4
+
+
 def test_pii(spark, odd, none):
     text = "Call +1 (017) 555-7713 or 017-555-7713, mail A.b@mail7.example.com and a.b@mail7.example.com, 10.2.3.4, 4111 1111 1111 1111. Mrs. Anna Smith and Mr Smith."
     out = pii.redact(spark.createDataFrame([(1, text, 0)], "doc_id long, text string, sur int"), count_column="n").first()
@@ -261,6 +341,59 @@ def test_pii_of_other_shapes(spark):
     assert m and m[1] == m[2] != "Smith" and m[3] == m[5] != "Anna" and m[4] == m[6] != "Jones" and got[100].n == 5
 
 
+def test_pii_keeps_countries_apart(spark):
+    docs = [(1, "+1 212 555 0199"), (2, "+44 212 555 0199"), (3, "0212 555 0199"), (4, "212-555-0199"), (5, "0044 2125550199")]
+    out = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    digits = {d: re.sub(r"\D", "", t)[-10:] for d, t in out.items()}
+    assert digits[1] == digits[4] != digits[2] == digits[5] and digits[3] == digits[1] and out[1].startswith("+1 ") and out[2].startswith("+44 ")
+    assert "212" not in digits[1][:3] and len(set(digits.values())) == 2
+
+
+def test_pii_names_and_scripts(spark):
+    text = "Mr. John Smith came. Smith left; John Smith said so. Dr. Alice Brown met Prof. Otto and Mr O'Neil-Jones; Brown left. г-жа Анна Иванова и г-н Иванов. Mme Curie."
+    out = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string"), "key", "n").first()
+    for gone in ("John", "Smith", "Alice", "Brown", "Otto", "Neil", "Jones", "Анна", "Иванов", "Curie"):
+        assert gone not in out.text, (gone, out.text)
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) came\. (\w+) left; (\w+) (\w+) said so\. Dr\. (\w+) (\w+) met Prof\. (\w+) and Mr (\w+); (\w+) left\. г-жа (\w+) (\w+) и г-н (\w+)\. Mme (\w+)\.", out.text)
+    assert m and m[1] == m[4] and m[2] == m[3] == m[5] and m[7] == m[10] and out.n == 11  # 7 titled ones, and 4 words
+    assert m[1].endswith("n") and m[6].endswith("l") and re.fullmatch("[А-Я][а-я]+на", m[11])  # given names go by gender
+    assert re.fullmatch("[А-Яа-я]+", m[12] + m[13]) and re.fullmatch("[A-Za-z]+", m[9])
+
+
+def test_pii_checks_and_secrets(spark):
+    iban, bad = "DE89 3704 0044 0532 0130 00", "DE88 3704 0044 0532 0130 00"
+    secret = "sk-abcdefghijklmnop1234"
+    docs = [(1, f"pay to {iban} now"), (2, f"pay to {bad} now"), (3, f"key {secret} and {'0123456789abcdef' * 4} end"), (4, "GB29NWBK60161331926819 is mine")]
+    out = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+
+    def rest(text):
+        raw = text.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in raw[4:] + raw[:4])) % 97
+
+    new = out[1][7:-4]
+    assert rest(iban) == 1 == rest(new) and new != iban and new[:2] == "DE" and [i for i, c in enumerate(new) if c == " "] == [i for i, c in enumerate(iban) if c == " "]
+    assert out[2] != docs[1][1] and rest(out[4][:-8]) == 1 and out[4][:2] == "GB"
+    assert secret not in out[3] and re.fullmatch(r"key sk-\w{21} and [0-9a-f]{64} end|key sk-\w+ and [0-9a-f]{64} end", out[3])
+
+
+def test_pii_leaves_clashing_columns_alone(spark):
+    names = ("entity_spans", "moved_surrogates", "lookup_id", "lookup_hash", "name_words", "entity_gaps", "kind", "canon", "text_hash", "row")
+    rows = [(i, f"{chr(97 + i % 26)}@{chr(97 + i // 26)}.com wrote to Mr Smith {i}", *range(len(names))) for i in range(676)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = pii.redact(df)
+    assert got.columns == df.columns
+    for r in got.collect():
+        assert tuple(r)[2:] == tuple(range(len(names))) and "Smith" not in r.text
+    assert got.select("text").distinct().count() == 676
+
+
+def test_pii_key_is_needed_to_draw_again(spark):
+    df = spark.createDataFrame([(1, "mail a.b@example.com")], "doc_id long, text string")
+    one, same, other = (pii.redact(df, k).first().text for k in ("k1", "k1", "k2"))
+    assert one == same != other and pii.redact(df).first().text not in (one, other)
+    spark.conf.unset("pairloom.pii.key")
+
+
 def test_pii_redraws_end_where_surrogates_are_fewer_than_entities(spark):
     """676 surrogates of the shape a@b.com and 10,000 of four digits at attempt 0, for more entities than that."""
     mails = spark.range(676).select(F.lit("email").alias("kind"), F.expr("concat(chr(97 + id div 26), '@', chr(97 + id % 26), '.com')").alias("canon"))
