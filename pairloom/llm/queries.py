@@ -73,4 +73,4 @@ QUERIES = {
         op10_best_fit_packing,
     )
 }
-SQL: dict[str, str] = {"op9_benchmark_decontamination": decontaminate.LEAKS_SQL}
+SQL: dict[str, str] = {"op5_suffix_array_dedup": suffix_dedup.SQL, "op9_benchmark_decontamination": decontaminate.LEAKS_SQL}

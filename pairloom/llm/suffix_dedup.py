@@ -34,7 +34,6 @@ gives an empty result; extra columns do not take part.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import os
 import tempfile
@@ -359,12 +358,6 @@ def _settle_by_content(heads: DataFrame, length: int, gram: int) -> DataFrame:
 # --- the operator --------------------------------------------------------------------------
 
 
-def _settle(spark) -> None:
-    """Let Spark delete shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def covered_ranges(firsts: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """d, s, lo, hi: covered byte ranges of the texts in `firsts` (d, s, text)."""
     spark = firsts.sparkSession
@@ -381,7 +374,6 @@ def covered_ranges(firsts: DataFrame, length: int = LENGTH, gram: int = GRAM, sh
     counts = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     mine = written(anchors.join(counts, "h", "left_semi").groupBy("d", "s").agg(F.collect_set("h").alias("hs")), "repeated")
     erase(anchors)
-    _settle(spark)
 
     def fragments(batches):
         for b in batches:
@@ -400,14 +392,11 @@ def covered_ranges(firsts: DataFrame, length: int = LENGTH, gram: int = GRAM, sh
     spec = "h bigint, name binary, d bigint, s bigint, lo bigint, hi bigint"
     every = written(long.join(mine, ["d", "s"]).select("d", "s", "text", "hs").mapInArrow(fragments, spec), "fragments")
     erase(mine)
-    _settle(spark)
     distinct = written(every.groupBy("h", "name").agg(F.min(F.struct("d", "s", "lo", "hi")).alias("at"), F.count("*").alias("n")), "distinct")
-    _settle(spark)
     # Equal fragments: all but the first occurrence are covered whole.
     later = every.join(distinct.where("n > 1").select("h", "name", "at"), ["h", "name"]).where(F.struct("d", "s", "lo", "hi") > F.col("at"))
     later = written(later.select("d", "s", "lo", "hi"), "later")
     erase(every)
-    _settle(spark)
     # Different fragments of one anchor: suffix sorting. Their bytes come from the texts again.
     several = distinct.groupBy("h").agg(F.count("*").alias("forms"), (F.sum(F.col("at.hi") - F.col("at.lo")) > shard).alias("hot")).where("forms > 1").select("h", "hot")
     sliced = distinct.join(several, "h").select("h", "at.*", "hot")
@@ -451,11 +440,9 @@ def covered_ranges(firsts: DataFrame, length: int = LENGTH, gram: int = GRAM, sh
 
     sorted_heads = heads(False).repartition(parts, "h").sortWithinPartitions("h")
     by_suffix = written(sorted_heads.mapInArrow(sort_shards, "d bigint, s bigint, lo bigint, hi bigint"), "by-suffix")
-    _settle(spark)
     if sliced.where(F.exists("slices", lambda x: x["hot"])).limit(1).count():
         by_suffix = by_suffix.unionByName(_settle_by_content(heads(True), length, gram))
     erase(sliced)
-    _settle(spark)
     return later.unionByName(by_suffix)
 
 
@@ -471,7 +458,6 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; one row for each row of docs."""
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
     sha = F.sha2(F.col("text").cast("binary"), 256)
@@ -486,7 +472,6 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard:
     if meta.where("times > 1").limit(1).count():
         firsts = firsts.dropDuplicates(["d", "sha"])
     firsts = written(firsts, "firsts")
-    _settle(spark)
     ranges = covered_ranges(firsts, length, gram, shard)
     per_doc = ranges.groupBy("d", "s").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
@@ -519,3 +504,17 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard:
         F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
         F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"),
     ).drop("copy")
+
+
+#: DuckDB SQL of the same over whole texts, by windows as they are: documents have ids of their own.
+SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substring(h, 2 * i + 1, {2 * LENGTH}) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS i FROM d)),
+c AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS turn FROM w) WHERE turn > 1),
+s AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS fresh FROM c)),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + {LENGTH} AS b FROM s GROUP BY doc_id, run),
+p AS (SELECT r.doc_id, a, b, substring(h, CAST(2 * coalesce(lag(b) OVER o, 0) + 1 AS BIGINT), CAST(2 * (a - coalesce(lag(b) OVER o, 0)) AS BIGINT)) AS piece FROM r JOIN d USING (doc_id) WINDOW o AS (PARTITION BY r.doc_id ORDER BY a)),
+g AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS b, string_agg(piece, '' ORDER BY a) AS pieces FROM p GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(pieces, '') || substring(h, CAST(2 * coalesce(b, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
