@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from .common import fresh_path, writing, written
 
 #: Bytes of text in a bucket of pass 2.
 BUCKET_BYTES = 24 << 20
@@ -126,7 +126,8 @@ def write_shards(docs: DataFrame, path: str, shards: int = 24, seed: int = 7, bu
 
     spec = "doc_id bigint, text string, grown_shard int, slot bigint, shard int"
     fixed = based.sortWithinPartitions("shard", "bucket", "doc_id", "text").select("doc_id", "text", "shard", "grown_shard", "bucket", "base")
-    fixed.mapInArrow(shuffled, spec).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    with writing(spark):
+        fixed.mapInArrow(shuffled, spec).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return spark.read.schema(spec).parquet(path)
 
 
