@@ -76,9 +76,10 @@ WRITING = {
 
 
 @contextlib.contextmanager
-def writing(spark: SparkSession):
+def writing(spark: SparkSession, rows: int | None = None):
+    """The settings of WRITING for a while; `rows` a batch for tables of small rows."""
     before = {k: spark.conf.get(k) for k in WRITING}
-    for k, v in WRITING.items():
+    for k, v in (WRITING | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)} if rows else {})).items():
         spark.conf.set(k, v)
     try:
         yield
@@ -99,11 +100,11 @@ def lean(run):
     return wrapped
 
 
-def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+def written(df: DataFrame, label: str, path: str | None = None, rows: int | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back: a cut in the lineage
     that outlives lost executors, and that two readers can use."""
     path = path or fresh_path(df.sparkSession, label)
-    with writing(df.sparkSession):
+    with writing(df.sparkSession, rows):
         df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

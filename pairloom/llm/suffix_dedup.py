@@ -43,7 +43,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import erase, written
+from .common import erase
+from .common import written as written_in_batches
 
 LENGTH = 100
 GRAM = 32
@@ -325,6 +326,11 @@ def halves(frag: bytes, length: int = LENGTH, gram: int = GRAM) -> list[tuple[by
     return out
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Tables here have small rows: larger batches."""
+    return written_in_batches(df, label, rows=10_000)
+
+
 def _settle_by_content(heads: DataFrame, length: int, gram: int) -> DataFrame:
     """d, s, lo, hi: covered ranges of the fragments in heads (h, d, s, lo, frag), without a group in memory."""
 
