@@ -214,4 +214,4 @@ def test_op6_op7_op10(spark, tables, texts):
             assert r.offset == at
             at += r.length
         assert at <= 1024
-    assert len(bins) <= 1.02 * -(-sum(r.length for r in rows) // 1024) + 1
+    assert len(bins) <= -(-sum(r.length for r in rows) // 1024) + 5 + 1  # each of the five small partitions may leave a bin underfull, and the tree one
