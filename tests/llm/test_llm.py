@@ -343,7 +343,7 @@ def test_pii_of_other_shapes(spark):
 
 def test_pii_keeps_countries_apart(spark):
     docs = [(1, "+1 212 555 0199"), (2, "+44 212 555 0199"), (3, "0212 555 0199"), (4, "212-555-0199"), (5, "0044 2125550199")]
-    out = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    out = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(docs, "doc_id long, text string"), "key").collect()}
     digits = {d: re.sub(r"\D", "", t)[-10:] for d, t in out.items()}
     assert digits[1] == digits[4] != digits[2] == digits[5] and digits[3] == digits[1] and out[1].startswith("+1 ") and out[2].startswith("+44 ")
     assert "212" not in digits[1][:3] and len(set(digits.values())) == 2
