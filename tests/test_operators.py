@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 import re
 
 import duckdb
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairloom import catalog
 from pairloom.functions import text as T
+from pairloom.operators import counting as N
 from pairloom.operators import extraction as X
 from pairloom.operators import measures as M
 from pairloom.operators import pairs as P
@@ -314,3 +316,27 @@ def test_index_reaches_the_files(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(fr,fr3)" in plan and "EqualTo(s1,s13)" in plan
     assert sorted(r.nf for r in got.collect()) == [i for i in range(5, 2000) if i % 9 == 3]
+
+
+def _random_records(spark, n=400, docs=3):
+    rng = random.Random(5)
+    pick = lambda *xs: rng.choice(xs)
+    rows = [(f"d{rng.randrange(docs)}", rng.randrange(n // 8), rng.randrange(3), k, "s on", pick("Ann", "Bob", "ann", None), pick([], ["Type:a"], ["Type:a", "Type:b"]), pick("met", "sat on"), pick("Eve", "May"), pick([], ["Type:time_unit", "Type:number"], ["Type:number"])) for k in range(n)]
+    return P.numbered(spark.createDataFrame(rows, REC))
+
+
+def test_counts_by_kind_are_those_of_nearest_pairs(spark, monkeypatch):
+    monkeypatch.setattr(N, "SPAN", 20)  # documents of several spans, records with one ordinal, missing arguments
+    rec = _random_records(spark)
+    c, near = N.counted(rec, 7), P.nearest(rec, 7)
+    rows = lambda df, *cols: sorted(map(repr, df.select(*cols).collect()))
+    assert rows(N.directed(c), *P.KEY, "window", "cnt") == rows(P.directed(near), *P.KEY, "window", "cnt")
+    heads = P.head_counts(near, rec, 2)
+    assert rows(N.head_counts(c, 2), *P.KEY, "place", "head", "n") == rows(heads, *P.KEY, "place", "head", "n") and heads.count() > 100
+
+
+@pytest.mark.parametrize("name", ["frequent_above", "cumulative_beyond", "undirected_pairs", "two_hop", "binned_partners"])
+def test_pairs_are_counted_once(spark, name):
+    """What is counted from the events is stored: no later step counts it again."""
+    whole = catalog.QUERIES[name](spark, SF)
+    assert not [f for f in whole.inputFiles() if "events" in f] and whole.limit(1).count() == 1
