@@ -340,3 +340,26 @@ def test_pairs_are_counted_once(spark, name):
     """What is counted from the events is stored: no later step counts it again."""
     whole = catalog.QUERIES[name](spark, SF)
     assert not [f for f in whole.inputFiles() if "events" in f] and whole.limit(1).count() == 1
+
+
+@pytest.mark.parametrize("most_hashes", [3, 100])
+def test_merges_without_payload_rows(spark, monkeypatch, most_hashes):
+    """Pairs and tuples of the corpus are those of the folds over every document's payload, also where hashes stop growing."""
+    monkeypatch.setattr(X, "MOST_HASHES", most_hashes)
+    rec = _random_records(spark, 500, 25).where("arg1 is not null").withColumn("hashes", F.expr("IF(rid % 11 = 0, cast(array() as array<int>), array_distinct(array(cast(rid % 9 as int), cast(rid % 7 as int))))"))
+    rec = rec.localCheckpoint()
+    tuples = X.tuple_payload(rec, 2)
+    want, got = X.merge_pairs(X.pair_payload(rec, tuples, 4), 1, 2), X.corpus_pairs(rec, 4, 1, 2)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert want.columns == got.columns and rows(want) == rows(got)
+    assert X.merge_pairs(X.pair_payload(rec, tuples, 4)).where("n_docs > 3").count() > 0
+    entries = lambda h: F.expr(f"transform({h}, e -> struct(e.head as v, e.n as n))").alias(h)
+    folded = {}
+    for t in sorted(tuples.select("docid", "a1", "rel", "a2", "n", "hashes", "ids", "sentences", entries("heads1"), entries("heads2")).collect(), key=lambda t: t.docid):
+        a = folded.setdefault((t.a1, t.rel, t.a2), {"n": 0, "rest": (t.hashes, t.ids, t.sentences), "heads1": {}, "heads2": {}})
+        a["n"] += t.n
+        for h in ("heads1", "heads2"):
+            if len(a[h]) < 2:
+                for e in t[h]:
+                    a[h][e.v] = a[h].get(e.v, 0) + e.n
+    assert {(t.a1, t.rel, t.a2): {"n": t.n, "rest": (t.hashes, t.ids, t.sentences), **{h: {e.v: e.n for e in t[h]} for h in ("heads1", "heads2")}} for t in X.corpus_tuples(rec, 2).collect()} == folded
