@@ -342,6 +342,25 @@ def test_pairs_are_counted_once(spark, name):
     assert not [f for f in whole.inputFiles() if "events" in f] and whole.limit(1).count() == 1
 
 
+def test_counts_by_kind_give_counts_of_tuples(spark):
+    rec = _random_records(spark)
+    rows = lambda df: sorted(map(repr, df.select("a1", "rel", "a2", "n").collect()))
+    assert rows(N.unigrams(N.counted(rec, 3))) == rows(P.unigrams(rec))
+
+
+@pytest.mark.parametrize("name", ["combined_alpha", "cogroup_counts", "measures_of_rare_tuples"])
+def test_tuples_are_counted_with_the_pairs(spark, name):
+    """Counts of tuples come from the kinds of records, too: the events are not read again for them."""
+    assert not [f for f in catalog.QUERIES[name](spark, SF).inputFiles() if "events" in f]
+
+
+def test_prepared_records_are_alike_where_they_subsume(spark):
+    rows = [(a, r, b) for a in ("Ann", "ann", "be", "", None) for r in ("be", "be in", "in be", "sat on") for b in ("Eve", "ann", "Eve sat on", "")]
+    rec = spark.createDataFrame(rows, "arg1 string, rel string, arg2 string").withColumns(R.says())
+    both = rec.alias("o").join(rec.alias("i")).select(R.alike("o", "i").alias("x"), R.subsumes("o", "i").alias("y"))
+    assert both.where("not x <=> y").count() == 0 and both.where("x").count() > 100 and both.where("not x").count() > 100
+
+
 @pytest.mark.parametrize("most_hashes", [3, 100])
 def test_merges_without_payload_rows(spark, monkeypatch, most_hashes):
     """Pairs and tuples of the corpus are those of the folds over every document's payload, also where hashes stop growing."""
