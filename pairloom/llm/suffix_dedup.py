@@ -179,11 +179,12 @@ def _types(t: np.ndarray) -> np.ndarray:
     s = np.zeros(n, bool)
     if n < 2:
         return s
-    differs = np.flatnonzero(t[:-1] != t[1:])
+    changes = t[:-1] != t[1:]
+    differs = np.flatnonzero(changes)
     if not len(differs):
         return s
     # Each place takes its type from the next place where the text changes.
-    nxt = np.searchsorted(differs, np.arange(n - 1))
+    nxt = np.cumsum(changes) - changes
     inside = nxt < len(differs)
     d = differs[np.minimum(nxt, len(differs) - 1)]
     s[:-1] = inside & (t[d] < t[np.minimum(d + 1, n - 1)])
@@ -256,13 +257,30 @@ def suffix_order(t: np.ndarray, depth: int, limit: int = IN_MEMORY) -> np.ndarra
         k += 1
     names = np.zeros(len(lms), np.int64)
     names[number[ordered]] = np.cumsum(np.append(0, ~equal))
-    # Rank the reduced string by doubling, until ranks differ or reach `depth` bytes.
-    step = 1
-    while names.max() + 1 < len(names) and step < depth:
-        nxt = np.append(names[step:], np.full(min(step, len(names)), -1))[: len(names)] + 1
-        names = np.unique(names * (len(names) + 1) + nxt, return_inverse=True)[1]
+    return _induce(t, s, lms[np.argsort(_ranks(names, depth), kind="stable")], limit)
+
+
+def _ranks(names: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the suffixes of the reduced string by doubling, until they differ or reach `depth` bytes.
+
+    A name stands for two bytes of its own or more. A rank is the number of smaller suffixes, so a suffix that has one
+    of its own keeps it, and only the others are sorted again."""
+    m = len(names)
+    counts = np.bincount(names)
+    ranks, live, step = (np.cumsum(counts) - counts)[names], np.flatnonzero(counts[names] > 1), 1
+    while len(live) and 2 * step < depth:
+        ahead = live + step
+        nxt = np.where(ahead < m, ranks[np.minimum(ahead, m - 1)] + 1, 0)
+        key = ranks[live] * (m + 1) + nxt
+        order = np.argsort(key)
+        live, key = live[order], key[order]
+        old, at = key // (m + 1), np.arange(len(live))
+        starts = np.append(True, key[1:] != key[:-1])
+        groups = np.append(True, old[1:] != old[:-1])
+        ranks[live] = old + np.maximum.accumulate(np.where(starts, at, 0)) - np.maximum.accumulate(np.where(groups, at, 0))
+        live = live[~(starts & np.append(starts[1:], True))]
         step *= 2
-    return _induce(t, s, lms[np.argsort(names, kind="stable")], limit)
+    return ranks
 
 
 def prefixes_reach(t: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
@@ -270,7 +288,8 @@ def prefixes_reach(t: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     padded = np.append(t, np.zeros(depth + 8, np.uint8))
     words = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
     live = np.flatnonzero((order[1:] + depth <= len(t)) & (order[:-1] + depth <= len(t)))
-    for k in [*range(0, depth - 7, 8), *([depth - 8] if depth % 8 and depth > 8 else [])]:
+    # From the end: neighbours share their first bytes, so their last ones tell most of them apart at once.
+    for k in [*([depth - 8] if depth % 8 and depth > 8 else []), *reversed(range(0, depth - 7, 8))]:
         a = np.ascontiguousarray(words[order[live] + k]).view(np.uint64).ravel()
         b = np.ascontiguousarray(words[order[live + 1] + k]).view(np.uint64).ravel()
         live = live[a == b]
@@ -288,16 +307,14 @@ def repeated_windows(fragments: list[bytes], length: int = LENGTH, limit: int =
     sizes = np.array([len(f) for f in fragments])
     base = np.cumsum(sizes) - sizes
     order = suffix_order(t, length, limit)
-    run = np.cumsum(np.append(0, ~prefixes_reach(t, order, length)))
-    inside = np.zeros(len(t), bool)
     edge = np.zeros(len(t) + 1, np.int64)
     np.add.at(edge, base, 1)
     np.add.at(edge, base + np.maximum(sizes - length + 1, 0), -1)
     inside = np.cumsum(edge)[:-1] > 0
-    ok = inside[order]
-    order, run = order[ok], run[ok]
+    order = order[inside[order]]  # only windows inside a fragment are compared
     if not len(order):
         return []
+    run = np.cumsum(np.append(0, ~prefixes_reach(t, order, length)))
     first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
     lowest = np.minimum.reduceat(order, first)
     covered = np.sort(order[order != np.repeat(lowest, np.diff(np.append(first, len(order))))])

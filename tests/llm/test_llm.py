@@ -215,6 +215,24 @@ def brute_repeats(docs, length=100):
     return out
 
 
+def test_suffixes_are_compared_where_windows_start(monkeypatch):
+    """Suffixes that no window of a fragment starts at are sorted with the others, but not compared byte by byte."""
+    seen, real = [], suffix_dedup.prefixes_reach
+    monkeypatch.setattr(suffix_dedup, "prefixes_reach", lambda t, order, depth: (seen.append(len(order)), real(t, order, depth))[1])
+    assert suffix_dedup.repeated_windows([b"xabcdey", b"abcdez", b"short"[:3]], 5) == [(1, 0, 5)]
+    assert seen == [3 + 2]
+
+
+def test_ranks_of_reduced_strings():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        names = np.unique(rng.integers(0, 4, rng.integers(1, 60)), return_inverse=True)[1]
+        depth = int(rng.integers(2, 40))
+        ranks, n = suffix_dedup._ranks(names, depth).tolist(), -(-depth // 2)  # a name is two bytes or more
+        suffixes = [names[i : i + n].tolist() for i in range(len(names))]
+        assert all(ranks[i] < ranks[j] for i in range(len(names)) for j in range(len(names)) if suffixes[i] < suffixes[j])
+
+
 def test_suffix_dedup(spark, odd, none):
     docs = [(1, "a" * 500), (2, "a" * 300 + "b" * 300), (4, ""), (5, "x" * 99), (6, "x" * 99), (7, "ab" * 200), (8, "é" * 120), (9, "Q" + "é" * 120), (10, PROSE * 3), (11, "so " + PROSE * 2)]
     want = brute_repeats(docs)
