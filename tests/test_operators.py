@@ -335,6 +335,20 @@ def test_counts_by_kind_are_those_of_nearest_pairs(spark, monkeypatch):
     assert rows(N.head_counts(c, 2), *P.KEY, "place", "head", "n") == rows(heads, *P.KEY, "place", "head", "n") and heads.count() > 100
 
 
+def test_counting_tasks_grow_with_the_records(spark, monkeypatch):
+    """Small inputs do not send the vocabulary on from each of very many tasks."""
+    seen, followers = [], N.followers
+    monkeypatch.setattr(N, "followers", lambda *a, parts=None, **k: seen.append(parts) or followers(*a, parts=parts, **k))
+    few = 2 * spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        rec = _random_records(spark)
+        assert [N.parts_for(rec, n) for n in (0, 50 * N.TASK - 1, 10**9)] == [few, 50, 60]
+        assert N.counted(rec, 7).counts.count() > 0 and seen == [few]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 @pytest.mark.parametrize("name", ["frequent_above", "cumulative_beyond", "undirected_pairs", "two_hop", "binned_partners"])
 def test_pairs_are_counted_once(spark, name):
     """What is counted from the events is stored: no later step counts it again."""
