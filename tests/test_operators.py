@@ -308,6 +308,15 @@ def test_gapless_numbers(spark):
     assert [r.id for r in sorted(got, key=lambda r: r["at"])] == want and sorted(r["at"] for r in got) == list(range(1000))
 
 
+def test_gapless_numbers_of_equal_and_missing_keys(spark, monkeypatch):
+    """Ranges are found without a comparison with every bound for each row, and hold all rows of a key."""
+    df = spark.range(500).select("id", F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("k"))
+    whole = R.gapless(df, [F.col("k")], "at")
+    assert ">=" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["at"]: r.k for r in whole.collect()}
+    assert [got[i] for i in range(500)] == sorted((r.k for r in df.collect()), key=lambda k: (k is not None, k or 0))
+
+
 def test_index_reaches_the_files(spark, tmp_path):
     c = spark.range(2000).select(*[F.concat(F.lit(k), (F.col("id") % 9).cast("string")).alias(k) for k in P.KEY], *[F.col("id").alias(x) for x in ("max_dir", "max_und", "und_k", "nf", "ns")], *[(F.col("id") / 7).alias(x) for x in ("und_first", "dir_first", "und_second", "dir_second")])
     path = str(tmp_path / "index")
