@@ -317,6 +317,18 @@ def test_gapless_numbers_of_equal_and_missing_keys(spark, monkeypatch):
     assert [got[i] for i in range(500)] == sorted((r.k for r in df.collect()), key=lambda k: (k is not None, k or 0))
 
 
+def test_confidences_are_counted_before_they_are_sorted(spark):
+    rng = random.Random(3)
+    rows = [("a", rng.choice("xyz"), "b", rng.choice([None, 0.1, 0.2, 0.2, 0.7, 0.9])) for _ in range(300)] + [("a", "w", "b", None)]
+    whole = K.confidence(spark.createDataFrame(rows, "arg1 string, rel string, arg2 string, confidence double"))
+    assert whole._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+    for r in whole.collect():
+        mine = sorted((c for _, rel, _, c in rows if rel == r.rel), key=lambda c: (c is not None, c or 0))
+        known = [c for c in mine if c is not None]
+        assert r.median == mine[len(mine) // 2] and r.least == (min(known) if known else None) and r.most == (max(known) if known else None)
+        assert r["mean"] == (pytest.approx(sum(known) / len(known)) if known else None)
+
+
 def test_index_reaches_the_files(spark, tmp_path):
     c = spark.range(2000).select(*[F.concat(F.lit(k), (F.col("id") % 9).cast("string")).alias(k) for k in P.KEY], *[F.col("id").alias(x) for x in ("max_dir", "max_und", "und_k", "nf", "ns")], *[(F.col("id") / 7).alias(x) for x in ("und_first", "dir_first", "und_second", "dir_second")])
     path = str(tmp_path / "index")
