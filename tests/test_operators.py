@@ -329,6 +329,12 @@ def test_confidences_are_counted_before_they_are_sorted(spark):
         assert r["mean"] == (pytest.approx(sum(known) / len(known)) if known else None)
 
 
+def test_pairs_travel_as_one_row_up_to_their_windows(spark):
+    """The windows of a pair are made after its counts are joined, not shuffled one by one."""
+    plan = catalog.QUERIES["cogroup_counts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
+
+
 def test_index_reaches_the_files(spark, tmp_path):
     c = spark.range(2000).select(*[F.concat(F.lit(k), (F.col("id") % 9).cast("string")).alias(k) for k in P.KEY], *[F.col("id").alias(x) for x in ("max_dir", "max_und", "und_k", "nf", "ns")], *[(F.col("id") / 7).alias(x) for x in ("und_first", "dir_first", "und_second", "dir_second")])
     path = str(tmp_path / "index")
